@@ -6,9 +6,11 @@ obfuscation), how close hits stand to second-person words, and the rates of capi
 words. Trees of small depth are boosted on them, and their sums are mapped to probabilities by isotonic regression
 on texts that the trees have not seen.
 
-Learning uses a bounded sample of labelled rows (``MOST_TRAINING``, by a hash of the text) in three folds: one for
-the lexicon, one for the trees, one for the calibration. Lexicon counts are taken on the executors; the driver holds
-the lexicon and one row of features for each sampled text. Scoring is one pass over whole texts.
+Learning uses a bounded sample of distinct labelled texts (``MOST_TRAINING``, by a hash of the text) in three folds.
+The features that the trees learn from are crosswise: a text's hits come from a lexicon of the other two folds; the
+lexicon for scoring comes from all three. A part of the sample is kept from the trees for the calibration. Lexicon
+counts are taken on the executors; the driver holds lexicons and one row of features for each sampled text. Scoring is
+one pass over whole texts.
 
 Defined results: a null or empty text has all features at zero and gets the score of such a text; without training
 rows of both labels every score is 0; null labels are not learned from; an empty table gives an empty result.
@@ -30,7 +32,7 @@ from . import runtime as R, textcodes as X
 MOST_TRAINING = 24_000
 MOST_LEXICON = 8_000
 #: Word beginnings in the lexicon have so many characters.
-BEGINNINGS = (4, 5)
+BEGINNINGS = (4, 5, 6, 7)
 #: Least log odds of a lexicon entry, and texts that have to show it.
 LEAST_ODDS = 2.5
 LEAST_TEXTS = 3
@@ -48,6 +50,7 @@ LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a
 
 FEATURES = ("hits", "hit_weight", "strongest", "begin_hits", "begin_weight", "unmasked_hits", "near_second_person", "second_person", "capitals", "exclaims", "marks", "masked", "log_words")
 ROUNDS, DEPTH, RATE, CUTS = 60, 3, 0.2, 32
+FOLDS = 3
 
 
 @dataclass
@@ -105,22 +108,16 @@ class _Tokens:
         low = c < 128
         swap[low] = look[c[low]]
         letter = X.is_letter(swap)
-        # trim what is no letter, even after swapping, at both ends
-        where = np.flatnonzero(letter)
-        if not len(start) or not len(where):
+        # a candidate begins at its first letter or look-alike and ends at its last letter or digit: marks at the end
+        # of a word (an exclamation) are no mask
+        opens, closes = np.flatnonzero(letter), np.flatnonzero(self.flags | ((c >= 48) & (c <= 57)))
+        if not len(start) or not len(closes):
             return np.zeros(0, X.U64), np.zeros(0, np.int64)
-        i0, i1 = np.searchsorted(where, start), np.searchsorted(where, end) - 1
-        some = i1 >= i0
-        a, b = where[np.minimum(i0, len(where) - 1)][some], where[np.maximum(i1, 0)][some] + 1
+        i0, i1 = np.searchsorted(opens, start), np.searchsorted(closes, end) - 1
+        a, b = opens[np.minimum(i0, len(opens) - 1)], closes[np.maximum(i1, 0)] + 1
+        some = (a >= start) & (b <= end) & (b > a) & (a < end) & (b > start)
+        a, b = a[some], b[some]
         plain = np.concatenate([[0], np.cumsum(self.flags)])
-        # marks at the end of a word (an exclamation) are not a mask: drop look-alikes that trail letters
-        trailing = ~self.flags[b - 1] & ~((c[b - 1] >= 48) & (c[b - 1] <= 57))
-        while trailing.any():
-            b = np.where(trailing & (b - 1 > a), b - 1, b)
-            again = ~self.flags[b - 1] & ~((c[b - 1] >= 48) & (c[b - 1] <= 57)) & (b - 1 > a)
-            if (again == trailing).all() and not (again & (b - 1 > a)).any():
-                break
-            trailing = again
         letters = plain[b] - plain[a]
         mixed = (letters >= 2) & (letters < b - a) & (2 * letters >= b - a) & (b - a <= 40)
         a, b = a[mixed], b[mixed]
@@ -186,10 +183,11 @@ def features(lexicon: Lexicon, part: pa.RecordBatch, column: int) -> np.ndarray:
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(n, entry, toxic texts, other texts) within each slice; n = 0: whole words, else beginnings of n characters."""
+    """(fold, n, entry, toxic texts, other texts) within each slice; n = 0: whole words, else beginnings of n characters."""
     for part in R.pieces_of(batches, most=1 << 22):
         t = _Tokens(part, part.schema.get_field_index("text"))
         toxic = np.array(part.column("toxic").to_pylist(), np.int64)
+        folds = np.array(part.column("fold").to_pylist(), np.int64)
         found = [(0, t.hash, t.doc)]
         for size in BEGINNINGS:
             h, which = t.beginnings(size)
@@ -200,20 +198,26 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             order = np.lexsort((doc, h))
             h, doc = h[order], doc[order]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
-            h, of = h[new], toxic[doc[new]]
-            entries, where = np.unique(h, return_inverse=True)
-            bad = np.bincount(where, weights=of, minlength=len(entries)).astype(np.int64)
-            both = np.bincount(where, minlength=len(entries))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([size] * len(entries), pa.int32()), pa.array(entries.view(np.int64)), pa.array(bad), pa.array(both - bad)], names=["n", "entry", "bad", "good"]
-            )
+            h, doc = h[new], doc[new]
+            for fold in range(FOLDS):
+                own = folds[doc] == fold
+                entries, where = np.unique(h[own], return_inverse=True)
+                bad = np.bincount(where, weights=toxic[doc[own]], minlength=len(entries)).astype(np.int64)
+                both = np.bincount(where, minlength=len(entries))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([fold] * len(entries), pa.int32()), pa.array([size] * len(entries), pa.int32()), pa.array(entries.view(np.int64)), pa.array(bad), pa.array(both - bad)],
+                    names=["fold", "n", "entry", "bad", "good"],
+                )
 
 
 def _featurer(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in R.pieces_of(batches):
-            x = features(sent.value, part, part.schema.get_field_index("text"))
-            yield pa.RecordBatch.from_arrays([part.column("fold"), part.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], names=["fold", "toxic", "x"])
+            folds = part.column("fold").to_numpy(zero_copy_only=False)
+            for fold in np.unique(folds):
+                own = part.filter(pa.array(folds == fold))
+                x = features(sent.value[int(fold)], own, own.schema.get_field_index("text"))
+                yield pa.RecordBatch.from_arrays([own.column("held"), own.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], names=["held", "toxic", "x"])
 
     return run
 
@@ -294,10 +298,10 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE
 
 
 def isotonic(sums: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: increasing knots (sum, probability), with one virtual text of each label at the ends."""
+    """Pool-adjacent-violators: increasing knots (sum, probability), with a virtual text of the other label at each end."""
     order = np.argsort(sums, kind="stable")
     blocks: list[list[float]] = []  # weight, labels, first sum, last sum
-    pairs = [(sums[order[0]], 0.0), *((sums[i], float(y[i])) for i in order), (sums[order[-1]], 1.0)]
+    pairs = [(sums[order[0]], 1.0), *((sums[i], float(y[i])) for i in order), (sums[order[-1]], 0.0)]
     for s, label in pairs:
         blocks.append([1.0, label, s, s])
         while len(blocks) > 1 and (blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0] or blocks[-2][3] == blocks[-1][2]):
@@ -333,20 +337,28 @@ def fit(training: DataFrame, most: int = MOST_TRAINING) -> Model | None:
     share = {k: min(1.0, (few if n == min(sizes.values()) else most - few) / n) for k, n in sizes.items()}
     place = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30))
     wanted = F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]) * (1 << 30)
-    sample = R.stage(rows.where(place < wanted).withColumn("fold", F.pmod(F.xxhash64("text", F.lit(8)), F.lit(10)).cast("int")), "labelled")
-    lexicon_fold = sample.where("fold < 4")
-    n = {r["toxic"]: r["n"] for r in lexicon_fold.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    counts = lexicon_fold.mapInArrow(_document_frequencies, "n int, entry long, bad long, good long").groupBy("n", "entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    lexicon = _lexicon(counts, n.get(1, 0), n.get(0, 0))
-    sent = spark.sparkContext.broadcast(lexicon)
-    got = sample.where("fold >= 4").select("fold", "toxic", "text").mapInArrow(_featurer(sent), "fold int, toxic int, x array<double>").collect()
-    R.unstage(sample)
+    distinct = rows.where(place < wanted).dropDuplicates(["text", "toxic"])
+    fold = lambda salt, n: F.pmod(F.xxhash64("text", F.lit(salt)), F.lit(n)).cast("int")
+    sample = R.stage(distinct.withColumns({"fold": fold(8, FOLDS), "held": fold(9, 10) >= 7}), "labelled")
+    n = {(r["fold"], r["toxic"]): r["n"] for r in sample.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    counts = sample.select("fold", "toxic", "text").mapInArrow(_document_frequencies, "fold int, n int, entry long, bad long, good long")
+    counts = R.stage(counts.groupBy("fold", "n", "entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "counts")
+
+    def lexicon_without(fold: int | None) -> Lexicon:
+        of = lambda toxic: sum(v for (f, t), v in n.items() if t == toxic and f != fold)
+        kept = counts if fold is None else counts.where(F.col("fold") != fold)
+        return _lexicon(kept.groupBy("n", "entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), of(1), of(0))
+
+    sent = spark.sparkContext.broadcast([lexicon_without(k) for k in range(FOLDS)])
+    got = sample.select("fold", "held", "toxic", "text").mapInArrow(_featurer(sent), "held boolean, toxic int, x array<double>").collect()
+    lexicon = lexicon_without(None)
+    R.unstage(sample, counts)
     x = np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES))
     y = np.array([r["toxic"] for r in got], float)
-    fold = np.array([r["fold"] for r in got])
-    order = np.lexsort((*x.T, y, fold))  # rows come in any order; a model is the same each time
-    x, y, fold = x[order], y[order], fold[order]
-    first, second = fold < 8, fold >= 8
+    held = np.array([r["held"] for r in got], bool)
+    order = np.lexsort((*x.T, y, held))  # rows come in any order; a model is the same each time
+    x, y, held = x[order], y[order], held[order]
+    first, second = ~held, held
     if min(y[first].sum(), (1 - y[first]).sum(), y[second].sum(), (1 - y[second]).sum()) < 1:
         first = second = np.ones(len(y), bool)
     if not len(y) or not 0 < y.sum() < len(y):
