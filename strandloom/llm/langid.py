@@ -173,29 +173,52 @@ def score_words(model: Model, codes: np.ndarray, flags: np.ndarray, start: np.nd
     return out
 
 
+def _judge(model: Model | None, part: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of column ``text``."""
+    docs = part.num_rows
+    if model is None:
+        return [UNDETERMINED] * docs, np.zeros(docs)
+    codes, flags, start, end, doc = _letters(part, part.schema.get_field_index("text"))
+    n = np.bincount(doc, minlength=docs)
+    words = score_words(model, codes, flags, start, end)
+    sums = np.stack([np.bincount(doc, weights=words[:, k], minlength=docs) for k in range(len(model.languages))], axis=1)
+    best = sums.argmax(axis=1)
+    sharp = (sums - sums.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(1, n))[:, None]
+    score = np.where(n > 0, 1.0 / np.exp(sharp).sum(axis=1), 0.0)
+    return [model.languages[b] if m else UNDETERMINED for b, m in zip(best, n, strict=True)], score
+
+
 def _predictor(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model | None = sent.value
         for part in R.pieces_of(batches):
-            docs = part.num_rows
-            codes, flags, start, end, doc = _letters(part, part.schema.get_field_index("text"))
-            n = np.bincount(doc, minlength=docs)
-            if model is None:
-                lang, score = [UNDETERMINED] * docs, np.zeros(docs)
-            else:
-                words = score_words(model, codes, flags, start, end)
-                sums = np.stack([np.bincount(doc, weights=words[:, k], minlength=docs) for k in range(len(model.languages))], axis=1)
-                best = sums.argmax(axis=1)
-                sharp = (sums - sums.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(1, n))[:, None]
-                score = np.where(n > 0, 1.0 / np.exp(sharp).sum(axis=1), 0.0)
-                lang = [model.languages[b] if m else UNDETERMINED for b, m in zip(best, n, strict=True)]
-            rest = [part.column(k) for k in range(part.num_columns) if part.schema.names[k] != "text"]
+            lang, score = _judge(sent.value, part)
             names = [x for x in part.schema.names if x != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+
+    return run
+
+
+def _filter(sent, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in R.pieces_of(batches):
+            lang, score = _judge(sent.value, part)
+            yield part.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
     return run
 
 
+#: Below this score no language is clearly ahead.
+LEAST_SCORE = 0.4
+
+
+def keep_identified(model: Model | None, docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with all their columns; all rows if there is no model."""
+    R.ship(docs.sparkSession)
+    if model is None:
+        return docs
+    return docs.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(model), least), docs.schema)
+
+
 def predict(model: Model | None, docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``keep`` plus lang_pred and score, from the text alone."""
     spark = docs.sparkSession
@@ -211,8 +234,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def fit_documents(docs: DataFrame) -> Model | None:
+    """A model from the rows of documents that are not held out."""
+    return fit(docs.where(~held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): trained on the rows that are not held out, applied to all."""
-    model = fit(docs.where(~held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return predict(model, marked, ["doc_id", "held_out"])
+    return predict(fit_documents(docs), marked, ["doc_id", "held_out"])

@@ -246,6 +246,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def keep_one_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, others) that stay when each class keeps its document of smallest id.
+
+    Rows that repeat a kept id are one document: the one whose row sorts first stays. Rows without an id stay.
+    """
+    marked = R.stage(near_duplicates(docs), "marked")
+    gone = R.stage(marked.where("not kept").select("doc_id").distinct(), "gone")
+    stay = docs.join(gone, "doc_id", "left_anti")
+    again = R.stage(marked.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return stay.select(docs.columns)
+    one = stay.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_row")).select("doc_id", "_row.*")
+    return stay.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
+
+
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         items = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("items")]

@@ -405,3 +405,20 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(labelled(docs, labels))
     out = score(model, docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text"), ["doc_id", "held_out"])
     return out.withColumn("predicted", (F.col("score") >= CUTOFF).cast("int"))
+
+
+def _filter(sent, cutoff: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model | None = sent.value
+        for part in R.pieces_of(batches):
+            if model is not None:
+                part = part.filter(pa.array(model.scores(part, part.schema.get_field_index("text")) < cutoff))
+            yield part
+
+    return run
+
+
+def keep_clean(model: Model | None, docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of ``docs`` that score below the cutoff, with all their columns."""
+    R.ship(docs.sparkSession)
+    return docs.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(model), cutoff), docs.schema)
