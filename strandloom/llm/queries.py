@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, licenses, minhash, packing, pii, quality, spotsigs, toxicity
+from . import chat, langid, licenses, minhash, packing, pieces, pii, quality, spotsigs, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
@@ -86,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_langid": op2_langid,
         "op3_spotsigs": op3_spotsigs,
         "op4_licenses": op4_licenses,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_quality": op6_quality,
         "op7_minhash": op7_minhash,
         "op8_toxicity": op8_toxicity,
