@@ -9,30 +9,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-PACKAGE = Path(__file__).resolve().parent.parent
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable by the Python workers of every executor, once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    folder = Path(tempfile.mkdtemp(prefix="strandloom-"))
-    bundle = folder / f"{PACKAGE.name}_bundle.zip"
-    with zipfile.ZipFile(bundle, "w") as z:
-        for p in sorted(PACKAGE.rglob("*.py")):
-            z.write(p, p.relative_to(PACKAGE.parent))
-    sc.addPyFile(str(bundle))
-    _shipped.add(sc.applicationId)
+from ..shipping import ship  # noqa: F401
 
 
 def shared_dir(spark: SparkSession) -> str:
