@@ -20,7 +20,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import runtime as R, textcodes as X
@@ -122,22 +123,22 @@ def fit(training: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model |
     counts = chosen.select("lang", "text").mapInArrow(_counter, "lang string, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     counts = R.stage(counts.where((F.col("c") > 1) | (F.col("n") == 1)), "grams")
     totals = {(r["lang"], r["n"]): r["t"] for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("t")).collect()}
+    rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
+    top = counts.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("n") == 0, MOST_WORDS).otherwise(MOST_GRAMS))
+    got = top.select("lang", "n", "gram", "c").toArrow()  # bounded: MOST_WORDS + LONGEST * MOST_GRAMS for each language
+    R.unstage(counts)
     languages = sorted(sizes)
+    lang = np.array(pc.index_in(got["lang"], pa.array(languages)).to_pylist(), np.int64)
+    size, gram, count = (got[c].to_numpy() for c in ("n", "gram", "c"))
     tables = []
     for n in range(LONGEST + 1):
-        most = MOST_WORDS if n == 0 else MOST_GRAMS
-        got: dict[int, np.ndarray] = {}
-        for k, lang in enumerate(languages):
-            top = counts.where((F.col("lang") == lang) & (F.col("n") == n)).orderBy(F.desc("c"), "gram").limit(most).select("gram", "c").collect()
-            for r in top:
-                got.setdefault(r["gram"], np.zeros(len(languages)))[k] = r["c"]
-        keys = np.array(sorted(got, key=lambda g: g & 0xFFFFFFFFFFFFFFFF), np.int64)
-        seen = np.array([got[int(g)] for g in keys]).reshape(len(keys), len(languages))
-        total = np.array([max(1, totals.get((lang, n), 0)) for lang in languages], float)
-        scores = np.log(np.where(seen > 0, seen, np.exp(UNSEEN)) / total)
-        tables.append((keys.view(X.U64), scores))
-    floor = np.log(np.exp(UNSEEN - 1) / np.array([max(1, totals.get((lang, 1), 0)) for lang in languages], float))
-    R.unstage(counts)
+        own = size == n
+        keys, where = np.unique(gram[own].view(X.U64), return_inverse=True)
+        seen = np.zeros((len(keys), len(languages)))
+        seen[where, lang[own]] = count[own]
+        total = np.array([max(1, totals.get((name, n), 0)) for name in languages], float)
+        tables.append((keys, np.log(np.where(seen > 0, seen, np.exp(UNSEEN)) / total)))
+    floor = np.log(np.exp(UNSEEN - 1) / np.array([max(1, totals.get((name, 1), 0)) for name in languages], float))
     return Model(languages, *tables[0], [t[0] for t in tables[1:]], [t[1] for t in tables[1:]], floor)
 
 

@@ -257,7 +257,8 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     again = R.stage(marked.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "again")
     if again.isEmpty():
         return stay.select(docs.columns)
-    one = stay.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_row")).select("doc_id", "_row.*")
+    row = R.fresh(docs, "row")
+    one = stay.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias(row)).select("doc_id", f"{row}.*")
     return stay.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
 
 

@@ -16,7 +16,6 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 
@@ -254,7 +253,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **h
     return found.select("doc_id", *[count(k) for k in PATTERNS], F.sha2(shown(F.col("spans")), 256).alias("base_sha256"), F.array_join(F.filter(F.array(shown(F.col("spans")), shown(added)), lambda s: s != ""), ",").alias("spans"))
 
 
-def _cleaner(replacements: dict[str, str]):
+def _cleaner(replacements: dict[str, str], added_name: str):
     def clean(text: str, spans: list[dict]) -> str:
         out, at = [], 0
         for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
@@ -268,20 +267,21 @@ def _cleaner(replacements: dict[str, str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, extra = batch.schema.get_field_index("text"), batch.schema.get_field_index("_added")
+            at, extra = batch.schema.get_field_index("text"), batch.schema.get_field_index(added_name)
             texts = []
             for text, added in zip(batch.column(at).to_pylist(), batch.column(extra).to_pylist(), strict=True):
                 spans = [{"kind": k, "start": s, "end": e} for k, s, e in base_spans(text)] + (added or []) if text else []
                 texts.append(clean(text, spans) if spans else text)
             cols = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns) if k != extra]
-            yield pa.RecordBatch.from_arrays(cols, names=[n for n in batch.schema.names if n != "_added"])
+            yield pa.RecordBatch.from_arrays(cols, names=[n for n in batch.schema.names if n != added_name])
 
     return run
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", replacements: dict[str, str] | None = None, **how) -> DataFrame:
     """``docs`` with all spans of column ``text`` replaced; other columns stay."""
-    added = R.stage(find(docs, id_col, "text", **how).where(F.size("added") > 0).select(F.col("row").alias("_row"), F.col("added").alias("_added")).dropDuplicates(["_row"]), "added")
-    keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col).cast("long"), F.col("text").cast("string")))
-    joined = keyed.join(added, "_row", "left").drop("_row")
-    return joined.mapInArrow(_cleaner(replacements or REPLACEMENTS), docs.schema)
+    row, added = R.fresh(docs, "row"), R.fresh(docs, "added")
+    spans = R.stage(find(docs, id_col, "text", **how).where(F.size("added") > 0).select(F.col("row").alias(row), F.col("added").alias(added)).dropDuplicates([row]), "added")
+    keyed = docs.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), F.col("text").cast("string")))
+    joined = keyed.join(spans, row, "left").drop(row)
+    return joined.mapInArrow(_cleaner(replacements or REPLACEMENTS, added), docs.schema)
