@@ -1,12 +1,11 @@
-import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
 
-DATA = Path(os.environ.get("TEST_DATA", "/root/testdata"))
+from common import DATA  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -36,13 +35,3 @@ def duck(small):
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"CREATE VIEW {t} AS FROM read_parquet('{small}/{t}.parquet')")
     return con
-
-
-def same_rows(frame, relation):
-    """Both sides as sorted rows of text, columns by name."""
-    columns = sorted(frame.columns)
-    names = [d[0] for d in relation.description]
-    assert sorted(names) == columns
-    ours = sorted(str(tuple(r[c] for c in columns)) for r in frame.collect())
-    theirs = sorted(str(tuple(dict(zip(names, r, strict=True))[c] for c in columns)) for r in relation.fetchall())
-    return ours == theirs

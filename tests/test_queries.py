@@ -3,7 +3,7 @@ import sys
 from pathlib import Path
 
 import pytest
-from conftest import same_rows
+from common import same_rows
 
 from strandloom import queries
 
