@@ -119,7 +119,7 @@ class _Tokens:
         a, b = a[some], b[some]
         plain = np.concatenate([[0], np.cumsum(self.flags)])
         letters = plain[b] - plain[a]
-        mixed = (letters >= 2) & (letters < b - a) & (2 * letters >= b - a) & (b - a <= 40)
+        mixed = (letters >= 2) & (letters < b - a) & (5 * letters >= 2 * (b - a)) & (b - a <= 40)
         a, b = a[mixed], b[mixed]
         if not len(a):
             return np.zeros(0, X.U64), np.zeros(0, np.int64)
