@@ -4,10 +4,11 @@ The claim behind the plan: expanding an equal pair of lines up and down gives th
 blocks are exactly the runs of equal pairs that hold a pair of comparison lines. Equal pairs come from a self join on
 the line's text, runs from gaps and islands along diagonals, and blocks from grouping runs by their lines.
 
-The join is on a 64-bit key of the text with the text checked beside it, and it reads only lines that occur at least
-twice. A line with n places has n(n-1)/2 pairs, each of which may belong to a block of its own: that is the size of
-the answer's evidence, not of a cross join. Hot lines are salted by the place of one side, so that their pairs are
-made by many tasks; adaptive execution splits what is still uneven.
+The join is on a 128-bit key of the text, and it reads only lines that occur at least twice. A line with n places has
+n(n-1)/2 pairs, each of which may belong to a block of its own: that is the size of the answer's evidence, not of a
+cross join. Hot lines are salted by the place of one side, so that their pairs are made by many tasks; adaptive
+execution splits what is still uneven. Lines are normalized and classified once and staged; the later steps read
+numbers from there, and texts only for the blocks themselves.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
 from .ranking import with_rank
 
 #: Places of one line that a salt of the self join holds, about.
@@ -24,37 +26,42 @@ _SPOT = "fa", "fb", "d"
 
 
 def numbered_files(lines: DataFrame) -> DataFrame:
-    """Lines with ``f``, a number of the file; the order of files does not matter to the result."""
-    return lines.withColumn("f", F.xxhash64("path_key"))
+    """Lines with ``f``, a number of the file (their order does not matter), and ``t1, t2``, the key of the text."""
+    if "t1" in lines.columns:
+        return lines
+    return lines.withColumns({"f": F.xxhash64("path_key"), "t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
 
 
 def seed_pairs(lines: DataFrame) -> DataFrame:
     """(fa, ia, fb, ib) for each unordered pair of comparison lines with equal text."""
-    own = numbered_files(lines).where("is_comparison").select("f", "idx", "text")
-    often = own.groupBy("text").agg(F.count("*").alias("n")).where("n > 1")
+    own = numbered_files(lines).where("is_comparison").select("f", "idx", "t1", "t2")
+    often = own.groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1")
     salts = F.greatest(F.lit(1), F.ceil(F.col("n") / PLACES_PER_SALT)).cast("int")
-    held = own.join(often, "text").withColumn("salts", salts)
-    left = held.select("text", F.pmod(F.xxhash64("f", "idx"), F.col("salts")).cast("int").alias("salt"), F.col("f").alias("fa"), F.col("idx").alias("ia"))
-    right = held.select("text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("f").alias("fb"), F.col("idx").alias("ib"))
-    return left.join(right, ["text", "salt"]).where("fa < fb or (fa = fb and ia < ib)").select("fa", "ia", "fb", "ib")
+    held = own.join(often, ["t1", "t2"]).withColumn("salts", salts)
+    left = held.select("t1", "t2", F.pmod(F.xxhash64("f", "idx"), F.col("salts")).cast("int").alias("salt"), F.col("f").alias("fa"), F.col("idx").alias("ia"))
+    right = held.select("t1", "t2", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("f").alias("fb"), F.col("idx").alias("ib"))
+    return left.join(right, ["t1", "t2", "salt"]).where("fa < fb or (fa = fb and ia < ib)").select("fa", "ia", "fb", "ib")
 
 
 def _structural_pairs(lines: DataFrame, seeds: DataFrame) -> DataFrame:
     """Equal pairs on seeded diagonals with at least one line that seeds nothing: they only lengthen runs."""
-    all_lines = numbered_files(lines).select("f", "idx", "text", "is_comparison")
+    every = numbered_files(lines)
     diagonals = seeds.select("fa", "fb", (F.col("ib") - F.col("ia")).alias("d")).distinct()
-    a = all_lines.select(F.col("f").alias("fa"), F.col("idx").alias("ia"), F.col("text").alias("ta"), F.col("is_comparison").alias("ca"))
-    b = all_lines.select(F.col("f").alias("fb"), F.col("idx").alias("ib"), F.col("text").alias("tb"), F.col("is_comparison").alias("cb"))
+    a = every.select(F.col("f").alias("fa"), F.col("idx").alias("ia"), F.col("t1").alias("a1"), F.col("t2").alias("a2"), F.col("is_comparison").alias("ca"))
+    b = every.select(F.col("f").alias("fb"), F.col("idx").alias("ib"), F.col("t1").alias("b1"), F.col("t2").alias("b2"), F.col("is_comparison").alias("cb"))
+    equal = "a1 = b1 and a2 = b2"
     # from the structural lines of the one side look up its partner on the diagonal, and the other way round
-    down = diagonals.join(a.where("not ca"), "fa").withColumn("ib", F.col("ia") + F.col("d")).join(b, ["fb", "ib"]).where("ta = tb")
-    up = diagonals.join(b.where("not cb"), "fb").withColumn("ia", F.col("ib") - F.col("d")).join(a, ["fa", "ia"]).where("ca and ta = tb")
+    down = diagonals.join(a.where("not ca"), "fa").withColumn("ib", F.col("ia") + F.col("d")).join(b, ["fb", "ib"]).where(equal)
+    up = diagonals.join(b.where("not cb"), "fb").withColumn("ia", F.col("ib") - F.col("d")).join(a, ["fa", "ia"]).where(f"ca and {equal}")
     return down.select("fa", "ia", "fb", "ib").unionByName(up.select("fa", "ia", "fb", "ib"))
 
 
 def runs(lines: DataFrame) -> DataFrame:
     """(fa, fb, d, first, last): maximal runs of equal lines on diagonals, with a seed and not overlapping themselves."""
     seeds = seed_pairs(lines)
-    pairs = seeds.withColumn("seed", F.lit(1)).unionByName(_structural_pairs(lines, seeds).withColumn("seed", F.lit(0)))
+    pairs = seeds.withColumn("seed", F.lit(1))
+    if not lines.where("not is_comparison").isEmpty():
+        pairs = pairs.unionByName(_structural_pairs(lines, seeds).withColumn("seed", F.lit(0)))
     spots = pairs.select("fa", "fb", (F.col("ib") - F.col("ia")).alias("d"), "ia", "seed")
     island = F.col("ia") - F.row_number().over(Window.partitionBy(*_SPOT).orderBy("ia"))
     found = spots.withColumn("island", island).groupBy(*_SPOT, "island").agg(F.min("ia").alias("first"), F.max("ia").alias("last"), F.max("seed").alias("seed"))
@@ -64,7 +71,8 @@ def runs(lines: DataFrame) -> DataFrame:
 
 def blocks(lines: DataFrame) -> DataFrame:
     """(lines, occurrences, weight, line_count, character_count) for each duplicated block."""
-    files = numbered_files(lines).groupBy("f").agg(F.first("path_key").alias("path_key"), F.array_sort(F.collect_list(F.struct("idx", "line_number", "text"))).alias("all"))
+    lines = stage(numbered_files(lines), "lines")
+    files = lines.groupBy("f").agg(F.first("path_key").alias("path_key"), F.array_sort(F.collect_list(F.struct("idx", "line_number", "text"))).alias("all"))
     found = runs(lines)
     left = found.select(F.col("fa").alias("f"), "first", "last")
     right = found.select(F.col("fb").alias("f"), (F.col("first") + F.col("d")).alias("first"), (F.col("last") + F.col("d")).alias("last"))
