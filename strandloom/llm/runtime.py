@@ -1,14 +1,8 @@
-"""Session plumbing that the text operators share: shipping the package, the shared folder, staged tables, batches.
-
-Nothing here touches a machine-local folder on a cluster: staged tables go below the folder named by
-``spark.checkpoint.dir`` and only a session without that setting (tests, a notebook) gets a temporary one.
-"""
+"""Session plumbing that the text operators share: shipped code, staged tables, and batches cut to size."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -16,45 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..shipping import ship  # noqa: F401
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where the session has none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="strandloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors.
-
-    The tables are written in a fast codec; they are scratch space and :func:`unstage` removes them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", options.get("compression", "zstd")).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path  # type: ignore[attr-defined]
-    return out
-
-
-def unstage(*frames: DataFrame) -> None:
-    """Remove staged tables that no later plan reads."""
-    for df in frames:
-        path = getattr(df, "_staged_at", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+from ..staging import stage, unstage  # noqa: F401
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def cut(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def cut(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of the named text column each (one row at least)."""
     rows = batch.num_rows
     if not rows:
@@ -113,7 +76,7 @@ def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def pieces_of(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def pieces_of(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from cut(batch, column, most)
 

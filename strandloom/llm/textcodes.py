@@ -118,10 +118,29 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: str, fold: bool, hashed:
     start, end = spans(flags, offsets)
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    got = run_hashes(_byte_keys(fold)[data], flags, start, end) if hashed else None
+    got = _blockwise(_byte_keys(fold), data, flags, start, end) if hashed else None
     return Words(start, end, doc, got, first)
 
 
+#: Symbols whose keys are held at once; a longer word is a block of its own.
+BLOCK = 1 << 22
+
+
+def _blockwise(table: np.ndarray, data: np.ndarray, flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Run hashes of any number of words, with the keys of one block of symbols at a time."""
+    if len(data) <= BLOCK:
+        return run_hashes(table[data], flags, start, end)
+    out = np.empty(len(start), U64)
+    i = 0
+    while i < len(start):
+        a = start[i]
+        j = max(i + 1, int(np.searchsorted(end, a + BLOCK, "right")))
+        b = end[j - 1]
+        out[i:j] = run_hashes(table[data[a:b]], flags[a:b], start[i:j] - a, end[i:j] - a)
+        i = j
+    return out
+
+
 def windows(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words within one text, and where each begins."""
     n = len(h) - size + 1
