@@ -87,7 +87,7 @@ def _gram_hashes(padded: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndar
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, n, gram, count) of sampled texts, summed within each slice; n = 0: whole words."""
-    for part in R.pieces_of(batches, most=1 << 22):
+    for part in R.pieces_of(batches, most=1 << 21):
         codes, flags, start, end, doc = _letters(part, 1)
         langs = part.column(0).to_pylist()
         names = sorted(set(langs))

@@ -6,7 +6,7 @@ obfuscation), how close hits stand to second-person words, and the rates of capi
 words. Trees of small depth are boosted on them, and their sums are mapped to probabilities by isotonic regression
 on texts that the trees have not seen.
 
-Learning uses a bounded sample of distinct labelled texts (``MOST_TRAINING``, by a hash of the text) in three folds.
+Learning uses a bounded sample of distinct labelled texts (``MOST_TRAINING``, by a hash) in three folds.
 The features that the trees learn from are crosswise: a text's hits come from a lexicon of the other two folds; the
 lexicon for scoring comes from all three. A part of the sample is kept from the trees for the calibration. Lexicon
 counts are taken on the executors; the driver holds lexicons and one row of features for each sampled text. Scoring is
@@ -184,7 +184,7 @@ def features(lexicon: Lexicon, part: pa.RecordBatch, column: int) -> np.ndarray:
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(fold, n, entry, toxic texts, other texts) within each slice; n = 0: whole words, else beginnings of n characters."""
-    for part in R.pieces_of(batches, most=1 << 22):
+    for part in R.pieces_of(batches, most=1 << 21):
         t = _Tokens(part, part.schema.get_field_index("text"))
         toxic = np.array(part.column("toxic").to_pylist(), np.int64)
         folds = np.array(part.column("fold").to_pylist(), np.int64)
@@ -332,9 +332,7 @@ def fit(training: DataFrame, most: int = MOST_TRAINING) -> Model | None:
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    # half of the sample for each label where there are enough of both
-    few = min(most // 2, min(sizes.values()))
-    share = {k: min(1.0, (few if n == min(sizes.values()) else most - few) / n) for k, n in sizes.items()}
+    share = _shares(sizes, most)
     place = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30))
     wanted = F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]) * (1 << 30)
     distinct = rows.where(place < wanted).dropDuplicates(["text", "toxic"])
@@ -394,10 +392,25 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the labelled rows that training may see."""
-    seen = labels.where(~held_out()).select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null")
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(seen, "_id").select("text", "toxic")
+def _shares(sizes: dict[int, int], most: int) -> dict[int, float]:
+    """The part of each label's rows in a sample of about ``most``: half each where there are enough of both."""
+    few = min(sizes, key=lambda k: (sizes[k], k))
+    of_few = min(most // 2, sizes[few])
+    return {k: min(1.0, (of_few if k == few else most - of_few) / n) for k, n in sizes.items()}
+
+
+def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> DataFrame:
+    """(text, toxic) of a bounded sample of the labelled rows that training may see.
+
+    The sample is drawn from the labels, before any text is read: about ``most`` rows, which are sent to the texts.
+    """
+    seen = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
+    sizes = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return docs.select(F.col("text").cast("string").alias("text"), F.lit(None).cast("int").alias("toxic")).limit(0)
+    share = _shares(sizes, most)
+    chosen = seen.where(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1 << 30)) < F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)) * (1 << 30))
+    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "_id").select("text", "toxic")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
