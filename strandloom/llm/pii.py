@@ -208,12 +208,13 @@ def disclosing(found: DataFrame, texts: DataFrame, least_texts: int, disclosure:
         return R.empty_like(spark, schema)
     entities = found.select("text_key", F.explode("near").alias("x")).select("text_key", "x.entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     if n_terms <= MOST_SENT_TERMS:
-        sent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in terms.collect()], np.int64)))
+        sent = spark.sparkContext.broadcast(np.sort(terms.toArrow()["term"].to_numpy()))
         counted = texts.select("text").where("text is not null").mapInArrow(_term_counter(sent), "term long, text_key long")
     else:
         words = texts.where("text is not null").select(F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}0-9]+"))).alias("w")).where("w <> ''")
         counted = words.mapInArrow(_hash_words, "term long, text_key long").join(terms, "term", "left_semi")
-    n_of = counted.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    # counted by small sketches that combine before the shuffle: exact for the few texts of a disclosing term
+    n_of = counted.groupBy("term").agg(F.approx_count_distinct("text_key", 0.05).alias("n_term"))
     total = texts.where("text is not null").select(F.approx_count_distinct(F.xxhash64("text"), 0.01)).first()[0]
     n = max(1, total)
     info = F.log2(F.lit(float(n)) / F.col("n_entity"))
