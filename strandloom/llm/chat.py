@@ -200,7 +200,7 @@ def _segments(template: Template):
 def _dealt(rows: DataFrame) -> DataFrame:
     R.ship(rows.sparkSession)
     named = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return named.repartition(R.partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return named.repartition(R.partitions(rows), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
 def format_segments(rows: DataFrame, template: Template | None = None) -> DataFrame:

@@ -13,8 +13,10 @@ from ..shipping import ship  # noqa: F401
 from ..staging import stage, unstage  # noqa: F401
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def partitions(df: DataFrame) -> int:
+    """Partitions for a shuffle of whole texts: the session's number, or that of the input's splits if it has more."""
+    named = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(named, df._jdf.queryExecution().toRdd().getNumPartitions())
 
 
 def cut(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
