@@ -70,16 +70,25 @@ def runs(lines: DataFrame) -> DataFrame:
 
 
 def blocks(lines: DataFrame) -> DataFrame:
-    """(lines, occurrences, weight, line_count, character_count) for each duplicated block."""
+    """(lines, occurrences, weight, line_count, character_count) for each duplicated block.
+
+    Files of equal lines and extension are one class: two of them stand for all (one pair within a file, one across
+    copies), and what is found at a place of theirs holds at that place of every member. However many copies of a file
+    there are, their pairs are not made.
+    """
     lines = stage(numbered_files(lines), "lines")
-    files = lines.groupBy("f").agg(F.first("path_key").alias("path_key"), F.array_sort(F.collect_list(F.struct("idx", "line_number", "text"))).alias("all"))
-    found = runs(lines)
+    held = F.array_sort(F.collect_list(F.struct("idx", "line_number", "text")))
+    files = lines.groupBy("f").agg(F.first("path_key").alias("path_key"), F.first("extension").alias("extension"), held.alias("all"))
+    same = F.struct("extension", "all.text")
+    files = stage(files.withColumns({"c1": F.xxhash64(same), "c2": F.xxhash64(F.lit(1), same)}), "files")
+    two = files.groupBy("c1", "c2").agg(F.min("f").alias("low"), F.max("f").alias("high")).select(F.explode(F.array_distinct(F.array("low", "high"))).alias("f"))
+    found = runs(lines.join(two, "f", "left_semi"))
     left = found.select(F.col("fa").alias("f"), "first", "last")
     right = found.select(F.col("fb").alias("f"), (F.col("first") + F.col("d")).alias("first"), (F.col("last") + F.col("d")).alias("last"))
-    # a place is found again by each of its partners: keep it once before its text is looked up
-    places = left.unionByName(right).distinct()
+    # a place is found again by each of its partners: keep it once, for its class, before texts are looked up
+    places = left.unionByName(right).distinct().join(files.select("f", "c1", "c2"), "f").select("c1", "c2", "first", "last").distinct()
     cut = F.slice("all", F.col("first") + 1, F.col("last") - F.col("first") + 1)
-    told = places.join(files, "f").select("path_key", cut.alias("own")).select(
+    told = places.join(files, ["c1", "c2"]).select("path_key", cut.alias("own")).select(
         F.col("own.text").alias("lines"),
         F.struct("path_key", F.col("own")[0]["line_number"].alias("start_line"), F.element_at("own", -1)["line_number"].alias("end_line")).alias("place"),
     )

@@ -114,3 +114,14 @@ def test_equals_pairwise_expansion(spark, contents):
 def test_extra_columns_do_not_matter(spark, extra):
     rows = spark.createDataFrame([("a", "ts", P, 1), ("b", "ts", P, 2)], f"path_key string, extension string, content string, {extra} int")
     assert duplicates.blocks(lines.classify(lines.explode(rows))).count() == 1
+
+
+def test_copies_stand_for_each_other(spark, monkeypatch):
+    """Copies of a file, with blank lines at other places, and a file that shares a part of them."""
+    files = {f"c{k}": "\n".join([X, X, "", X, "}", P][: 6 - (k == 9)]) + "\n" * k for k in range(9)}
+    files |= {"blank": f"\n{X}\n\n\n{X}\n{X}\n}}\n{P}", "part": f"{Z}\n{X}\n}}\n{P}"}
+    assert blocks(spark, files)[0] == brute({k: (("}",), t) for k, t in files.items()})
+    seen = []
+    monkeypatch.setattr(duplicates, "runs", lambda own, runs=duplicates.runs: seen.append(own.select("f").distinct().count()) or runs(own))
+    blocks(spark, files)
+    assert seen == [3]
