@@ -24,17 +24,30 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """The table, written and read again; scratch space that :func:`unstage` removes."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path  # type: ignore[attr-defined]
     return out
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def unstage(*frames: DataFrame) -> None:
     """Remove staged tables that no later plan reads."""
     for df in frames:
         path = getattr(df, "_staged_at", None)
         if path:
-            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application has staged. Results that were not written yet can no longer be read."""
+    _remove(spark, _own(spark))
