@@ -184,6 +184,7 @@ def _prefix_pairs(hot: DataFrame, percent: int) -> DataFrame:
     entries = R.stage(ranked.where((F.col("at") < probe) & (F.col("l0") != F.col("l1"))).select("item", "id", "n", "label", "at", (F.col("at") < index).alias("indexed")), "entries")
     counted = entries.groupBy("item", "label").agg(F.count("*").alias("c"))
     major = counted.groupBy("item").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1")
+    major = R.stage(major, "major")  # so that the joins below are all of their stage, and uneven sides can be split
     x = entries.join(major, "item").where("label <> major").drop("major", "labels").alias("x")
     y = entries.alias("y")
     x_first = "(x.n < y.n or (x.n = y.n and x.id < y.id))"
@@ -218,6 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the full sets of all that met another
     active = R.stage(met.select(F.col("rep").alias("doc_id")).distinct(), "active")
     sets = R.stage(texts.join(active, "doc_id", "left_semi").mapInArrow(_setter(shingle), "id long, n int, items binary"), "sets")
+    R.unstage(active)
 
     links = _pairs_to_links(pairs, reps, sets, percent)
     labels = R.stage(components.connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
