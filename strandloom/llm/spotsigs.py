@@ -41,6 +41,8 @@ ANCHORS = (
 )
 CHAIN = 3
 STEP = 1
+#: Ranges of ids that a partition gets, about: more of them are dealt more evenly.
+RANGES_PER_PARTITION = 6
 
 
 def _anchors() -> np.ndarray:
@@ -210,9 +212,10 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # place: the larger the id, the earlier; null ids last
     place = F.coalesce(F.bitwise_not("doc_id"), F.lit(2**63 - 1))
-    ranges = R.partitions(spark)
+    partitions = R.partitions(docs)
+    ranges = RANGES_PER_PARTITION * partitions
     bounds = texts.select(place.cast("double").alias("p")).approxQuantile("p", [k / ranges for k in range(1, ranges)], 0.2 / ranges)
-    bounds = sorted({math.floor(b) for b in bounds})
+    bounds = sorted({min(math.floor(b), 2**63 - 1) for b in bounds})
     # the range of a place: how many bounds lie below it; a sorted array of at most `ranges` numbers
     table = spark.sparkContext.broadcast(np.array(bounds, np.int64))
 
@@ -234,5 +237,5 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = lead.groupBy("_place", "_to").agg(F.min_by("doc_id", F.struct("text")).alias("doc_id"), F.min("text").alias("text"), F.max(F.col("text").isNull()).alias("_void"))
     guest = first.select("doc_id", F.when(~F.col("_void"), F.col("text")).alias("text"), F.col("_to").alias("_range"), F.lit(True).alias("_guest"), F.lit(2**63 - 1).alias("_place"))
     own = placed.mapInArrow(ranged, "doc_id long, text string, _place long, _range int").select("doc_id", "text", "_range", F.lit(False).alias("_guest"), "_place")
-    dealt = own.unionByName(guest).repartition(ranges, "_range").sortWithinPartitions("_range", "_guest", "_place", F.col("text").asc_nulls_first())
+    dealt = own.unionByName(guest).repartition(partitions, "_range").sortWithinPartitions("_range", "_guest", "_place", F.col("text").asc_nulls_first())
     return dealt.select("_range", "_guest", "doc_id", "text").mapInArrow(_editor, _EDITED)
