@@ -312,3 +312,47 @@ def test_odd_conversations(spark):
     segments = chat.format_segments(rows).where("conv_id = 1 and loss").collect()
     assert [s["text"] for s in segments] == ["y", "y"]
     assert chat.format_digests(rows.limit(0)).collect() == [] and chat.format_segments(rows.limit(0)).collect() == []
+
+
+# ---- shared text code ----
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_words_do_not_depend_on_blocks(monkeypatch, block):
+    from strandloom.llm import runtime, textcodes
+
+    rng = random.Random(block)
+    array = pa.array(["".join(rng.choice("ab é \n\t.X") for _ in range(rng.randint(0, 60))) for _ in range(30)] + [None])
+    data, offsets = runtime.text_bytes(array)
+    for kind in ("blank", "alnum"):
+        want = textcodes.words(data, offsets, kind, fold=True)
+        monkeypatch.setattr(textcodes, "BLOCK", block)
+        got = textcodes.words(data, offsets, kind, fold=True)
+        monkeypatch.undo()
+        assert (want.hash == got.hash).all() and len(want.hash)
+        pattern = r"[^\x20\x09-\x0D]+" if kind == "blank" else "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
+        flat = [w for t in array.to_pylist() for w in re.findall(pattern, (t or "").translate(FOLD))]
+        assert len(flat) == len(got.hash) and len(set(flat)) == len(set(got.hash.tolist()))
+
+
+def test_slices_of_nulls_and_views():
+    from strandloom.llm import runtime
+
+    array = pa.array(["ab", None, "", "éx", None, "tail"]).slice(1, 4)
+    data, offsets = runtime.text_bytes(array)
+    assert bytes(data).decode() == "éx" and offsets.tolist() == [0, 0, 0, 3, 3]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), array], names=["doc_id", "text"])
+    assert [p.num_rows for p in runtime.cut(batch, "text", 1)] == [2, 1, 1] or sum(p.num_rows for p in runtime.cut(batch, "text", 1)) == 4
+
+
+def test_empty_tables(none):
+    assert spotsigs.edited_likeness(none).collect() == [] and licenses.scan(none).collect() == []
+    assert pieces.digests(none, MODEL).collect() == [] and pieces.encode(none, MODEL).collect() == []
+    members, found = spotsigs.similar_pairs(spotsigs.fingerprints(none))
+    assert members.collect() == [] and found.collect() == []
+
+
+def test_odd_fingerprints(odd):
+    members, found = spotsigs.similar_pairs(spotsigs.fingerprints(odd))
+    assert members.count() == odd.count()
+    assert all(r["a"] is None or r["a"] < r["b"] for r in found.collect())
