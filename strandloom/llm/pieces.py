@@ -35,7 +35,8 @@ from . import runtime as R
 
 MARK = "▁"
 #: Words whose paths a worker keeps before it starts anew.
-MOST_KEPT = 400_000
+MOST_KEPT = 1_200_000
+MOST_FOLLOWS = 600_000
 
 # types of pieces and of models in the public file format (fixed values)
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
@@ -113,7 +114,38 @@ class Transducer:
         self._paths: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self.output = [self._shown(p, kind) for p, _, kind in model.pieces]
-        self._units = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self._units = self._parts()
+        self._arcs = self._automaton()
+
+    def _parts(self) -> re.Pattern:
+        """Where the lattice falls apart: places that no piece spans, so that the sides never merge.
+
+        Those are before a boundary mark that follows text, around ASCII characters that no piece holds, and before an
+        ASCII mark, unless some piece has a mark after the character at hand.
+        """
+        if any(MARK in p[k:] and p[k - 1] != MARK for p in self.scores for k in range(1, len(p)) if p[k] == MARK):
+            return re.compile(".+", re.DOTALL)  # some piece spans words
+        held = set("".join(self.scores))
+        chars = lambda cs: "".join("\\" + c if c in "\\]^-[&~|" else c for c in sorted(cs))
+        alone = chars(chr(c) for c in range(128) if chr(c) not in held and c != 0x20)
+        own = {chr(c) for c in range(128) if chr(c) in held and not chr(c).isalnum()}
+        before = chars({a for p in self.scores for a, b in zip(p, p[1:]) if b in own and a not in own and a != MARK})
+        marks = chars(own)
+        text = f"[^{MARK}{alone}{marks}{before}]" + (f"|[{before}][{marks}]*" if before and marks else f"|[{before}]" if before else "")
+        ways = [f"[{alone}]"] if alone else []
+        ways += [f"{MARK}*[{marks}]*(?:{text})+", f"{MARK}*[{marks}]+"] if marks else [f"{MARK}*(?:{text})+"]
+        return re.compile("|".join([*ways, f"{MARK}+"]))
+
+    def _automaton(self):
+        """Of all arcs: a matcher that gives, at each place, the pieces that end there, the longest first."""
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            found.add_word(piece, (i, len(piece)))
+        if self.ids:
+            found.make_automaton()
+        return found
 
     @staticmethod
     def _shown(piece: str, kind: int) -> bytes:
@@ -155,7 +187,7 @@ class Transducer:
         key = last << 32 | piece
         got = self._follows.get(key)
         if got is None:
-            if len(self._follows) > MOST_KEPT:
+            if len(self._follows) > MOST_FOLLOWS:
                 self._follows.clear()
             names = [self.model.pieces[i][0] for i in (last, piece) if i < _NO_PIECE]
             got = self._follows[key] = self._merged("".join(names)) == names
@@ -167,20 +199,19 @@ class Transducer:
 
     def _single_path(self, unit: str) -> list[int]:
         """With weights of 0 and infinity one arc at most reaches each place at a finite weight; longer ones are tried first."""
-        find, follows, longest, n = self.ids.get, self._follows.get, self.longest, len(unit)
-        arc, back = [_BEGIN] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for begin in range(end - longest if end > longest else 0, end):
-                i = find(unit[begin:end])
-                if i is None:
-                    continue
-                last = arc[begin]
-                ok = follows(last << 32 | i)
-                if ok or (ok is None and self.may_follow(last, i)):
-                    arc[end], back[end] = i, begin
-                    break
-            else:
-                arc[end], back[end] = _NO_PIECE, end - 1
+        follows, n = self._follows.get, len(unit)
+        arc, back = [_NO_PIECE] * (n + 1), list(range(-1, n))  # unless a piece is found: a character without one
+        arc[0] = _BEGIN
+        done = 0
+        for last, (i, size) in self._arcs.iter(unit):
+            end = last + 1
+            if end == done:
+                continue
+            begin = end - size
+            before = arc[begin]
+            ok = follows(before << 32 | i)
+            if ok or (ok is None and self.may_follow(before, i)):
+                arc[end], back[end], done = i, begin, end
         out, at = [], n
         while at:
             i, begin = arc[at], back[at]
@@ -222,7 +253,8 @@ class Transducer:
     def _unit(self, unit: str) -> bytes:
         got = self._older.get(unit)
         if got is None:
-            got = np.array(self._emit(self.shortest_path(unit)), "<u4").tobytes()
+            ids = self._emit(self.shortest_path(unit))
+            got = struct.pack(f"<{len(ids)}I", *ids)
         if len(unit) <= 64:
             if len(self._paths) >= MOST_KEPT // 2:  # two generations: what is still met moves to the new one
                 self._older, self._paths = self._paths, {}
@@ -231,10 +263,10 @@ class Transducer:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, as little-endian unsigned 32-bit numbers."""
-        parts = []
-        for unit in self._units.findall(self.normalise(text)):
-            got = self._paths.get(unit)
-            parts.append(got if got is not None else self._unit(unit))
+        units = self._units.findall(self.normalise(text))
+        parts = list(map(self._paths.get, units))
+        if None in parts:
+            parts = [got if got is not None else self._unit(unit) for got, unit in zip(parts, units, strict=True)]
         return np.frombuffer(b"".join(parts), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
