@@ -151,11 +151,17 @@ def run(args: list[str], directory: str, out: TextIO, spark=None) -> RunStatus:
     config = parse_args(args)
     from .plans import reports
 
-    if spark is None:
-        from pyspark.sql import SparkSession
+    if spark is not None:
+        return reports.run(spark, config, directory, out)
+    from pyspark.sql import SparkSession
 
-        spark = SparkSession.builder.appName(NAME).config("spark.ui.showConsoleProgress", "false").getOrCreate()
-    return reports.run(spark, config, directory, out)
+    from .staging import clear
+
+    spark = SparkSession.builder.appName(NAME).config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    try:
+        return reports.run(spark, config, directory, out)
+    finally:
+        clear(spark)
 
 
 def main() -> int:

@@ -13,6 +13,8 @@ numbers from there, and texts only for the blocks themselves.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,8 +71,15 @@ def runs(lines: DataFrame) -> DataFrame:
     return found.where("seed = 1 and not (fa = fb and last - first + 1 > d)").select(*_SPOT, "first", "last")
 
 
-def blocks(lines: DataFrame) -> DataFrame:
-    """(lines, occurrences, weight, line_count, character_count) for each duplicated block.
+class Found(NamedTuple):
+    """What detection leaves: files with their lines, and the places of blocks by the key of their text."""
+
+    files: DataFrame  # f, path_key, extension, all, c1, c2
+    places: DataFrame  # k1, k2, path_key, start_line, end_line, line_count, character_count, f, first, last
+
+
+def find(lines: DataFrame) -> Found:
+    """All places of duplicated blocks, one row each; nothing is gathered by block.
 
     Files of equal lines and extension are one class: two of them stand for all (one pair within a file, one across
     copies), and what is found at a place of theirs holds at that place of every member. However many copies of a file
@@ -86,17 +95,41 @@ def blocks(lines: DataFrame) -> DataFrame:
     left = found.select(F.col("fa").alias("f"), "first", "last")
     right = found.select(F.col("fb").alias("f"), (F.col("first") + F.col("d")).alias("first"), (F.col("last") + F.col("d")).alias("last"))
     # a place is found again by each of its partners: keep it once, for its class, before texts are looked up
-    places = left.unionByName(right).distinct().join(files.select("f", "c1", "c2"), "f").select("c1", "c2", "first", "last").distinct()
-    cut = F.slice("all", F.col("first") + 1, F.col("last") - F.col("first") + 1)
-    told = places.join(files, ["c1", "c2"]).select("path_key", cut.alias("own")).select(
-        F.col("own.text").alias("lines"),
-        F.struct("path_key", F.col("own")[0]["line_number"].alias("start_line"), F.element_at("own", -1)["line_number"].alias("end_line")).alias("place"),
-    )
-    grouped = told.groupBy("lines").agg(F.array_sort(F.collect_set("place")).alias("occurrences"))
-    characters = F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.length(x))
-    full = grouped.withColumns({"line_count": F.size("lines").cast("long"), "character_count": characters})
-    weight = (F.size("occurrences") - 1).cast("long") * F.col("line_count") * F.col("character_count")
-    return full.where(F.size("occurrences") >= 2).withColumn("weight", weight)
+    of_class = left.unionByName(right).distinct().join(files.select("f", "c1", "c2"), "f").select("c1", "c2", "first", "last").distinct()
+    told = of_class.join(files, ["c1", "c2"]).withColumn("own", _cut()).withColumn("text", F.col("own.text"))
+    places = told.select(
+        F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "path_key",
+        F.col("own")[0]["line_number"].alias("start_line"), F.element_at("own", -1)["line_number"].alias("end_line"),
+        F.size("text").cast("long").alias("line_count"), F.aggregate("text", F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("character_count"),
+        "f", "first", "last",
+    )
+    return Found(files, stage(places, "places"))
+
+
+def _cut():
+    return F.slice("all", F.col("first") + 1, F.col("last") - F.col("first") + 1)
+
+
+def summary(found: Found) -> DataFrame:
+    """(k1, k2, lines, n_places, line_count, character_count, weight, first_path, first_line) for each block."""
+    one = F.min(F.struct("path_key", "start_line", "end_line", "f", "first", "last")).alias("one")
+    counted = found.places.groupBy("k1", "k2").agg(F.count("*").alias("n_places"), F.max("line_count").alias("line_count"), F.max("character_count").alias("character_count"), one)
+    # whatever pair made a place, its partner is another one: a block has two at least
+    heads = counted.select("k1", "k2", "n_places", "line_count", "character_count", F.col("one.path_key").alias("first_path"), F.col("one.start_line").alias("first_line"), "one.f", "one.first", "one.last")
+    full = heads.join(found.files.select("f", "all"), "f").withColumn("lines", F.col("all.text"))
+    cut = F.slice("lines", F.col("first") + 1, F.col("last") - F.col("first") + 1)
+    weight = (F.col("n_places") - 1) * F.col("line_count") * F.col("character_count")
+    return full.select("k1", "k2", cut.alias("lines"), "n_places", "line_count", "character_count", weight.alias("weight"), "first_path", "first_line")
+
+
+def blocks(lines: DataFrame) -> DataFrame:
+    """(lines, occurrences, weight, line_count, character_count) for each block, its places gathered in an array.
+
+    For results whose blocks have places that fit a row; :func:`find` and :func:`summary` give the same without.
+    """
+    found = find(lines)
+    gathered = found.places.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("path_key", "start_line", "end_line"))).alias("occurrences"))
+    return summary(found).join(gathered, ["k1", "k2"]).select("lines", "occurrences", "line_count", "character_count", "weight")
 
 
 #: The total order of blocks, and whether it descends: texts differ, so no two are equal.
@@ -104,7 +137,10 @@ ORDER = {"weight": True, "line_count": True, "character_count": True, "first_pat
 
 
 def sortable(found: DataFrame) -> DataFrame:
-    return found.withColumns({"first_path": F.col("occurrences")[0]["path_key"], "first_line": F.col("occurrences")[0]["start_line"], "block_text": F.array_join("lines", "\n")})
+    """Blocks (nested or summarised) with all columns of the order."""
+    if "occurrences" in found.columns:
+        found = found.withColumns({"first_path": F.col("occurrences")[0]["path_key"], "first_line": F.col("occurrences")[0]["start_line"]})
+    return found.withColumn("block_text", F.array_join("lines", "\n"))
 
 
 def order() -> list:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..model import AnalysisError, ChangedFile, Config, LineRange, ReportKind, RunStatus, SourceFile
 from ..operators import changes, complexity, duplicates, lines
 from ..sources import files, git
+from ..staging import stage
 
 
 def show_ranges(ranges: list[LineRange]) -> str:
@@ -55,10 +57,19 @@ def _timed(header: Header, name: str, work: Callable):
     return out
 
 
-def duplicate_blocks(contents: DataFrame, changed: DataFrame | None = None) -> DataFrame:
-    """Blocks of (path_key, extension, content) in report order; with ``changed``, those that touch its ranges."""
-    found = duplicates.blocks(lines.classify(lines.explode(contents)))
-    return duplicates.ranked(found if changed is None else changes.blocks_touching_lines(found, changed))
+def duplicate_blocks(contents: DataFrame, changed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(blocks, places) of (path_key, extension, content), each by ``rank`` in the report.
+
+    With ``changed``, the blocks that have a place which touches its ranges. Places are rows of their own, so a block
+    may have any number of them.
+    """
+    found = duplicates.find(lines.classify(lines.explode(contents)))
+    kept = duplicates.summary(found)
+    if changed is not None:
+        kept = kept.join(changes.touching_lines(found.places, changed).select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+    blocks = stage(duplicates.numbered(kept).drop("block_text"), "blocks")
+    places = found.places.join(blocks.select("k1", "k2", "rank"), ["k1", "k2"]).select("rank", "path_key", "start_line", "end_line")
+    return blocks.orderBy("rank"), places.orderBy("rank", "path_key", "start_line", "end_line")
 
 
 def complex_functions(contents: DataFrame, max_cognitive: int, max_cyclomatic: int, changed: DataFrame | None = None) -> DataFrame:
@@ -79,11 +90,12 @@ def duplicate_header(header: Header, blocks: int, verbose: bool) -> list[str]:
     return text + header.timing_lines() if verbose else text
 
 
-def duplicate_block(rank: int, block, verbose: bool) -> list[str]:
-    text = ["", f"#{rank}"]
+def duplicate_block(block, verbose: bool) -> list[str]:
+    """What stands before the places of a block."""
+    text = ["", f"#{block['rank']}"]
     if verbose:
-        text += [f"Weight: {block['weight']}", f"Lines: {len(block['lines'])}", f"Occurrences: {len(block['occurrences'])}", "", "Code:", *("  " + x for x in block["lines"]), "", "Locations:"]
-    return text + [f"- {o['path_key']}:{o['start_line']}-{o['end_line']}" for o in block["occurrences"]]
+        text += [f"Weight: {block['weight']}", f"Lines: {len(block['lines'])}", f"Occurrences: {block['n_places']}", "", "Code:", *("  " + x for x in block["lines"]), "", "Locations:"]
+    return text
 
 
 def complexity_header(header: Header, functions: int, config: Config) -> list[str]:
@@ -131,12 +143,14 @@ def run(spark: SparkSession, config: Config, directory: str, out: TextIO) -> Run
         texts = files.as_text(contents).persist()
         try:
             _timed(header, "File processing", lambda: _spark_errors(texts.count))
-            result = duplicate_blocks(texts, scope).persist()
-            n = _timed(header, "Duplicate detection", lambda: _spark_errors(result.count))
+            blocks, places = _timed(header, "Duplicate detection", lambda: _spark_errors(lambda: duplicate_blocks(texts, scope)))
+            n = blocks.count()
             _write(out, duplicate_header(header, n, config.verbose))
-            for rank, row in enumerate(result.toLocalIterator(), 1):
-                _write(out, duplicate_block(rank, row, config.verbose))
-            result.unpersist()
+            at = places.toLocalIterator()
+            for block in blocks.toLocalIterator():
+                _write(out, duplicate_block(block, config.verbose))
+                for place in itertools.islice(at, block["n_places"]):
+                    _write(out, [f"- {place['path_key']}:{place['start_line']}-{place['end_line']}"])
         finally:
             texts.unpersist()
     else:

@@ -82,13 +82,14 @@ def dup_blocks_mixed(spark, sf_dir):
 
 
 def dup_blocks_ranked(spark, sf_dir):
-    found = duplicates.numbered(duplicates.blocks(_lines(spark, sf_dir)))
-    return found.select(F.col("rank").cast("long").alias("rank"), "weight", F.size("occurrences").cast("long").alias("n_places"), "block_text")
+    found = duplicates.numbered(duplicates.summary(duplicates.find(_lines(spark, sf_dir))))
+    return found.select(F.col("rank").cast("long").alias("rank"), "weight", "n_places", "block_text")
 
 
 def dup_occurrences(spark, sf_dir):
-    found = duplicates.blocks(_lines(spark, sf_dir)).select(F.array_join("lines", "\n").alias("block_text"), F.explode("occurrences").alias("o"))
-    return found.select("block_text", "o.path_key", F.col("o.start_line").cast("long").alias("start_line"), F.col("o.end_line").cast("long").alias("end_line"))
+    found = duplicates.find(_lines(spark, sf_dir))
+    text = duplicates.summary(found).select("k1", "k2", F.array_join("lines", "\n").alias("block_text"))
+    return found.places.join(text, ["k1", "k2"]).select("block_text", "path_key", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
 
 
 def changed_ranges_merged(spark, sf_dir):
