@@ -87,21 +87,21 @@ def _gram_hashes(padded: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndar
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, n, gram, count) of sampled texts, summed within each slice; n = 0: whole words."""
-    for part in R.pieces_of(batches, most=1 << 21):
+    for part in R.pieces_of(batches):
         codes, flags, start, end, doc = _letters(part, 1)
         langs = part.column(0).to_pylist()
         names = sorted(set(langs))
         lang = np.array([names.index(v) for v in langs])[doc] if len(doc) else np.zeros(0, np.int64)
-        hashes = X.run_hashes(X.code_keys(codes), flags, start, end)
-        found = [(0, hashes, lang)]
         padded, word, place = _padded(codes, start, end)
-        for n in range(1, LONGEST + 1):
-            h, ends = _gram_hashes(padded, place, n)
-            if n == 1:  # a boundary alone says nothing
-                inner = padded[ends] != _EDGE
-                h, ends = h[inner], ends[inner]
-            found.append((n, h, lang[word[ends]]))
-        for n, h, of in found:
+        for n in range(LONGEST + 1):  # the arrays of one length at a time
+            if n == 0:
+                h, of = X.run_hashes(X.code_keys(codes), flags, start, end), lang
+            else:
+                h, ends = _gram_hashes(padded, place, n)
+                if n == 1:  # a boundary alone says nothing
+                    inner = padded[ends] != _EDGE
+                    h, ends = h[inner], ends[inner]
+                of = lang[word[ends]]
             for k, name in enumerate(names):
                 grams, counts = np.unique(h[of == k], return_counts=True)
                 yield pa.RecordBatch.from_arrays(

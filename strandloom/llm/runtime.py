@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,8 +81,28 @@ def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
 
 
 def pieces_of(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield from cut(batch, column, most)
+    """All batches, cut to size; when they end, the worker gives its free memory back."""
+    try:
+        for batch in batches:
+            yield from cut(batch, column, most)
+    finally:
+        release()
+
+
+@functools.lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def release() -> None:
+    """Workers are used again by later tasks: what they hold for nothing would add up."""
+    pa.default_memory_pool().release_unused()
+    trim = _trim()
+    if trim is not None:
+        trim(0)
 
 
 def worker_env() -> None:
