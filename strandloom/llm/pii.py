@@ -196,30 +196,40 @@ def _row_number(texts: DataFrame) -> DataFrame:
 MOST_SENT_TERMS = 1_000_000
 
 
+def _texts_of_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, text_key) for each text and each of the staged ``terms`` in it."""
+    spark = texts.sparkSession
+    some = texts.where("text is not null")
+    if terms.count() <= MOST_SENT_TERMS:
+        sent = spark.sparkContext.broadcast(np.sort(terms.toArrow()["term"].to_numpy()))
+        return some.select("text").mapInArrow(_term_counter(sent), "term long, text_key long")
+    words = some.select(F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}0-9]+"))).alias("w")).where("w <> ''")
+    return words.mapInArrow(_hash_words, "term long, text_key long").join(terms, "term", "left_semi")
+
+
 def disclosing(found: DataFrame, texts: DataFrame, least_texts: int, disclosure: float) -> DataFrame:
-    """(entity, term) pairs whose mutual information reaches the threshold; counts over all texts."""
+    """(entity, term) pairs whose mutual information reaches the threshold; counts are exact and over all texts.
+
+    A pair discloses if its term is in no more texts than ``limit``. Sketches, which combine before the shuffle, put
+    aside the terms that are beyond twice their limit (their error is a twentieth); the others are counted exactly.
+    """
     spark = found.sparkSession
     close = found.select("text_key", F.explode("near").alias("x")).select("text_key", "x.entity", "x.term").distinct()
     pairs = R.stage(close.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= least_texts), "pairs")
-    terms = R.stage(pairs.select("term").distinct(), "terms")
-    n_terms = terms.count()
-    schema = "entity long, term long"
-    if not n_terms:
-        return R.empty_like(spark, schema)
-    entities = found.select("text_key", F.explode("near").alias("x")).select("text_key", "x.entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    if n_terms <= MOST_SENT_TERMS:
-        sent = spark.sparkContext.broadcast(np.sort(terms.toArrow()["term"].to_numpy()))
-        counted = texts.select("text").where("text is not null").mapInArrow(_term_counter(sent), "term long, text_key long")
-    else:
-        words = texts.where("text is not null").select(F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}0-9]+"))).alias("w")).where("w <> ''")
-        counted = words.mapInArrow(_hash_words, "term long, text_key long").join(terms, "term", "left_semi")
-    # counted by small sketches that combine before the shuffle: exact for the few texts of a disclosing term
-    n_of = counted.groupBy("term").agg(F.approx_count_distinct("text_key", 0.05).alias("n_term"))
-    total = texts.where("text is not null").select(F.approx_count_distinct(F.xxhash64("text"), 0.01)).first()[0]
-    n = max(1, total)
-    info = F.log2(F.lit(float(n)) / F.col("n_entity"))
-    pmi = F.log2(F.col("both") * F.lit(float(n)) / (F.col("n_entity") * F.greatest("n_term", "both")))
-    return pairs.join(entities, "entity").join(n_of, "term").where((pmi >= disclosure * info) & (info > 0)).select("entity", "term")
+    if pairs.isEmpty():
+        return R.empty_like(spark, "entity long, term long")
+    entities = close.select("text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    n = texts.where("text is not null").select(F.xxhash64("text")).distinct().count()
+    # log2(both * n / (n_entity * n_term)) >= disclosure * log2(n / n_entity), solved for n_term
+    limit = F.col("both") * F.pow(F.lit(float(n)) / F.col("n_entity"), F.lit(1.0 - disclosure))
+    bounded = R.stage(pairs.join(entities, "entity").where(F.col("n_entity") < n).select("entity", "term", "both", limit.alias("limit")), "bounded")
+    most = R.stage(bounded.groupBy("term").agg(F.max("limit").alias("limit")), "terms")
+    guessed = _texts_of_terms(texts, most).groupBy("term").agg(F.approx_count_distinct("text_key", 0.05).alias("guess"))
+    rare = R.stage(guessed.join(most, "term").where(F.col("guess") <= 2 * F.col("limit") + 50).select("term"), "rare")
+    if rare.isEmpty():
+        return R.empty_like(spark, "entity long, term long")
+    n_of = _texts_of_terms(texts, rare).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    return bounded.join(n_of, "term").where(F.greatest("n_term", "both") <= F.col("limit") * (1 + 1e-12)).select("entity", "term")
 
 
 def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -356,3 +356,44 @@ def test_odd_fingerprints(odd):
     members, found = spotsigs.similar_pairs(spotsigs.fingerprints(odd))
     assert members.count() == odd.count()
     assert all(r["a"] is None or r["a"] < r["b"] for r in found.collect())
+
+
+def test_disclosure_equals_the_definition(spark):
+    """Every pair of entity and near term, by counts over distinct texts."""
+    import math
+
+    rng = random.Random(11)
+    common, rare = ["the", "of", "and", "to", "in"], [f"t{k}" for k in range(40)]
+    texts = []
+    for k in range(260):
+        words = [rng.choice(common if rng.random() < 0.6 else rare[: 6 + k % 30]) for _ in range(14)]
+        if k % 3 == 0:
+            at = rng.randint(0, 14)
+            words[at:at] = [f"p{k % 9}@mail.com", f"z{k % 9 if rng.random() < 0.7 else rng.randint(0, 8)}"]
+        elif k % 5 == 0:
+            words.append(f"z{rng.randint(0, 8)}")
+        texts.append(" ".join(words))
+    texts += texts[:40]
+    near, by_entity, by_term = {}, {}, {}
+    for text in set(texts):
+        for w in set(text.split()):
+            by_term.setdefault(w, set()).add(text)
+        for _, s, e in plain_spans(text):
+            before, after = text[:s].split()[-pii.NEAR :], text[e:].split()[: pii.NEAR]
+            by_entity.setdefault(text[s:e], set()).add(text)
+            for w in {*before, *after}:
+                near.setdefault((text[s:e], w), set()).add(text)
+    n = len(set(texts))
+    want = set()
+    for (entity, w), both in near.items():
+        info = math.log2(n / len(by_entity[entity]))
+        if len(both) >= 2 and info > 0 and math.log2(len(both) * n / (len(by_entity[entity]) * len(by_term[w]))) >= 0.45 * info:
+            want.add((entity, w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = set()
+    for r in pii.find(docs, least_texts=2, disclosure=0.45).collect():
+        text = texts[r["doc_id"]]
+        for s in r["added"]:
+            entity = next(text[b["start"] : b["end"]] for b in r["spans"])
+            got.add((entity, text[s["start"] : s["end"]]))
+    assert got == want and len(want) > 3
