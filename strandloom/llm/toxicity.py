@@ -6,7 +6,9 @@ obfuscation), how close hits stand to second-person words, and the rates of capi
 words. Trees of small depth are boosted on them, and their sums are mapped to probabilities by isotonic regression
 on texts that the trees have not seen.
 
-Learning uses a bounded sample of distinct labelled texts (``MOST_TRAINING``, by a hash) in three folds.
+Learning uses a bounded sample of distinct labelled texts (``MOST_TRAINING``, by a hash) in three folds. The sample has
+more of the rarer label than the table; trees and calibration weigh each text by the labelled rows that it stands for,
+so that a score is a probability under the table's own mix of labels, however large the table is.
 The features that the trees learn from are crosswise: a text's hits come from a lexicon of the other two folds; the
 lexicon for scoring comes from all three. A part of the sample is kept from the trees for the calibration. Lexicon
 counts are taken on the executors; the driver holds lexicons and one row of features for each sampled text. Scoring is
@@ -217,7 +219,7 @@ def _featurer(sent):
             for fold in np.unique(folds):
                 own = part.filter(pa.array(folds == fold))
                 x = features(sent.value[int(fold)], own, own.schema.get_field_index("text"))
-                yield pa.RecordBatch.from_arrays([own.column("held"), own.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], names=["held", "toxic", "x"])
+                yield pa.RecordBatch.from_arrays([own.column("held"), own.column("toxic"), own.column("weight"), pa.array(list(x), pa.list_(pa.float64()))], names=["held", "toxic", "weight", "x"])
 
     return run
 
@@ -254,21 +256,22 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> Trees:
-    """Newton boosting of the logistic loss on histograms of feature quantiles."""
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE, weight: np.ndarray | None = None) -> Trees:
+    """Newton boosting of the weighted logistic loss on histograms of feature quantiles."""
+    w = np.ones(len(y)) if weight is None else weight
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, CUTS + 1)[1:-1])) for f in range(x.shape[1])]
     for f in range(x.shape[1]):  # a rare feature has all its quantiles at zero
         if (x[:, f] > 0).any():
             edges[f] = np.unique(np.concatenate([edges[f], [0.0], np.quantile(x[x[:, f] > 0, f], np.linspace(0, 1, CUTS // 2 + 1)[:-1])]))
     bins = np.stack([np.searchsorted(edges[f], x[:, f], "left") for f in range(x.shape[1])], axis=1)
-    p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    p = np.clip(np.average(y, weights=w), 1e-3, 1 - 1e-3)
     base = float(np.log(p / (1 - p)))
     sums = np.full(len(y), base)
     inner, leaves = 2**DEPTH - 1, 2**DEPTH
     feats, cuts, values = [], [], []
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-sums))
-        g, h = y - q, np.maximum(q * (1 - q), 1e-9)
+        g, h = w * (y - q), w * np.maximum(q * (1 - q), 1e-9)
         feature, threshold = np.zeros(inner, np.int64), np.full(inner, np.inf)
         node = np.zeros(len(y), np.int64)
         for level in range(DEPTH):
@@ -297,14 +300,22 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE
     return Trees(np.array(feats), np.array(cuts), np.array(values), base)
 
 
-def isotonic(sums: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(sums: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool-adjacent-violators: increasing knots (sum, probability), with a virtual text of the other label at each end."""
     order = np.argsort(sums, kind="stable")
-    blocks: list[list[float]] = []  # weight, labels, first sum, last sum
-    pairs = [(sums[order[0]], 1.0), *((sums[i], float(y[i])) for i in order), (sums[order[-1]], 0.0)]
-    for s, label in pairs:
-        blocks.append([1.0, label, s, s])
-        while len(blocks) > 1 and (blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0] or blocks[-2][3] == blocks[-1][2]):
+    w = np.ones(len(y)) if weight is None else weight
+    rows = [(sums[order[0]], 1.0, 1.0), *((sums[i], float(y[i]), float(w[i])) for i in order), (sums[order[-1]], 0.0, 1.0)]
+    blocks: list[list[float]] = []  # weight, labels, first sum, last sum; of texts with the same sum, before any are pooled
+    for s, label, n in rows:
+        if blocks and blocks[-1][2] == s:
+            blocks[-1][0] += n
+            blocks[-1][1] += n * label
+        else:
+            blocks.append([n, n * label, s, s])
+    equal, blocks = blocks, []
+    for block in equal:
+        blocks.append(block)
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
             b = blocks.pop()
             a = blocks[-1]
             blocks[-1] = [a[0] + b[0], a[1] + b[1], a[2], b[3]]
@@ -325,17 +336,22 @@ class Model:
 
 
 def fit(training: DataFrame, most: int = MOST_TRAINING) -> Model | None:
-    """A model from rows (text, toxic); None without texts of both labels."""
+    """A model from rows (text, toxic); None without texts of both labels.
+
+    A column ``weight`` says how many rows of the table each row stands for; without it, one.
+    """
     spark = training.sparkSession
     R.ship(spark)
-    rows = training.where("text is not null and toxic in (0, 1)").select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    weight = F.col("weight") if "weight" in training.columns else F.lit(1.0)
+    rows = training.where("text is not null and toxic in (0, 1)").select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"), weight.alias("weight"))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
     share = _shares(sizes, most)
     place = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30))
-    wanted = F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]) * (1 << 30)
-    distinct = rows.where(place < wanted).dropDuplicates(["text", "toxic"])
+    own = F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
+    # a text stands for its rows: the drawn ones, each for as many as its draw left out
+    distinct = rows.where(place < own * (1 << 30)).groupBy("text", "toxic").agg(F.sum(F.col("weight") / own).alias("weight"))
     fold = lambda salt, n: F.pmod(F.xxhash64("text", F.lit(salt)), F.lit(n)).cast("int")
     sample = R.stage(distinct.withColumns({"fold": fold(8, FOLDS), "held": fold(9, 10) >= 7}), "labelled")
     n = {(r["fold"], r["toxic"]): r["n"] for r in sample.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
@@ -348,21 +364,23 @@ def fit(training: DataFrame, most: int = MOST_TRAINING) -> Model | None:
         return _lexicon(kept.groupBy("n", "entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), of(1), of(0))
 
     sent = spark.sparkContext.broadcast([lexicon_without(k) for k in range(FOLDS)])
-    got = sample.select("fold", "held", "toxic", "text").mapInArrow(_featurer(sent), "held boolean, toxic int, x array<double>").collect()
+    got = sample.select("fold", "held", "toxic", "weight", "text").mapInArrow(_featurer(sent), "held boolean, toxic int, weight double, x array<double>").collect()
     lexicon = lexicon_without(None)
     R.unstage(sample, counts)
     x = np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES))
     y = np.array([r["toxic"] for r in got], float)
     held = np.array([r["held"] for r in got], bool)
-    order = np.lexsort((*x.T, y, held))  # rows come in any order; a model is the same each time
-    x, y, held = x[order], y[order], held[order]
+    w = np.array([r["weight"] for r in got], float)
+    order = np.lexsort((*x.T, y, held, w))  # rows come in any order; a model is the same each time
+    x, y, held, w = x[order], y[order], held[order], w[order]
     first, second = ~held, held
     if min(y[first].sum(), (1 - y[first]).sum(), y[second].sum(), (1 - y[second]).sum()) < 1:
         first = second = np.ones(len(y), bool)
     if not len(y) or not 0 < y.sum() < len(y):
         return Model(lexicon, None, None)
-    trees = boost(x[first], y[first])
-    return Model(lexicon, trees, isotonic(trees.sums(x[second]), y[second]))
+    w = w / w.mean()
+    trees = boost(x[first], y[first], weight=w[first])
+    return Model(lexicon, trees, isotonic(trees.sums(x[second]), y[second], w[second]))
 
 
 def _scorer(sent):
@@ -400,17 +418,19 @@ def _shares(sizes: dict[int, int], most: int) -> dict[int, float]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> DataFrame:
-    """(text, toxic) of a bounded sample of the labelled rows that training may see.
+    """(text, toxic, weight) of a bounded sample of the labelled rows that training may see.
 
     The sample is drawn from the labels, before any text is read: about ``most`` rows, which are sent to the texts.
+    A row's weight is the number of labelled rows that it stands for: one over its label's share.
     """
     seen = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return docs.select(F.col("text").cast("string").alias("text"), F.lit(None).cast("int").alias("toxic")).limit(0)
+        return docs.select(F.col("text").cast("string").alias("text"), F.lit(None).cast("int").alias("toxic"), F.lit(1.0).alias("weight")).limit(0)
     share = _shares(sizes, most)
-    chosen = seen.where(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1 << 30)) < F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)) * (1 << 30))
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "_id").select("text", "toxic")
+    own = F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))
+    chosen = seen.where(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1 << 30)) < own * (1 << 30)).withColumn("weight", 1.0 / own)
+    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "_id").select("text", "toxic", "weight")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -101,6 +101,28 @@ def test_toxicity_folds_and_odd_rows(spark, odd, none):
     assert {r["score"] for r in toxicity.classify(odd, labels.where("toxic = 1")).collect()} == {0.0}
 
 
+def test_scores_do_not_depend_on_the_sample(spark):
+    """A word of all toxic and of some clean texts means the same probability when few clean texts are sampled."""
+    rng = random.Random(12)
+    words = [invented(rng, "aa", 1) for _ in range(300)]
+    rows = []
+    for k in range(9000):
+        toxic = int(k % 20 == 0)
+        text = [rng.choice(words) for _ in range(12)]
+        if toxic or rng.random() < 0.06:
+            text[5] = "zuzzib"
+        rows.append((k, " ".join(text), toxic))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache()
+    fixed = spark.createDataFrame([(0, " ".join([*words[:5], "zuzzib", *words[5:11]]))], "doc_id long, text string")
+
+    def of(most):
+        model = toxicity.fit(toxicity.labelled(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"), most), most)
+        return toxicity.score(model, fixed, ["doc_id"]).first()["score"]
+
+    whole = of(24_000)
+    assert 0.3 < whole < 0.65 and abs(of(1200) - whole) < 0.17
+
+
 def test_masked_words_are_read():
     import pyarrow as pa
 
