@@ -45,7 +45,6 @@ LEAST_TEXTS = 3
 _SPAN = "struct<kind:string,start:int,end:int>"
 _NEAR = "struct<entity:long,term:long,kind:string,start:int,end:int>"
 _FOUND = f"row long, doc_id long, text_key long, spans array<{_SPAN}>, near array<{_NEAR}>"
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
 def _digits(s: str) -> str:
@@ -116,8 +115,38 @@ def _term_kind(term: str) -> str:
     return "name" if term[0].isupper() and not term.isupper() else "term"
 
 
+def _words(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts by code points: starts, ends, and hashes of their lowered form.
+
+    Candidates and counts both come from here. A word is a run of letters, marks and digits, also across an apostrophe
+    between two of them.
+    """
+    codes = X.lower_codes(codes)
+    flags = X.is_letter(codes) | ((codes >= 48) & (codes <= 57))
+    joint = (codes == 0x27) | (codes == 0x2019)
+    joint[1:] &= flags[:-1]
+    joint[:-1] &= flags[1:]
+    some = offsets[1:] > offsets[:-1]  # an apostrophe at the end of a text joins nothing
+    joint[offsets[:-1][some]] = False
+    joint[offsets[1:][some] - 1] = False
+    codes = np.where(joint, np.uint32(0x27), codes)
+    flags |= joint
+    start, end = X.spans(flags, offsets)
+    return start, end, X.run_hashes(X.code_keys(codes), flags, start, end).view(np.int64)
+
+
+def _words_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _words(codes, np.array([0, len(codes)]))
+
+
+def _text_key(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _around(text: str, spans: list[tuple[str, int, int]], near: int) -> list[dict]:
     """Terms within ``near`` words on either side of each entity, outside all entities."""
+    first, last, hashes = _words_of(text)
     taken = sorted((s, e) for _, s, e in spans)
     merged: list[list[int]] = []
     for s, e in taken:
@@ -129,20 +158,11 @@ def _around(text: str, spans: list[tuple[str, int, int]], near: int) -> list[dic
     for kind, s, e in spans:
         value = text[s:e].lower() if kind == "email" else _digits(text[s:e]) if kind != "ip" else text[s:e]
         entity = int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
-        reach = 40 * near
-        before = [m for m in _WORD.finditer(text, max(0, s - reach), s)]
-        after = []
-        for m in _WORD.finditer(text, e, min(len(text), e + reach)):
-            after.append(m)
-            if len(after) >= near:
-                break
-        for m in [*before[-near:], *after]:
-            a, b = m.span()
-            # a word cut by the reach, or one inside an entity, is no term
-            if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()) or any(a < y and b > x for x, y in merged):
-                continue
-            term = X.U64(X.hash_text(m[0].lower())).astype(np.int64)
-            out.append({"entity": entity, "term": int(term), "kind": _term_kind(m[0]), "start": a, "end": b})
+        i, j = int(np.searchsorted(last, s, "right")), int(np.searchsorted(first, e))
+        for k in [*range(max(0, i - near), i), *range(j, min(len(first), j + near))]:
+            a, b = int(first[k]), int(last[k])
+            if not any(a < y and b > x for x, y in merged):
+                out.append({"entity": entity, "term": int(hashes[k]), "kind": _term_kind(text[a:b]), "start": a, "end": b})
     return out
 
 
@@ -156,7 +176,7 @@ def _finder(near: int):
                 own = base_spans(text or "")
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in own])
                 nears.append(_around(text, own, near) if own else [])
-                keys.append(int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) if own else None)
+                keys.append(_text_key(text) if own else None)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(keys, pa.int64()), pa.array(spans, span), pa.array(nears, close)],
                 names=["row", "doc_id", "text_key", "spans", "near"],
@@ -166,23 +186,21 @@ def _finder(near: int):
 
 
 def _term_counter(terms):
-    """(term, text_key) for each text and each wanted term in it, and one row (null) for each text."""
+    """(term, text_key) for each text and each wanted term in it; each word is wanted if ``terms`` is None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = terms.value
         for part in R.pieces_of(batches):
             data, offsets = R.text_bytes(part.column(0))
             codes, offsets = X.code_points(data, offsets)
-            codes = X.lower_codes(codes)
-            flags = X.is_letter(codes) | ((codes >= 48) & (codes <= 57))
-            start, end = X.spans(flags, offsets)
-            at = X.lookup(wanted, X.run_hashes(X.code_keys(codes), flags, start, end).view(np.int64))
+            start, _, words = _words(codes, offsets)
             doc = np.searchsorted(offsets, start, "right") - 1
-            hit = at >= 0
-            pairs = np.unique(np.stack([doc[hit], at[hit]]), axis=1)
+            if terms is not None:
+                hit = X.lookup(terms.value, words) >= 0
+                doc, words = doc[hit], words[hit]
+            pairs = np.unique(np.stack([doc, words]), axis=1)
             texts = part.column(0).to_pylist()
-            used = {int(d): int.from_bytes(hashlib.blake2b((texts[d] or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for d in np.unique(pairs[0])}
-            yield pa.RecordBatch.from_arrays([pa.array(wanted[pairs[1]], pa.int64()), pa.array([used[int(d)] for d in pairs[0]], pa.int64())], names=["term", "text_key"])
+            used = {int(d): _text_key(texts[d] or "") for d in np.unique(pairs[0])}
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[1], pa.int64()), pa.array([used[int(d)] for d in pairs[0]], pa.int64())], names=["term", "text_key"])
 
     return run
 
@@ -203,8 +221,7 @@ def _texts_of_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
     if terms.count() <= MOST_SENT_TERMS:
         sent = spark.sparkContext.broadcast(np.sort(terms.toArrow()["term"].to_numpy()))
         return some.select("text").mapInArrow(_term_counter(sent), "term long, text_key long")
-    words = some.select(F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}0-9]+"))).alias("w")).where("w <> ''")
-    return words.mapInArrow(_hash_words, "term long, text_key long").join(terms, "term", "left_semi")
+    return some.select("text").mapInArrow(_term_counter(None), "term long, text_key long").join(terms, "term", "left_semi")
 
 
 def disclosing(found: DataFrame, texts: DataFrame, least_texts: int, disclosure: float) -> DataFrame:
@@ -232,12 +249,6 @@ def disclosing(found: DataFrame, texts: DataFrame, least_texts: int, disclosure:
     return bounded.join(n_of, "term").where(F.greatest("n_term", "both") <= F.col("limit") * (1 + 1e-12)).select("entity", "term")
 
 
-def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        terms = [int(X.U64(X.hash_text(w)).astype(np.int64)) for w in batch.column("w").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), batch.column("text_key")], names=["term", "text_key"])
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     R.ship(docs.sparkSession)
     return _row_number(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))

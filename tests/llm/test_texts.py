@@ -213,6 +213,15 @@ def test_disclosing_terms(spark):
     assert "[NAME] writes the mail [EMAIL] of 0" in clean[0] and clean[30] == texts[30]
 
 
+@pytest.mark.parametrize("name", ["O'Brien", "D’Angelo", "Ame\u0301lie", "Στέφανος", "İpek", "कविता"])
+def test_names_disclose_however_they_are_written(spark, name):
+    """Candidates and counts have the same words: apostrophes, marks and letters that lower in an unusual way."""
+    texts = [f"the {name} writes {k} to zz.top@mail.example.com" for k in range(4)] + [f"the other writes {k} to some" for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["added"]] for r in pii.find(docs).collect()}
+    assert all(found[k] == ([name] if k < 4 else []) for k in range(64))
+
+
 def test_sanitised_rows_keep_their_columns(odd, none):
     got = pii.sanitise(odd)
     assert got.schema == odd.schema and got.count() == odd.count()
