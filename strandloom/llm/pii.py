@@ -6,8 +6,9 @@ information content: who reads the term then knows most of what the entity would
 
 Counts are over distinct texts, so that copies of one text are one witness, and a disclosure needs several texts.
 One pass finds entities and the terms around them; only (entity, term) pairs with enough witnesses remain, and a
-second pass counts in how many texts of the corpus the remaining terms occur. Spans of terms are joined back by row;
-no text is shuffled.
+second pass counts in how many texts of the corpus the remaining terms occur. A text that shows the entity has a span
+at each occurrence of the term, near or far. Texts meet their terms by row: while those are few they are sent to the
+texts, beyond that Spark shuffles the texts.
 
 Defined results: a null text is empty and has no spans; rows are independent, repeated rows get the same spans; an
 empty table gives an empty result.
@@ -44,7 +45,7 @@ LEAST_TEXTS = 3
 
 _SPAN = "struct<kind:string,start:int,end:int>"
 _NEAR = "struct<entity:long,term:long,kind:string,start:int,end:int>"
-_FOUND = f"row long, doc_id long, text_key long, spans array<{_SPAN}>, near array<{_NEAR}>"
+_FOUND = f"row long, doc_id long, text_key long, spans array<{_SPAN}>, entities array<long>, near array<{_NEAR}>"
 
 
 def _digits(s: str) -> str:
@@ -144,24 +145,30 @@ def _text_key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _entity(text: str, kind: str, s: int, e: int) -> int:
+    value = text[s:e].lower() if kind == "email" else _digits(text[s:e]) if kind != "ip" else text[s:e]
+    return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _outside(start: np.ndarray, end: np.ndarray, spans: list[tuple[str, int, int]]) -> np.ndarray:
+    """Which words overlap no entity."""
+    free = np.ones(len(start), bool)
+    for _, s, e in spans:
+        free[np.searchsorted(end, s, "right") : np.searchsorted(start, e)] = False
+    return free
+
+
 def _around(text: str, spans: list[tuple[str, int, int]], near: int) -> list[dict]:
     """Terms within ``near`` words on either side of each entity, outside all entities."""
     first, last, hashes = _words_of(text)
-    taken = sorted((s, e) for _, s, e in spans)
-    merged: list[list[int]] = []
-    for s, e in taken:
-        if merged and s < merged[-1][1]:
-            merged[-1][1] = max(e, merged[-1][1])
-        else:
-            merged.append([s, e])
+    free = _outside(first, last, spans)
     out = []
     for kind, s, e in spans:
-        value = text[s:e].lower() if kind == "email" else _digits(text[s:e]) if kind != "ip" else text[s:e]
-        entity = int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
+        entity = _entity(text, kind, s, e)
         i, j = int(np.searchsorted(last, s, "right")), int(np.searchsorted(first, e))
         for k in [*range(max(0, i - near), i), *range(j, min(len(first), j + near))]:
-            a, b = int(first[k]), int(last[k])
-            if not any(a < y and b > x for x, y in merged):
+            if free[k]:
+                a, b = int(first[k]), int(last[k])
                 out.append({"entity": entity, "term": int(hashes[k]), "kind": _term_kind(text[a:b]), "start": a, "end": b})
     return out
 
@@ -171,15 +178,16 @@ def _finder(near: int):
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         close = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for part in R.pieces_of(batches, most=1 << 23):
-            keys, spans, nears = [], [], []
+            keys, spans, entities, nears = [], [], [], []
             for text in part.column(2).to_pylist():
                 own = base_spans(text or "")
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in own])
+                entities.append(sorted({_entity(text, *s) for s in own}))
                 nears.append(_around(text, own, near) if own else [])
                 keys.append(_text_key(text) if own else None)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(keys, pa.int64()), pa.array(spans, span), pa.array(nears, close)],
-                names=["row", "doc_id", "text_key", "spans", "near"],
+                [part.column(0), part.column(1), pa.array(keys, pa.int64()), pa.array(spans, span), pa.array(entities, pa.list_(pa.int64())), pa.array(nears, close)],
+                names=["row", "doc_id", "text_key", "spans", "entities", "near"],
             )
 
     return run
@@ -205,6 +213,18 @@ def _term_counter(terms):
     return run
 
 
+def _marker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, added): the spans of all words of a text that are among its disclosing terms, outside its entities."""
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        added = []
+        for text, terms in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            first, last, hashes = _words_of(text)
+            hit = np.flatnonzero(_outside(first, last, base_spans(text)) & np.isin(hashes, np.array(terms, np.int64)))
+            added.append(sorted(({"kind": _term_kind(text[a:b]), "start": a, "end": b} for a, b in zip(first[hit].tolist(), last[hit].tolist(), strict=True)), key=lambda s: (s["kind"], s["start"])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(added, span)], names=["row", "added"])
+
+
 def _row_number(texts: DataFrame) -> DataFrame:
     """A number for each row that is the same whenever the row is: of its id and text."""
     return texts.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
@@ -259,9 +279,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near:
     texts = _texts(docs, id_col, text_col)
     found = R.stage(texts.mapInArrow(_finder(near), _FOUND), "found")
     reveal = disclosing(found, texts, least_texts, disclosure)
-    held = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x"))
-    added = held.join(reveal, (F.col("x.entity") == F.col("entity")) & (F.col("x.term") == F.col("term")))
-    added = R.stage(added.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.col("x.kind").alias("kind"), F.col("x.start").alias("start"), F.col("x.end").alias("end")))).alias("added")), "added")
+    shown = found.where(F.size("entities") > 0).select("row", F.explode("entities").alias("entity")).distinct()
+    told = R.stage(shown.join(reveal, "entity").groupBy("row").agg(F.collect_set("term").alias("terms")), "told")
+    marked = texts.select("row", "text").join(told, "row").select("row", "text", "terms").mapInArrow(_marker, f"row long, added array<{_SPAN}>")
+    added = R.stage(marked.dropDuplicates(["row"]), "added")
     none = F.expr(f"cast(array() as array<{_SPAN}>)")
     return found.join(added, "row", "left").select("row", "doc_id", "spans", F.coalesce("added", none).alias("added"))
 

@@ -222,6 +222,17 @@ def test_names_disclose_however_they_are_written(spark, name):
     assert all(found[k] == ([name] if k < 4 else []) for k in range(64))
 
 
+def test_disclosing_terms_are_marked_everywhere_in_a_text(spark):
+    """Also beyond NEAR words, and in a text that shows the entity with other terms around it."""
+    gap = "the of and to in " * 5
+    texts = [f"Zorblatt writes to zz.top@mail.example.com {gap} of {k} Zorblatt" for k in range(4)]
+    texts += [f"mail to zz.top@mail.example.com {gap} {gap} Zorblatt"] + [f"the writes {k} to mail of {gap}" for k in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["added"]] for r in pii.find(docs).collect()}
+    assert all(found[k] == ["Zorblatt"] * (2 if k < 4 else k == 4) for k in range(85))
+    assert not any("Zorblatt" in r["text"] for r in pii.sanitise(docs).collect())
+
+
 def test_sanitised_rows_keep_their_columns(odd, none):
     got = pii.sanitise(odd)
     assert got.schema == odd.schema and got.count() == odd.count()
