@@ -4,9 +4,10 @@ Patterns find the protected entities (e-mail, IP address, card and phone number)
 when, over the whole corpus, the pointwise mutual information of term and entity reaches a part of the entity's own
 information content: who reads the term then knows most of what the entity would tell. Such terms are spans too.
 
-Counts are over distinct texts, so that copies of one text are one witness, and a disclosure needs several texts.
-One pass finds entities and the terms around them; only (entity, term) pairs with enough witnesses remain, and a
-second pass counts in how many texts of the corpus the remaining terms occur. A text that shows the entity has a span
+Counts are over distinct texts, so that copies of one text are one witness. An entity of several texts needs several
+that show the term by it; for an entity of fewer, where that can't be, the term's count is smoothed by one text more
+(``SMOOTHING``). One pass finds entities and the terms around them; only (entity, term) pairs with enough witnesses
+remain, and a second pass counts in how many texts of the corpus the remaining terms occur. A text that shows the entity has a span
 at each occurrence of the term, near or far. Texts meet their terms by row: while those are few they are sent to the
 texts, beyond that Spark shuffles the texts.
 
@@ -40,8 +41,10 @@ REPLACEMENTS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[P
 NEAR = 8
 #: A term discloses an entity from this part of the entity's information content on.
 DISCLOSURE = 0.8
-#: Distinct texts that must show a term by an entity.
+#: Distinct texts that must show a term by an entity, if so many show the entity.
 LEAST_TEXTS = 3
+#: For entities of fewer texts: unseen texts that have the term without the entity.
+SMOOTHING = 1.0
 
 _SPAN = "struct<kind:string,start:int,end:int>"
 _NEAR = "struct<entity:long,term:long,kind:string,start:int,end:int>"
@@ -216,7 +219,7 @@ def _term_counter(terms):
 def _marker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, added): the spans of all words of a text that are among its disclosing terms, outside its entities."""
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
+    for batch in R.pieces_of(batches, most=1 << 23):
         added = []
         for text, terms in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             first, last, hashes = _words_of(text)
@@ -252,14 +255,16 @@ def disclosing(found: DataFrame, texts: DataFrame, least_texts: int, disclosure:
     """
     spark = found.sparkSession
     close = found.select("text_key", F.explode("near").alias("x")).select("text_key", "x.entity", "x.term").distinct()
-    pairs = R.stage(close.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= least_texts), "pairs")
+    entities = close.select("text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    counted = close.groupBy("entity", "term").agg(F.count("*").alias("both")).join(entities, "entity")
+    pairs = R.stage(counted.where((F.col("both") >= least_texts) | (F.col("n_entity") < least_texts)), "pairs")
     if pairs.isEmpty():
         return R.empty_like(spark, "entity long, term long")
-    entities = close.select("text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     n = texts.where("text is not null").select(F.xxhash64("text")).distinct().count()
     # log2(both * n / (n_entity * n_term)) >= disclosure * log2(n / n_entity), solved for n_term
-    limit = F.col("both") * F.pow(F.lit(float(n)) / F.col("n_entity"), F.lit(1.0 - disclosure))
-    bounded = R.stage(pairs.join(entities, "entity").where(F.col("n_entity") < n).select("entity", "term", "both", limit.alias("limit")), "bounded")
+    unseen = F.when(F.col("n_entity") < least_texts, SMOOTHING).otherwise(0.0)
+    limit = F.col("both") * F.pow(F.lit(float(n)) / F.col("n_entity"), F.lit(1.0 - disclosure)) - unseen
+    bounded = R.stage(pairs.where(F.col("n_entity") < n).select("entity", "term", "both", limit.alias("limit")).where(F.col("both") <= F.col("limit") * (1 + 1e-12)), "bounded")
     most = R.stage(bounded.groupBy("term").agg(F.max("limit").alias("limit")), "terms")
     guessed = _texts_of_terms(texts, most).groupBy("term").agg(F.approx_count_distinct("text_key", 0.05).alias("guess"))
     rare = R.stage(guessed.join(most, "term").where(F.col("guess") <= 2 * F.col("limit") + 50).select("term"), "rare")

@@ -222,6 +222,18 @@ def test_names_disclose_however_they_are_written(spark, name):
     assert all(found[k] == ([name] if k < 4 else []) for k in range(64))
 
 
+def test_rare_terms_disclose_an_entity_of_one_text(spark):
+    """Ordinary letters, each with an address and a name of its own: no value repeats."""
+    rng = random.Random(13)
+    words = ["the", "of", "and", "to", "in", "mail", "writes", "some", "letter", "house"]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    names = ["".join(rng.choice("bdgklmn") + rng.choice("aeiou") for _ in range(4)).title() for _ in range(20)]
+    texts = [f"{some(5)} {n} {some(2)} box{k}@mail.example.com {some(9)}" for k, n in enumerate(names)] + [f"{some(12)} {k}" for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["added"]] for r in pii.find(docs).collect()}
+    assert len(set(names)) == 20 and all(found[k] == ([names[k]] if k < 20 else []) for k in range(420))
+
+
 def test_disclosing_terms_are_marked_everywhere_in_a_text(spark):
     """Also beyond NEAR words, and in a text that shows the entity with other terms around it."""
     gap = "the of and to in " * 5
