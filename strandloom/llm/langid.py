@@ -5,8 +5,12 @@ either side, is walked character by character: each place scores the longest kno
 characters down to one, with a fixed penalty for each step down. A text's language has the highest sum; its score is
 that language's share after a softmax over sums divided by the square root of the number of words.
 
-The model is counted from a bounded sample of the training texts (``SAMPLE_PER_LANGUAGE``, chosen by a hash of the
-text, so that it does not depend on order) and keeps at most ``MOST_WORDS`` words and ``MOST_GRAMS`` n-grams for each
+Frequencies are shares of all that a language's sample shows plus the number of distinct entries that the languages
+show together, so that few training words make none of them likely; what a language has not shown scores the same in
+every language.
+
+The model is counted from a bounded sample of the distinct training texts (``SAMPLE_PER_LANGUAGE``, chosen by a hash of
+the text, so that it depends on neither order nor copies) and keeps at most ``MOST_WORDS`` words and ``MOST_GRAMS`` n-grams for each
 language; it is a few sorted arrays that are sent to executors. Prediction is one pass over whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is any text if there is no
@@ -35,7 +39,7 @@ MOST_GRAMS = 20_000
 LONGEST = 5
 #: Log penalty for each step down to a shorter n-gram.
 STEP_DOWN = -0.9
-#: Log frequency of what a language has not shown, below its rarest.
+#: Log frequency of what a language has not shown, below the rarest of the largest language.
 UNSEEN = -2.0
 UNDETERMINED = "und"
 
@@ -113,18 +117,20 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(training: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
     """A model from rows (lang, text); None if no row has both."""
     R.ship(training.sparkSession)
-    rows = training.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    rows = training.where("lang is not null and text is not null").select("lang", "text")
+    distinct = rows.select("lang", F.xxhash64("text").alias("key")).distinct()
+    sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return None
-    # a text is in the sample if its hash is in the share of its language
+    # a text is in the sample, once, if its hash is in the share of its language
     share = training.sparkSession.createDataFrame([(k, min(1.0, per_language / n)) for k, n in sizes.items()], "lang string, share double")
     chosen = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    counts = chosen.select("lang", "text").mapInArrow(_counter, "lang string, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    counts = R.stage(counts.where((F.col("c") > 1) | (F.col("n") == 1)), "grams")
+    counts = chosen.select("lang", "text").distinct().mapInArrow(_counter, "lang string, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+    counts = R.stage(counts, "grams")
     totals = {(r["lang"], r["n"]): r["t"] for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("t")).collect()}
+    entries = {r["n"]: r["v"] for r in counts.select("n", "gram").distinct().groupBy("n").agg(F.count("*").alias("v")).collect()}
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
-    top = counts.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("n") == 0, MOST_WORDS).otherwise(MOST_GRAMS))
+    top = counts.where((F.col("c") > 1) | (F.col("n") == 1)).withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("n") == 0, MOST_WORDS).otherwise(MOST_GRAMS))
     got = top.select("lang", "n", "gram", "c").toArrow()  # bounded: MOST_WORDS + LONGEST * MOST_GRAMS for each language
     R.unstage(counts)
     languages = sorted(sizes)
@@ -136,9 +142,10 @@ def fit(training: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model |
         keys, where = np.unique(gram[own].view(X.U64), return_inverse=True)
         seen = np.zeros((len(keys), len(languages)))
         seen[where, lang[own]] = count[own]
-        total = np.array([max(1, totals.get((name, n), 0)) for name in languages], float)
-        tables.append((keys, np.log(np.where(seen > 0, seen, np.exp(UNSEEN)) / total)))
-    floor = np.log(np.exp(UNSEEN - 1) / np.array([max(1, totals.get((name, 1), 0)) for name in languages], float))
+        total = np.array([max(1, totals.get((name, n), 0)) for name in languages], float) + entries.get(n, 0)
+        tables.append((keys, np.log(np.where(seen > 0, seen / total, np.exp(UNSEEN) / total.max()))))
+        if n == 1:
+            floor = np.log(np.full(len(languages), np.exp(UNSEEN - 1) / total.max()))
     return Model(languages, *tables[0], [t[0] for t in tables[1:]], [t[1] for t in tables[1:]], floor)
 
 

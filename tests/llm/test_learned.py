@@ -39,6 +39,28 @@ def test_unseen_words_back_off(spark):
     assert all(r["lang_pred"] == r["want"] for r in got)
 
 
+def test_a_language_of_one_row_takes_no_others(spark, larger):
+    """Its words are all distinct; documents of the languages at hand are still told apart, and it keeps its own."""
+    rng = random.Random(14)
+    docs = spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "lang", "text")
+    own = " ".join(dict.fromkeys("".join(rng.choice("qwxzjkþ") + rng.choice("ůőıø") for _ in range(3)) for _ in range(80)))
+    model = langid.fit(docs.where(~langid.held_out()).select("lang", "text").unionByName(spark.createDataFrame([("xx", own)], "lang string, text string")))
+    got = langid.predict(model, docs.where(langid.held_out()), ["lang"]).collect()
+    assert model.languages[-1] == "xx" and np.mean([r["lang_pred"] == r["lang"] for r in got]) >= 0.98
+    assert langid.predict(model, spark.createDataFrame([(0, own)], "k int, text string"), ["k"]).first()["lang_pred"] == "xx"
+    assert model.word_scores[:, -1].max() == model.word_scores.min()
+
+
+def test_copies_do_not_empty_the_sample(spark):
+    """A frequent language of three texts, each copied often, is learned like any other."""
+    rng = random.Random(15)
+    few = [invented(rng, "aa", 30) for _ in range(3)]
+    rows = [("aa", few[k % 3]) for k in range(3000)] + [("bb", invented(rng, "bb", 30)) for _ in range(60)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"), per_language=100)
+    got = langid.predict(model, spark.createDataFrame([(k, t) for k, t in enumerate([*few, invented(rng, "bb", 30)])], "k int, text string"), ["k"]).collect()
+    assert {r["k"]: r["lang_pred"] for r in got} == {0: "aa", 1: "aa", 2: "aa", 3: "bb"}
+
+
 def test_word_scores_equal_a_plain_version(spark):
     import pyarrow as pa
 
