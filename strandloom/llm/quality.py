@@ -32,15 +32,15 @@ LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 WINDOW = 5
 
-FEATURES = ("log_words", "log_word_length", "symbols", "repeated_lines", "repeated_words", "capitals", "marks", "digits", "variety")
+FEATURES = ("log_words", "log_word_length", "symbols", "repeated_lines", "repeated_words", "capitals", "marks", "digits", "variety", "vowels")
 #: The least standard deviation of each feature: what varies less says nothing about quality.
-FLOOR = (0.7, 0.15, 0.35, 0.35, 0.45, 0.35, 0.35, 0.35, 0.35)
+FLOOR = (0.7, 0.15, 0.35, 0.35, 0.45, 0.35, 0.35, 0.35, 0.35, 0.25)
 SHARE = 0.75
 LEAST_GROUP = 60
 STEPS = 4
 CLASSES = 64
-#: A text is rejected beyond this upper-tail probability of the chi-square law.
-TAIL = 1e-12
+#: A text is rejected beyond this upper-tail probability of the chi-square law: the share of ordinary texts, about.
+TAIL = 1e-4
 
 _STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, x array<double>"
 
@@ -58,6 +58,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_symbols = per(np.isin(data, np.frombuffer(SYMBOLS.encode(), np.uint8)))
         capitals = per((data >= 65) & (data <= 90))
         letters = per(((data | 32) >= 97) & ((data | 32) <= 122))
+        vowels = per(np.isin(data | 32, np.frombuffer(b"aeiouy", np.uint8)) & (data >= 65) & (data < 128))
         digits = per((data >= 48) & (data <= 57))
         marks = per(np.isin(data, np.frombuffer(b".,;:!?\"'()-", np.uint8)))
 
@@ -98,6 +99,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.log1p(5.0 * marks / (words + 10.0)),
                 np.log1p(20.0 * digits / (words + 20.0)),
                 share(variety, words) * (words > 0) / np.sqrt(1.0 + np.log1p(words)),
+                np.log((vowels + 1.0) / (letters - vowels + 10.0)),
             ],
             axis=1,
         )

@@ -102,6 +102,22 @@ def test_outliers_of_a_group(spark):
     assert max(got[k] for k in range(400)) < 4 * cutoff < min(got[k] for k in range(400, 460))
 
 
+def test_altered_texts_are_outliers(spark):
+    """All capitals, symbols and gibberish among ordinary texts."""
+    rng = random.Random(16)
+    words = ["".join(rng.choice("bdfglmnrst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    plain = [" ".join(rng.choice(words) + rng.choice(["", "", "", "", ",", "."]) for _ in range(rng.randint(80, 300))) for _ in range(200)]
+    changes = [
+        str.upper,
+        lambda t: " ".join(w + " |" * (k % 4 == 0) for k, w in enumerate(t.split())),
+        lambda t: "".join(rng.choice("bcdfghjklmnpqrst") if c.isalpha() else c for c in t),
+    ]
+    texts = plain + [change(plain[k]) for change in changes for k in range(5)]
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality(docs).collect()}
+    assert sum(kept[k] for k in range(200)) >= 198 and not any(kept[k] for k in range(200, 215))
+
+
 def test_chi_square():
     assert abs(quality.chi_square_cutoff(0.05, 1) - 3.841) < 1e-2 and abs(quality.chi_square_cutoff(0.01, 9) - 21.666) < 1e-2
     assert abs(quality.chi_square_tail(16.919, 9) - 0.05) < 1e-4
