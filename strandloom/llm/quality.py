@@ -7,7 +7,8 @@ and a text is rejected when its Mahalanobis distance exceeds a cutoff.
 
 A concentration step is one aggregation over all rows: distances fall into 64 classes, each (group, class) keeps
 count, sums and products, and the classes up to the quantile give the next estimate; the class that the quantile
-cuts counts in part. Groups too small for an estimate are pooled by language, and then all together.
+cuts counts in part. A group too small for an estimate is held against that of
+its whole language, and a language too small against that of all rows.
 
 Defined results: a null text has no words and fails the base rules; null lang or source are groups of their own;
 an empty table gives an empty result; repeated rows count each.
@@ -202,15 +203,19 @@ def outlier_distances(stats: DataFrame, steps: int = STEPS, share: float = SHARE
     d = len(FEATURES)
     lang, source = F.coalesce("lang", F.lit("\0")), F.coalesce("source", F.lit("\0"))
     sizes = stats.groupBy(lang.alias("_l"), source.alias("_s")).agg(F.count("*").alias("_n"))
-    by_lang = sizes.where(F.col("_n") < least_group).groupBy("_l").agg(F.sum("_n").alias("_pooled"))
-    named = sizes.join(by_lang, "_l", "left").select(
-        "_l", "_s",
-        F.when(F.col("_n") >= least_group, F.to_json(F.struct("_l", "_s"))).when(F.col("_pooled") >= least_group, F.to_json(F.struct("_l"))).otherwise(F.lit("")).alias("grp"),
-    )
-    named = R.stage(named, "groups")
+    by_lang = sizes.groupBy("_l").agg(F.sum("_n").alias("_all"), F.min("_n").alias("_least"))
+    small, pooled = F.col("_n") < least_group, F.col("_all") >= least_group
+    own, whole = F.to_json(F.struct("_l", "_s")), F.to_json(F.struct("_l"))
+    grp = F.when(~small, own).when(pooled, whole).otherwise(F.lit(""))
+    # what a row is an example of: its own group, and its language if that stands in for a small group
+    of = F.array_compact(F.array(F.when(~small, own), F.when(pooled & (F.col("_least") < least_group), whole)))
+    named = R.stage(sizes.join(by_lang, "_l").select("_l", "_s", grp.alias("grp"), of.alias("_of")), "groups")
+    if not named.where("grp = ''").isEmpty():  # and all rows, if they stand in for a language
+        named = named.withColumn("_of", F.array_append("_of", F.lit("")))
     rows = R.stage(stats.withColumns({"_l": lang, "_s": source}).join(named, ["_l", "_s"]).drop("_l", "_s"), "vectors")
+    examples = rows.select(F.explode("_of").alias("grp"), "x")
 
-    quartiles = rows.groupBy("grp").agg(*[F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(d)])
+    quartiles = examples.groupBy("grp").agg(*[F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(d)])
     spread = [f"greatest((q{i}[2] - q{i}[0]) / 1.349D, {FLOOR[i]}D)" for i in range(d)]
     start = quartiles.select(
         "grp",
@@ -219,7 +224,7 @@ def outlier_distances(stats: DataFrame, steps: int = STEPS, share: float = SHARE
     )
     now = R.stage(start, "estimates")
     for _ in range(steps):
-        near = rows.join(now, "grp").withColumn("class", F.least(F.lit(CLASSES - 1), F.floor(F.log2(1 + F.greatest(_distance(d), F.lit(0.0))) * 6)).cast("int"))
+        near = examples.join(now, "grp").withColumn("class", F.least(F.lit(CLASSES - 1), F.floor(F.log2(1 + F.greatest(_distance(d), F.lit(0.0))) * 6)).cast("int"))
         sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(d)]
         products = [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]
         classes = near.groupBy("grp", "class").agg(F.count("*").alias("n"), *sums, *products)
@@ -227,7 +232,7 @@ def outlier_distances(stats: DataFrame, steps: int = STEPS, share: float = SHARE
         after = R.stage(packed.groupBy("grp").applyInPandas(_estimator(d, share), "grp string, mean array<double>, precision array<double>"), "estimates")
         R.unstage(now)
         now = after
-    return rows.join(now, "grp").withColumn("distance", _distance(d)).drop("mean", "precision")
+    return rows.join(now, "grp").withColumn("distance", _distance(d)).drop("mean", "precision", "_of")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tail: float = TAIL) -> DataFrame:

@@ -102,6 +102,20 @@ def test_outliers_of_a_group(spark):
     assert max(got[k] for k in range(400)) < 4 * cutoff < min(got[k] for k in range(400, 460))
 
 
+def test_small_groups_are_held_against_the_whole(spark):
+    """Few rows of a source against their language, few rows of a language against all; the rest as without them."""
+    rng = np.random.default_rng(6)
+    d = len(quality.FEATURES)
+    rows = [(k, "en", "s", x.tolist()) for k, x in enumerate(rng.normal(0, 1, (300, d)))]
+    rows += [(300 + k, "en", "few", x.tolist()) for k, x in enumerate([*rng.normal(30, 1, (20, d)), *rng.normal(0, 1, (5, d))])]
+    rows += [(400, "xx", "one", [30.0] * d), (401, "yy", None, [0.0] * d), (402, None, "s", [-30.0] * d)]
+    far = lambda some: {r["doc_id"]: r["distance"] for r in quality.outlier_distances(spark.createDataFrame(some, "doc_id long, lang string, source string, x array<double>")).collect()}
+    got, alone = far(rows), far(rows[:300])
+    cutoff = quality.chi_square_cutoff(1e-6, d)
+    assert len(got) == len(rows) and all(abs(got[k] - alone[k]) < 1e-6 * (1 + alone[k]) for k in range(300))
+    assert min(got[k] for k in [*range(300, 320), 400, 402]) > 4 * cutoff > max(got[k] for k in [*range(320, 325), 401])
+
+
 def test_altered_texts_are_outliers(spark):
     """All capitals, symbols and gibberish among ordinary texts."""
     rng = random.Random(16)
