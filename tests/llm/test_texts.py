@@ -243,7 +243,7 @@ def test_disclosing_terms(spark):
     assert "[NAME] writes the mail [EMAIL] of 0" in clean[0] and clean[30] == texts[30]
 
 
-@pytest.mark.parametrize("name", ["O'Brien", "D’Angelo", "Ame\u0301lie", "Στέφανος", "İpek", "कविता"])
+@pytest.mark.parametrize("name", ["O'Brien", "D’Angelo", "Ame\u0301lie", "ΣΤΕΦΑΝΟΣ", "İpek", "कविता"])
 def test_names_disclose_however_they_are_written(spark, name):
     """Candidates and counts have the same words: apostrophes, marks and letters that lower in an unusual way."""
     texts = [f"the {name} writes {k} to zz.top@mail.example.com" for k in range(4)] + [f"the other writes {k} to some" for k in range(60)]
