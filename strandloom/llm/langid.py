@@ -2,19 +2,21 @@
 
 A word that the model knows scores its log frequency in each language. An unknown word, padded with a boundary on
 either side, is walked character by character: each place scores the longest known n-gram that ends there, from five
-characters down to one, with a fixed penalty for each step down. A text's language has the highest sum; its score is
+characters down to one, and the word has the mean of its places. A text's language has the highest sum; its score is
 that language's share after a softmax over sums divided by the square root of the number of words.
 
 Frequencies are shares of all that a language's sample shows plus the number of distinct entries that the languages
 show together, so that few training words make none of them likely; what a language has not shown scores the same in
-every language.
+every language, less than anything shown. Scores are kept as gains over that common floor, only for the languages
+that show an entry, so a model is as large as its sample however many languages there are.
 
-The model is counted from a bounded sample of the distinct training texts (``SAMPLE_PER_LANGUAGE``, chosen by a hash of
-the text, so that it depends on neither order nor copies) and keeps at most ``MOST_WORDS`` words and ``MOST_GRAMS`` n-grams for each
-language; it is a few sorted arrays that are sent to executors. Prediction is one pass over whole texts.
+The model is counted, without further limits, from a bounded sample of the distinct training texts: ``SAMPLE`` of them,
+shared out so that small languages are whole and large ones alike. A text is drawn by its hash, so the draw depends on
+neither order nor copies; each language has one text at least. Prediction is one pass over whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is any text if there is no
-training row; ties go to the language that sorts first; an empty table gives an empty result.
+training row; ties go to the language that sorts first; repeated rows get the same result and train once; null ids are
+not held out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,20 +27,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime as R, textcodes as X
 
-#: Training texts for each language, about; the model is a classifier fitted on a bounded sample.
-SAMPLE_PER_LANGUAGE = 3000
-#: Languages of the model: the most frequent ones if there are more.
-MOST_LANGUAGES = 200
-MOST_WORDS = 30_000
-MOST_GRAMS = 20_000
+#: Distinct training texts, about (one more for each language at most): the bound of the sample the classifier is fitted on.
+SAMPLE = 12_000
 LONGEST = 5
-#: Log penalty for each step down to a shorter n-gram.
-STEP_DOWN = -0.9
 #: Log frequency of what a language has not shown, below the rarest of the largest language.
 UNSEEN = -2.0
 UNDETERMINED = "und"
@@ -46,14 +42,27 @@ UNDETERMINED = "und"
 _EDGE = 0x20
 
 
+@dataclass
+class Table:
+    """Entries of one kind: sorted hashes, and the languages that show each with their gains over the floor."""
+
+    keys: np.ndarray
+    first: np.ndarray  # of each entry: its place in the next two, and one more for the end
+    lang: np.ndarray
+    gain: np.ndarray
+
+    def add(self, out: np.ndarray, at: np.ndarray, doc: np.ndarray, weight: np.ndarray | None = None) -> None:
+        """To ``out`` (texts, languages): the gains of the entries ``at``, each for its text."""
+        many = self.first[at + 1] - self.first[at]
+        which = np.repeat(self.first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        gain = self.gain[which] if weight is None else self.gain[which] * np.repeat(weight, many)
+        out += np.bincount(np.repeat(doc, many) * out.shape[1] + self.lang[which], weights=gain, minlength=out.size).reshape(out.shape)
+
+
 @dataclass
 class Model:
     languages: list[str]
-    words: np.ndarray  # sorted hashes
-    word_scores: np.ndarray  # (words, languages)
-    grams: list[np.ndarray]  # by length - 1
-    gram_scores: list[np.ndarray]
-    floor: np.ndarray  # of each language: a character never seen
+    tables: list[Table]  # words, then n-grams by length
 
 
 def _letters(part: pa.RecordBatch, column: int):
@@ -62,10 +71,21 @@ def _letters(part: pa.RecordBatch, column: int):
     codes = X.lower_codes(codes)
     flags = X.is_letter(codes)
     start, end = X.spans(flags, offsets)
+    if X.is_mark(codes).any():  # marks alone are no word
+        base = np.concatenate([[0], np.cumsum(flags & ~X.is_mark(codes))])
+        some = base[end] > base[start]
+        start, end = start[some], end[some]
+        flags = np.zeros(len(codes), bool)
+        flags[np.repeat(start, end - start) + _within(end - start)] = True
     doc = np.searchsorted(offsets, start, "right") - 1
     return codes, flags, start, end, doc
 
 
+def _within(size: np.ndarray) -> np.ndarray:
+    """0 .. n-1 for each n in turn."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
 def _padded(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words with a boundary before and after: their codes, the word of each place, the place within the word."""
     size = end - start + 2
@@ -114,25 +134,31 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def fit(training: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
+def shares(sizes: dict[str, int], sample: int) -> dict[str, float]:
+    """The part of each language's texts that is drawn: small languages whole, the others down to one common number."""
+    left, out = sample, {}
+    for k, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        own = min(n, left / (len(sizes) - k))
+        left -= own
+        out[lang] = own / n
+    return out
+
+
+def fit(training: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from rows (lang, text); None if no row has both."""
-    R.ship(training.sparkSession)
+    spark = training.sparkSession
+    R.ship(spark)
     rows = training.where("lang is not null and text is not null").select("lang", "text")
-    distinct = rows.select("lang", F.xxhash64("text").alias("key")).distinct()
-    sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    distinct = rows.select("lang", F.xxhash64("text").alias("key"), place.alias("place")).distinct()
+    sizes = {r["lang"]: (r["n"], r["least"]) for r in distinct.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")).collect()}  # one row for each language
     if not sizes:
         return None
-    # a text is in the sample, once, if its hash is in the share of its language
-    share = training.sparkSession.createDataFrame([(k, min(1.0, per_language / n)) for k, n in sizes.items()], "lang string, share double")
-    chosen = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    share = shares({k: n for k, (n, _) in sizes.items()}, sample)
+    upto = spark.createDataFrame([(k, max(least, int(share[k] * (1 << 40)) - 1)) for k, (_, least) in sizes.items()], "lang string, upto long")
+    chosen = rows.join(F.broadcast(upto), "lang").where(place <= F.col("upto"))
     counts = chosen.select("lang", "text").distinct().mapInArrow(_counter, "lang string, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    counts = R.stage(counts, "grams")
-    totals = {(r["lang"], r["n"]): r["t"] for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("t")).collect()}
-    entries = {r["n"]: r["v"] for r in counts.select("n", "gram").distinct().groupBy("n").agg(F.count("*").alias("v")).collect()}
-    rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
-    top = counts.where((F.col("c") > 1) | (F.col("n") == 1)).withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("n") == 0, MOST_WORDS).otherwise(MOST_GRAMS))
-    got = top.select("lang", "n", "gram", "c").toArrow()  # bounded: MOST_WORDS + LONGEST * MOST_GRAMS for each language
-    R.unstage(counts)
+    got = counts.toArrow()  # what the sample shows
     languages = sorted(sizes)
     lang = np.array(pc.index_in(got["lang"], pa.array(languages)).to_pylist(), np.int64)
     size, gram, count = (got[c].to_numpy() for c in ("n", "gram", "c"))
@@ -140,44 +166,38 @@ def fit(training: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model |
     for n in range(LONGEST + 1):
         own = size == n
         keys, where = np.unique(gram[own].view(X.U64), return_inverse=True)
-        seen = np.zeros((len(keys), len(languages)))
-        seen[where, lang[own]] = count[own]
-        total = np.array([max(1, totals.get((name, n), 0)) for name in languages], float) + entries.get(n, 0)
-        tables.append((keys, np.log(np.where(seen > 0, seen / total, np.exp(UNSEEN) / total.max()))))
-        if n == 1:
-            floor = np.log(np.full(len(languages), np.exp(UNSEEN - 1) / total.max()))
-    return Model(languages, *tables[0], [t[0] for t in tables[1:]], [t[1] for t in tables[1:]], floor)
-
-
-def score_words(model: Model, codes: np.ndarray, flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Log scores (words, languages)."""
-    out = np.zeros((len(start), len(model.languages)))
+        of, c = lang[own], count[own].astype(float)
+        total = np.bincount(of, weights=c, minlength=len(languages)) + len(keys)
+        order = np.lexsort((of, where))
+        gain = np.log(c / total[of]) - (UNSEEN - np.log(total.max())) if len(c) else c
+        tables.append(Table(keys, np.searchsorted(where[order], np.arange(len(keys) + 1)), of[order].astype(np.int32), gain[order]))
+    return Model(languages, tables)
+
+
+def score_texts(model: Model, codes: np.ndarray, flags: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """Log scores (texts, languages) of words, over what a word unknown to a language would score."""
+    out = np.zeros((docs, len(model.languages)))
     if not len(start):
         return out
-    at = X.lookup(model.words, X.run_hashes(X.code_keys(codes), flags, start, end))
+    at = X.lookup(model.tables[0].keys, X.run_hashes(X.code_keys(codes), flags, start, end))
     known = at >= 0
-    out[known] = model.word_scores[at[known]]
+    model.tables[0].add(out, at[known], doc[known])
     rest = np.flatnonzero(~known)
     if not len(rest):
         return out
     padded, word, place = _padded(codes, start[rest], end[rest])
-    size = (end - start)[rest] + 2
-    open_ = place > 0  # the first boundary has no n-gram of its own
-    open_ &= place < size[word]
-    gained = np.zeros((len(padded), len(model.languages)))
+    # as many places score as a word has characters and a boundary; a known word scores once, so an unknown one has the mean
+    weight = 1.0 / ((end - start)[rest] + 1)
+    todo = place > 0  # the first boundary has no n-gram of its own
     for n in range(LONGEST, 0, -1):
         h, ends = _gram_hashes(padded, place, n)
-        keep = open_[ends]
+        keep = todo[ends]
         h, ends = h[keep], ends[keep]
-        at = X.lookup(model.grams[n - 1], h)
+        at = X.lookup(model.tables[n].keys, h)
         hit = at >= 0
-        gained[ends[hit]] = model.gram_scores[n - 1][at[hit]] + STEP_DOWN * (LONGEST - n)
-        open_[ends[hit]] = False
-    last = np.flatnonzero(open_ & (padded != _EDGE))
-    gained[last] = model.floor + STEP_DOWN * LONGEST
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    # as many places score as a word has characters; a known word scores once, so an unknown one has the mean
-    out[rest] = np.add.reduceat(gained, first, axis=0) / np.maximum(1, size - 1)[:, None]
+        own = word[ends[hit]]
+        model.tables[n].add(out, at[hit], doc[rest[own]], weight[own])
+        todo[ends[hit]] = False
     return out
 
 
@@ -188,8 +208,7 @@ def _judge(model: Model | None, part: pa.RecordBatch) -> tuple[list[str], np.nda
         return [UNDETERMINED] * docs, np.zeros(docs)
     codes, flags, start, end, doc = _letters(part, part.schema.get_field_index("text"))
     n = np.bincount(doc, minlength=docs)
-    words = score_words(model, codes, flags, start, end)
-    sums = np.stack([np.bincount(doc, weights=words[:, k], minlength=docs) for k in range(len(model.languages))], axis=1)
+    sums = score_texts(model, codes, flags, start, end, doc, docs)
     best = sums.argmax(axis=1)
     sharp = (sums - sums.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(1, n))[:, None]
     score = np.where(n > 0, 1.0 / np.exp(sharp).sum(axis=1), 0.0)

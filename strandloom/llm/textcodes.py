@@ -183,10 +183,11 @@ def shingles(h: np.ndarray, first: np.ndarray, size: int) -> list[np.ndarray]:
 
 
 @functools.lru_cache(maxsize=1)
-def _code_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _code_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     lower = np.arange(0x110000, dtype=np.uint32)
     letter = np.zeros(0x110000, bool)
     upper = np.zeros(0x110000, bool)
+    mark = np.zeros(0x110000, bool)
     for c in range(0x110000):
         if 0xD800 <= c < 0xE000:
             continue
@@ -200,8 +201,8 @@ def _code_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if len(low) == 1:
                 lower[c] = ord(low)
         elif kind[0] == "M":
-            letter[c] = True
-    return lower, letter, upper
+            letter[c] = mark[c] = True
+    return lower, letter, upper, mark
 
 
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,9 +219,14 @@ def lower_codes(codes: np.ndarray) -> np.ndarray:
 
 
 def is_letter(codes: np.ndarray) -> np.ndarray:
+    """Letters, and the marks that belong to them."""
     return _code_tables()[1][codes]
 
 
+def is_mark(codes: np.ndarray) -> np.ndarray:
+    return _code_tables()[3][codes]
+
+
 def is_upper(codes: np.ndarray) -> np.ndarray:
     return _code_tables()[2][codes]
 

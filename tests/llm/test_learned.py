@@ -39,57 +39,116 @@ def test_unseen_words_back_off(spark):
     assert all(r["lang_pred"] == r["want"] for r in got)
 
 
-def test_a_language_of_one_row_takes_no_others(spark, larger):
-    """Its words are all distinct; documents of the languages at hand are still told apart, and it keeps its own."""
+def plain_languages(training, texts, longest=langid.LONGEST):
+    """[(language, score)] of the texts by the definition, learned from all distinct (lang, text); for small tables."""
+    import math
+    import unicodedata
+    from collections import Counter
+
+    kind = lambda c: unicodedata.category(c)[0]
+    low = lambda c: c.lower() if len(c.lower()) == 1 else c
+
+    def words(text):
+        out, now = [], ""
+        for c in [*map(low, text or ""), " "]:
+            if kind(c) in "LM":
+                now += c
+            else:
+                if any(kind(x) == "L" for x in now):
+                    out.append(now)
+                now = ""
+        return out
+
+    def grams(word, n):
+        padded = f" {word} "
+        found = {e: padded[e - n : e] for e in range(n, len(padded) + 1)}
+        return {e: g for e, g in found.items() if g != " "}
+
+    seen = [{} for _ in range(longest + 1)]  # of each length: entry -> language -> count
+    totals = [Counter() for _ in range(longest + 1)]
+    for lang, text in set(training):
+        for w in words(text):
+            for n in range(longest + 1):
+                for g in [w] if n == 0 else grams(w, n).values():
+                    seen[n].setdefault(g, Counter())[lang] += 1
+                    totals[n][lang] += 1
+    languages = sorted({lang for lang, _ in training})
+
+    def score(n, g, lang):
+        total = {k: totals[n][k] + len(seen[n]) for k in languages}
+        unseen = langid.UNSEEN - math.log(max(total.values()))
+        return (math.log(seen[n][g][lang] / total[lang]) if seen[n][g][lang] else unseen) - unseen
+
+    out = []
+    for text in texts:
+        own = words(text)
+        if not own:
+            out.append(("und", 0.0))
+            continue
+        sums = dict.fromkeys(languages, 0.0)
+        for w in own:
+            for lang in languages:
+                if w in seen[0]:
+                    sums[lang] += score(0, w, lang)
+                    continue
+                for e in range(2, len(w) + 3):
+                    n = next((n for n in range(longest, 0, -1) if grams(w, n).get(e) in seen[n]), 0)
+                    sums[lang] += score(n, grams(w, n)[e], lang) / (len(w) + 1) if n else 0.0
+        best = max(languages, key=lambda k: (round(sums[k], 9), [-ord(c) for c in k]))
+        out.append((best, 1 / sum(math.exp((v - sums[best]) / math.sqrt(len(own))) for v in sums.values())))
+    return out
+
+
+def test_predictions_equal_a_plain_version(spark, documents, odd):
+    """Each row of the query, with all of the small tables in the sample."""
+    for table in (documents, odd.where("length(text) < 10000 or text is null")):
+        rows = table.select("doc_id", "lang", "text").collect()
+        fold = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+        want = plain_languages([(r["lang"], r["text"]) for r in rows if r["lang"] is not None and r["text"] is not None and not fold(r["doc_id"])], [r["text"] for r in rows])
+        got = langid.identify(table)
+        key = lambda x: (x[0] is None, x[0] or 0, x[2], x[3])
+        ours = sorted(((r["doc_id"], r["held_out"], r["lang_pred"], r["score"]) for r in got.collect()), key=key)
+        theirs = sorted(((r["doc_id"], fold(r["doc_id"]), *w) for r, w in zip(rows, want, strict=True)), key=key)
+        assert [r[:3] for r in ours] == [r[:3] for r in theirs]
+        assert np.allclose([r[3] for r in ours], [r[3] for r in theirs])
+
+
+@pytest.mark.parametrize("own", ["umuntu ngumuntu ngabantu bonke lapha", None])
+def test_a_language_of_one_row_takes_no_others(spark, larger, own):
+    """One row of a new language, short or long, all words distinct: the others are predicted as before, it keeps its own."""
     rng = random.Random(14)
     docs = spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "lang", "text")
-    own = " ".join(dict.fromkeys("".join(rng.choice("qwxzjkþ") + rng.choice("ůőıø") for _ in range(3)) for _ in range(80)))
-    model = langid.fit(docs.where(~langid.held_out()).select("lang", "text").unionByName(spark.createDataFrame([("xx", own)], "lang string, text string")))
-    got = langid.predict(model, docs.where(langid.held_out()), ["lang"]).collect()
-    assert model.languages[-1] == "xx" and np.mean([r["lang_pred"] == r["lang"] for r in got]) >= 0.98
-    assert langid.predict(model, spark.createDataFrame([(0, own)], "k int, text string"), ["k"]).first()["lang_pred"] == "xx"
-    assert model.word_scores[:, -1].max() == model.word_scores.min()
+    own = own or " ".join(dict.fromkeys("".join(rng.choice("qwxzjkþ") + rng.choice("ůőıø") for _ in range(3)) for _ in range(80)))
+    training = docs.where(~langid.held_out()).select("lang", "text")
+    before, after = langid.fit(training), langid.fit(training.unionByName(spark.createDataFrame([("zu", own)], "lang string, text string")))
+    of = lambda model: {r["doc_id"]: r["lang_pred"] for r in langid.predict(model, docs, ["doc_id"]).collect()}
+    assert after.languages[-1] == "zu" and of(before) == of(after)
+    assert langid.predict(after, spark.createDataFrame([(0, own)], "k int, text string"), ["k"]).first()["lang_pred"] == "zu"
+
+
+def test_copies_change_no_prediction(spark, larger):
+    """20,000 copies of one text of a language beside the other rows."""
+    docs = spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "lang", "text")
+    one = docs.where("lang = 'de'").orderBy("doc_id").limit(1)
+    copies = one.crossJoin(spark.range(20_000)).select("lang", "text")
+    training = docs.where(~langid.held_out()).select("lang", "text").unionByName(one.select("lang", "text"))
+    of = lambda rows: {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in langid.predict(langid.fit(rows), docs, ["doc_id"]).collect()}
+    assert of(training) == of(training.unionByName(copies))
 
 
 def test_copies_do_not_empty_the_sample(spark):
-    """A frequent language of three texts, each copied often, is learned like any other."""
+    """A frequent language of three texts, each copied often, is learned like any other; so is one of a single text."""
     rng = random.Random(15)
     few = [invented(rng, "aa", 30) for _ in range(3)]
-    rows = [("aa", few[k % 3]) for k in range(3000)] + [("bb", invented(rng, "bb", 30)) for _ in range(60)]
-    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"), per_language=100)
-    got = langid.predict(model, spark.createDataFrame([(k, t) for k, t in enumerate([*few, invented(rng, "bb", 30)])], "k int, text string"), ["k"]).collect()
-    assert {r["k"]: r["lang_pred"] for r in got} == {0: "aa", 1: "aa", 2: "aa", 3: "bb"}
+    rows = [("aa", few[k % 3]) for k in range(3000)] + [("bb", invented(rng, "bb", 30)) for _ in range(60)] + [("cc", "qqq www xxx")]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"), sample=20)
+    got = langid.predict(model, spark.createDataFrame([(k, t) for k, t in enumerate([*few, invented(rng, "bb", 30), "xxx"])], "k int, text string"), ["k"]).collect()
+    assert {r["k"]: r["lang_pred"] for r in got} == {0: "aa", 1: "aa", 2: "aa", 3: "bb", 4: "cc"}
 
 
-def test_word_scores_equal_a_plain_version(spark):
-    import pyarrow as pa
-
-    from strandloom.llm import runtime, textcodes
-
-    rng = random.Random(2)
-    rows = [(invented(rng, lang, 12), lang) for lang in ["aa", "bb"] * 20]
-    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
-    word = "kazuqö"
-    part = pa.RecordBatch.from_arrays([pa.array([word])], names=["text"])
-    codes, flags, start, end, _ = langid._letters(part, 0)
-    got = langid.score_words(model, codes, flags, start, end)[0]
-    padded = " " + word + " "
-    sums = np.zeros(2)
-    for at in range(1, len(padded)):
-        for n in range(langid.LONGEST, 0, -1):
-            if at - n + 1 < 0:
-                continue
-            gram = np.frombuffer(padded[at - n + 1 : at + 1][::-1].encode("utf-32-le"), np.uint32)
-            total = np.zeros(1, np.uint64)
-            for k, key in enumerate(textcodes.code_keys(gram)):
-                total += key * textcodes.U64(textcodes._window_key(k))
-            k = textcodes.lookup(model.grams[n - 1], textcodes.mix64(total + textcodes.U64(n)))[0]
-            if k >= 0:
-                sums += model.gram_scores[n - 1][k] + langid.STEP_DOWN * (langid.LONGEST - n)
-                break
-        else:
-            sums += (model.floor + langid.STEP_DOWN * langid.LONGEST) * (padded[at] != " ")
-    assert np.allclose(got, sums / (len(padded) - 1)) and runtime is not None
+def test_shares_of_the_sample():
+    got = langid.shares({"a": 10, "b": 10_000, "c": 1000, "d": 50_000}, 1210)
+    assert got["a"] == 1 and [round(got[k] * n) for k, n in (("b", 10_000), ("c", 1000), ("d", 50_000))] == [400] * 3
 
 
 def test_odd_languages(odd, none):
