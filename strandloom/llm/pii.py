@@ -4,15 +4,16 @@ Patterns find the protected entities (e-mail, IP address, card and phone number)
 when, over the whole corpus, the pointwise mutual information of term and entity reaches a part of the entity's own
 information content: who reads the term then knows most of what the entity would tell. Such terms are spans too.
 
-Counts are over distinct texts, so that copies of one text are one witness. An entity of several texts needs several
-that show the term by it; for an entity of fewer, where that can't be, the term's count is smoothed by one text more
-(``SMOOTHING``). One pass finds entities and the terms around them; only (entity, term) pairs with enough witnesses
-remain, and a second pass counts in how many texts of the corpus the remaining terms occur. A text that shows the entity has a span
-at each occurrence of the term, near or far. Texts meet their terms by row: while those are few they are sent to the
-texts, beyond that Spark shuffles the texts.
-
-Defined results: a null text is empty and has no spans; rows are independent, repeated rows get the same spans; an
-empty table gives an empty result.
+Counts are over distinct texts, so that copies of one text are one witness. The term's count is smoothed by one unseen
+text that has it without the entity (``SMOOTHING``), so a single meeting tells less than several; the rule is the same
+for rare and for frequent entities. One pass finds entities and the terms around them, and a second pass counts in how
+many texts of the corpus those terms occur. A text that shows the entity has a span at each occurrence of the term,
+near or far. Rows are known by 128 bits of their id and text.
+
+Work is linear in a text: runs of digits are tried once, and terms meet entities by binary search.
+
+Defined results: a null text is empty and has no spans; rows are independent, repeated rows get the same spans; a null
+id stays null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,14 +42,13 @@ REPLACEMENTS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[P
 NEAR = 8
 #: A term discloses an entity from this part of the entity's information content on.
 DISCLOSURE = 0.8
-#: Distinct texts that must show a term by an entity, if so many show the entity.
-LEAST_TEXTS = 3
-#: For entities of fewer texts: unseen texts that have the term without the entity.
+#: Unseen texts that have a term without the entity.
 SMOOTHING = 1.0
 
 _SPAN = "struct<kind:string,start:int,end:int>"
-_NEAR = "struct<entity:long,term:long,kind:string,start:int,end:int>"
-_FOUND = f"row long, doc_id long, text_key long, spans array<{_SPAN}>, entities array<long>, near array<{_NEAR}>"
+_NEAR = "struct<entity:long,term:long>"
+_FOUND = f"row long, row2 long, doc_id long, text_key long, spans array<{_SPAN}>, entities array<long>, near array<{_NEAR}>"
+_ROW = ["row", "row2"]
 
 
 def _digits(s: str) -> str:
@@ -77,6 +77,9 @@ def _holds(kind: str, match: str) -> bool:
 
 
 _COMPILED = {kind: re.compile(p) for kind, p in PATTERNS.items()}
+# the same matches without trying a run of digits again from each of its places, or keeping the way through it
+_COMPILED["ip"] = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_COMPILED["card"] = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -88,7 +91,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             # a match has an @: look only around those, from where the run before it begins
             if "@" not in text:
                 continue
-        elif not has_digit or (kind == "phone" and "+" not in text):
+        elif not has_digit or (kind == "phone" and "+" not in text) or (kind == "ip" and "." not in text):
             continue
         for m in pattern.finditer(text) if kind != "email" else _emails(text):
             if _holds(kind, m[0]):
@@ -96,21 +99,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_LOCAL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@")
 
 
 def _emails(text: str):
     """Leftmost matches without trying the pattern at every letter: a match begins where the run before an @ does."""
-    done, at = 0, text.find("@")
-    while at >= 0:
-        begin = at
-        while begin > done and text[begin - 1] in _LOCAL:
-            begin -= 1
-        m = _COMPILED["email"].match(text, begin) if begin < at else None
+    done = 0
+    for run in _LOCAL.finditer(text):
+        begin = max(done, run.start())
+        m = _COMPILED["email"].match(text, begin) if begin < run.end() - 1 else None
         if m:
             yield m
             done = m.end()
-        at = text.find("@", max(at + 1, done))
 
 
 def _term_kind(term: str) -> str:
@@ -161,37 +161,45 @@ def _outside(start: np.ndarray, end: np.ndarray, spans: list[tuple[str, int, int
     return free
 
 
-def _around(text: str, spans: list[tuple[str, int, int]], near: int) -> list[dict]:
-    """Terms within ``near`` words on either side of each entity, outside all entities."""
+def _around(text: str, spans: list[tuple[str, int, int]], entities: np.ndarray, near: int) -> np.ndarray:
+    """Distinct (entity, term) within ``near`` words on either side of each entity, for terms outside all entities."""
     first, last, hashes = _words_of(text)
     free = _outside(first, last, spans)
-    out = []
-    for kind, s, e in spans:
-        entity = _entity(text, kind, s, e)
-        i, j = int(np.searchsorted(last, s, "right")), int(np.searchsorted(first, e))
-        for k in [*range(max(0, i - near), i), *range(j, min(len(first), j + near))]:
-            if free[k]:
-                a, b = int(first[k]), int(last[k])
-                out.append({"entity": entity, "term": int(hashes[k]), "kind": _term_kind(text[a:b]), "start": a, "end": b})
-    return out
+    at = np.array([(s, e) for _, s, e in spans])
+    before, after = np.searchsorted(last, at[:, 0], "right"), np.searchsorted(first, at[:, 1])
+    step = np.arange(near)
+    k = np.concatenate([before[:, None] - 1 - step, after[:, None] + step], axis=1)
+    good = (k >= 0) & (k < len(first))
+    good[good] = free[k[good]]
+    found = np.stack([np.repeat(entities, good.sum(axis=1)), hashes[k[good]]], axis=1)
+    return np.unique(found, axis=0) if len(found) else found
+
+
+def _lists(sizes: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
+def _span_lists(found: list[list[tuple[str, int, int]]]) -> pa.Array:
+    flat = [s for own in found for s in own]
+    cols = [pa.array([s[k] for s in flat], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32()))]
+    return _lists([len(own) for own in found], pa.StructArray.from_arrays(cols, ["kind", "start", "end"]))
 
 
 def _finder(near: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        close = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for part in R.pieces_of(batches, most=1 << 23):
             keys, spans, entities, nears = [], [], [], []
-            for text in part.column(2).to_pylist():
-                own = base_spans(text or "")
-                spans.append([{"kind": k, "start": s, "end": e} for k, s, e in own])
-                entities.append(sorted({_entity(text, *s) for s in own}))
-                nears.append(_around(text, own, near) if own else [])
-                keys.append(_text_key(text) if own else None)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(keys, pa.int64()), pa.array(spans, span), pa.array(entities, pa.list_(pa.int64())), pa.array(nears, close)],
-                names=["row", "doc_id", "text_key", "spans", "entities", "near"],
-            )
+            for text in part.column(3).to_pylist():
+                own = base_spans(text) if text else []
+                named = np.array([_entity(text, *s) for s in own], np.int64)
+                keys.append(None if text is None else _text_key(text))
+                spans.append(own)
+                entities.append(np.unique(named))
+                nears.append(_around(text, own, named, near) if own else np.zeros((0, 2), np.int64))
+            both = np.concatenate(nears)
+            close = _lists([len(x) for x in nears], pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["entity", "term"]))
+            told = _lists([len(x) for x in entities], pa.array(np.concatenate(entities)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(keys, pa.int64()), _span_lists(spans), told, close], names=["row", "row2", "doc_id", "text_key", "spans", "entities", "near"])
 
     return run
 
@@ -217,23 +225,22 @@ def _term_counter(terms):
 
 
 def _marker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, added): the spans of all words of a text that are among its disclosing terms, outside its entities."""
-    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    """(row, row2, added): the spans of all words of a text that are among its disclosing terms, outside its entities."""
     for batch in R.pieces_of(batches, most=1 << 23):
         added = []
-        for text, terms in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, terms in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
             first, last, hashes = _words_of(text)
-            hit = np.flatnonzero(_outside(first, last, base_spans(text)) & np.isin(hashes, np.array(terms, np.int64)))
-            added.append(sorted(({"kind": _term_kind(text[a:b]), "start": a, "end": b} for a, b in zip(first[hit].tolist(), last[hit].tolist(), strict=True)), key=lambda s: (s["kind"], s["start"])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(added, span)], names=["row", "added"])
+            hit = np.flatnonzero(_outside(first, last, base_spans(text)) & np.isin(hashes, terms.values.to_numpy()))
+            added.append(sorted((_term_kind(text[a:b]), a, b) for a, b in zip(first[hit].tolist(), last[hit].tolist(), strict=True)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], _span_lists(added)], names=["row", "row2", "added"])
 
 
-def _row_number(texts: DataFrame) -> DataFrame:
-    """A number for each row that is the same whenever the row is: of its id and text."""
-    return texts.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+def _row_columns(id_col, text_col) -> dict:
+    """128 bits of a row that are the same whenever its id and text are."""
+    return {"row": F.xxhash64(id_col, text_col), "row2": F.xxhash64(F.lit(1), id_col, text_col)}
 
 
-#: Terms with enough witnesses are sent to executors up to this number (8 MB); more are counted by a join.
+#: Terms are sent to executors up to this number (8 MB); more are found by a join, with the same result.
 MOST_SENT_TERMS = 1_000_000
 
 
@@ -247,49 +254,50 @@ def _texts_of_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return some.select("text").mapInArrow(_term_counter(None), "term long, text_key long").join(terms, "term", "left_semi")
 
 
-def disclosing(found: DataFrame, texts: DataFrame, least_texts: int, disclosure: float) -> DataFrame:
+def disclosing(found: DataFrame, texts: DataFrame, disclosure: float, smoothing: float) -> DataFrame:
     """(entity, term) pairs whose mutual information reaches the threshold; counts are exact and over all texts.
 
     A pair discloses if its term is in no more texts than ``limit``. Sketches, which combine before the shuffle, put
     aside the terms that are beyond twice their limit (their error is a twentieth); the others are counted exactly.
     """
     spark = found.sparkSession
-    close = found.select("text_key", F.explode("near").alias("x")).select("text_key", "x.entity", "x.term").distinct()
-    entities = close.select("text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    counted = close.groupBy("entity", "term").agg(F.count("*").alias("both")).join(entities, "entity")
-    pairs = R.stage(counted.where((F.col("both") >= least_texts) | (F.col("n_entity") < least_texts)), "pairs")
-    if pairs.isEmpty():
-        return R.empty_like(spark, "entity long, term long")
-    n = texts.where("text is not null").select(F.xxhash64("text")).distinct().count()
-    # log2(both * n / (n_entity * n_term)) >= disclosure * log2(n / n_entity), solved for n_term
-    unseen = F.when(F.col("n_entity") < least_texts, SMOOTHING).otherwise(0.0)
-    limit = F.col("both") * F.pow(F.lit(float(n)) / F.col("n_entity"), F.lit(1.0 - disclosure)) - unseen
-    bounded = R.stage(pairs.where(F.col("n_entity") < n).select("entity", "term", "both", limit.alias("limit")).where(F.col("both") <= F.col("limit") * (1 + 1e-12)), "bounded")
+    none = R.empty_like(spark, "entity long, term long")
+    n = found.where("text_key is not null").select("text_key").distinct().count()
+    some = found.where(F.size("entities") > 0)
+    entities = some.select("text_key", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    close = some.select("text_key", F.explode("near").alias("x")).select("text_key", "x.entity", "x.term").distinct()
+    pairs = close.groupBy("entity", "term").agg(F.count("*").alias("both")).join(entities, "entity").where(F.col("n_entity") < n)
+    # log2(both * n / (n_entity * (n_term + smoothing))) >= disclosure * log2(n / n_entity), solved for n_term
+    limit = (F.col("both") * F.pow(F.lit(float(n)) / F.col("n_entity"), F.lit(1.0 - disclosure)) - smoothing) * (1 + 1e-12)
+    bounded = R.stage(pairs.select("entity", "term", "both", limit.alias("limit")).where("both <= limit"), "bounded")
     most = R.stage(bounded.groupBy("term").agg(F.max("limit").alias("limit")), "terms")
+    if most.isEmpty():
+        return none
     guessed = _texts_of_terms(texts, most).groupBy("term").agg(F.approx_count_distinct("text_key", 0.05).alias("guess"))
     rare = R.stage(guessed.join(most, "term").where(F.col("guess") <= 2 * F.col("limit") + 50).select("term"), "rare")
     if rare.isEmpty():
-        return R.empty_like(spark, "entity long, term long")
+        return none
     n_of = _texts_of_terms(texts, rare).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    return bounded.join(n_of, "term").where(F.greatest("n_term", "both") <= F.col("limit") * (1 + 1e-12)).select("entity", "term")
+    return bounded.join(n_of, "term").where("n_term <= limit").select("entity", "term")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     R.ship(docs.sparkSession)
-    return _row_number(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return texts.withColumns(_row_columns("doc_id", "text")).select("row", "row2", "doc_id", "text")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, least_texts: int = LEAST_TEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(row, doc_id, spans, added) for every row: base spans, and spans of disclosing terms."""
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, disclosure: float = DISCLOSURE, smoothing: float = SMOOTHING) -> DataFrame:
+    """(row, row2, doc_id, spans, added) for every row: base spans, and spans of disclosing terms."""
     texts = _texts(docs, id_col, text_col)
     found = R.stage(texts.mapInArrow(_finder(near), _FOUND), "found")
-    reveal = disclosing(found, texts, least_texts, disclosure)
-    shown = found.where(F.size("entities") > 0).select("row", F.explode("entities").alias("entity")).distinct()
-    told = R.stage(shown.join(reveal, "entity").groupBy("row").agg(F.collect_set("term").alias("terms")), "told")
-    marked = texts.select("row", "text").join(told, "row").select("row", "text", "terms").mapInArrow(_marker, f"row long, added array<{_SPAN}>")
-    added = R.stage(marked.dropDuplicates(["row"]), "added")
+    reveal = disclosing(found, texts, disclosure, smoothing)
+    shown = found.where(F.size("entities") > 0).select(*_ROW, F.explode("entities").alias("entity")).distinct()
+    told = R.stage(shown.join(reveal, "entity").groupBy(*_ROW).agg(F.collect_set("term").alias("terms")), "told")
+    marked = texts.join(told, _ROW).select(*_ROW, "text", "terms").mapInArrow(_marker, f"row long, row2 long, added array<{_SPAN}>")
+    added = R.stage(marked.dropDuplicates(_ROW), "added")
     none = F.expr(f"cast(array() as array<{_SPAN}>)")
-    return found.join(added, "row", "left").select("row", "doc_id", "spans", F.coalesce("added", none).alias("added"))
+    return found.join(added, _ROW, "left").select(*_ROW, "doc_id", "spans", F.coalesce("added", none).alias("added"))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -328,8 +336,9 @@ def _cleaner(replacements: dict[str, str], added_name: str):
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", replacements: dict[str, str] | None = None, **how) -> DataFrame:
     """``docs`` with all spans of column ``text`` replaced; other columns stay."""
-    row, added = R.fresh(docs, "row"), R.fresh(docs, "added")
-    spans = R.stage(find(docs, id_col, "text", **how).where(F.size("added") > 0).select(F.col("row").alias(row), F.col("added").alias(added)).dropDuplicates([row]), "added")
-    keyed = docs.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), F.col("text").cast("string")))
-    joined = keyed.join(spans, row, "left").drop(row)
+    row, row2, added = R.fresh(docs, "row"), R.fresh(docs, "row2"), R.fresh(docs, "added")
+    spans = find(docs, id_col, "text", **how).where(F.size("added") > 0).select(F.col("row").alias(row), F.col("row2").alias(row2), F.col("added").alias(added))
+    spans = R.stage(spans.dropDuplicates([row, row2]), "added")
+    keys = _row_columns(F.col(id_col).cast("long"), F.col("text").cast("string"))
+    joined = docs.withColumns({row: keys["row"], row2: keys["row2"]}).join(spans, [row, row2], "left").drop(row, row2)
     return joined.mapInArrow(_cleaner(replacements or REPLACEMENTS, added), docs.schema)
