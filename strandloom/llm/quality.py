@@ -1,21 +1,28 @@
 """Quality rules and robust multivariate outliers among the statistics of texts.
 
 Base rules count words, symbols, repeated lines and repeated five-word windows. Beyond them, transformed statistic
-vectors are compared with their language and source: the minimum-covariance-determinant estimate of a group (the
-mean and covariance of the three quarters of its rows that lie closest together) is found by concentration steps,
-and a text is rejected when its Mahalanobis distance exceeds a cutoff.
+vectors are compared with their language and source by the minimum covariance determinant: of all parts of a group
+that hold three quarters of its rows, the one whose covariance has the smallest determinant gives mean and covariance,
+and a text is rejected when its Mahalanobis distance exceeds a cutoff. To the covariance a fixed diagonal is added
+(``FLOOR``), so that a constant feature does not reject everything else; it is part of the determinant.
 
-A concentration step is one aggregation over all rows: distances fall into 64 classes, each (group, class) keeps
-count, sums and products, and the classes up to the quantile give the next estimate; the class that the quantile
-cuts counts in part. A group too small for an estimate is held against that of
-its whole language, and a language too small against that of all rows.
+The search is FAST-MCD. On a bounded sample of a group (all of a small group) many random starts take concentration
+steps, and the best of them step on to convergence. The best two different results then take concentration steps over
+all rows of the group until the determinant falls no more, and the smaller determinant wins. A step keeps exactly the
+closest rows: distances are counted in classes, the class that holds the quantile is divided again until its rows fit
+a task, and these are sorted. Rows at the quantile itself count in equal part, so the order of rows does not matter.
+Only sums by class and the bounded class at the quantile leave the tasks that read the rows.
+
+A group needs five rows for each feature; a smaller one is held against its whole language, and a language too small
+against all rows.
 
 Defined results: a null text has no words and fails the base rules; null lang or source are groups of their own;
-an empty table gives an empty result; repeated rows count each.
+an empty table gives an empty result; repeated rows count each; ties in distance are treated alike.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -34,12 +41,19 @@ MOST_REPEATED_PERCENT = 20
 WINDOW = 5
 
 FEATURES = ("log_words", "log_word_length", "symbols", "repeated_lines", "repeated_words", "capitals", "marks", "digits", "variety", "vowels")
-#: The least standard deviation of each feature: what varies less says nothing about quality.
+#: What is added to the standard deviation of each feature: what varies less says nothing about quality.
 FLOOR = (0.7, 0.15, 0.35, 0.35, 0.45, 0.35, 0.35, 0.35, 0.35, 0.25)
+#: The part of a group's rows that its estimate is of.
 SHARE = 0.75
-LEAST_GROUP = 60
-STEPS = 4
+#: Rows that a covariance of so many features needs.
+LEAST_GROUP = 5 * len(FEATURES)
+#: Rows of a group on which starts are tried, about; random starts; those that go on to convergence; and on to all rows.
+SAMPLE, STARTS, BEST, CARRIED = 2000, 100, 10, 2
+#: Steps end when the log determinant falls by less.
+TOLERANCE = 1e-7
 CLASSES = 64
+#: Rows of the class at the quantile that one task sorts.
+SORTED = 5000
 #: A text is rejected beyond this upper-tail probability of the chi-square law: the share of ordinary texts, about.
 TAIL = 1e-4
 
@@ -166,41 +180,188 @@ def _distance(d: int) -> Column:
     for i in range(d):
         for j in range(i, d):
             terms.append(f"{'2D * ' if j > i else ''}precision[{i * d + j}] * (x[{i}] - mean[{i}]) * (x[{j}] - mean[{j}])")
-    return F.expr(" + ".join(terms))
-
-
-def _estimator(d: int, share: float):
-    """One group's classes (count, sums, products) to its next (mean, precision)."""
-    # the covariance of the closest share of a normal law is too small by a known factor
-    q = chi_square_cutoff(1 - share, d)
-    grow = share / (1 - chi_square_tail(q, d + 2))
-    floor = np.square(np.array(FLOOR[:d]))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    return F.greatest(F.expr(" + ".join(terms)), F.lit(0.0))
+
+
+class Determinant:
+    """The covariance that is minimised, from sums over a group's kept rows."""
+
+    def __init__(self, floor: tuple[float, ...], share: float):
+        d = len(floor)
+        self.d, self.share, self.floor = d, share, np.square(np.array(floor))
+        # the covariance of the closest share of a normal law is too small by a known factor
+        self.grow = share / (1 - chi_square_tail(chi_square_cutoff(1 - share, d), d + 2)) if share < 1 else 1.0
+        self.upper = np.triu_indices(d)
+
+    def kept(self, n: float) -> float:
+        return max(1.0, math.ceil(self.share * n - 1e-9))
+
+    def estimate(self, n: float, s: np.ndarray, p: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """(log determinant, mean, precision) from the count, sums and upper products of the kept rows."""
+        mean = s / n
+        cov = np.zeros((self.d, self.d))
+        cov[self.upper] = p / n
+        cov = self.grow * (cov + np.triu(cov, 1).T - np.outer(mean, mean))
+        cov[np.diag_indices(self.d)] = np.maximum(np.diag(cov), 0.0) + self.floor
+        return float(np.linalg.slogdet(cov)[1]), mean, np.linalg.inv(cov)
+
+    def of(self, x: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        return self.estimate(w.sum(), w @ x, self.products(x, w))
+
+    def products(self, x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return ((x * w[:, None]).T @ x)[self.upper]
+
+    @staticmethod
+    def far(x: np.ndarray, mean: np.ndarray, precision: np.ndarray) -> np.ndarray:
+        """Log of 1 + squared distance."""
+        y = x - mean
+        return np.log1p(np.maximum(((y @ precision) * y).sum(axis=1), 0.0))
+
+    @staticmethod
+    def closest(u: np.ndarray, w: np.ndarray, keep: float) -> np.ndarray:
+        """Weights of the closest rows that make up ``keep``; rows at the quantile count in equal part."""
+        order = np.argsort(u, kind="stable")
+        at = min(len(u) - 1, int(np.searchsorted(np.cumsum(w[order]), keep * (1 - 1e-12))))
+        q = u[order[at]]
+        less, equal = u < q, u == q
+        return np.where(less, w, np.where(equal, w * min(1.0, max(0.0, (keep - w[less].sum()) / w[equal].sum())), 0.0))
+
+    def step(self, x: np.ndarray, w: np.ndarray, mean: np.ndarray, precision: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        return self.of(x, self.closest(self.far(x, mean, precision), w, self.kept(w.sum())))
+
+    def search(self, x: np.ndarray, w: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """The best different results of many starts: two steps each, then the best of them to convergence."""
+        rng = np.random.default_rng(len(x))
+        begun = [self.of(x, w)]
+        for _ in range(STARTS):
+            some = rng.choice(len(x), min(len(x), self.d + 1), replace=False)
+            now = self.of(x[some], np.ones(len(some)))
+            for _ in range(2):
+                now = self.step(x, w, *now[1:])
+            begun.append(now)
+        out: list[tuple[float, np.ndarray, np.ndarray]] = []
+        for now in sorted(begun, key=lambda e: e[0])[:BEST] + begun[:1]:
+            while (after := self.step(x, w, *now[1:]))[0] < now[0] - TOLERANCE * 1e-3:
+                now = after
+            out.append(now)
+        best: list[tuple[float, np.ndarray, np.ndarray]] = []
+        for now in sorted(out, key=lambda e: e[0]):
+            if all(now[0] - e[0] > 1e-6 for e in best):
+                best.append(now)
+        return best[:CARRIED]
+
+
+_ESTIMATE = "grp string, start int, mean array<double>, precision array<double>, logdet double, least double, most double, done boolean"
+#: The log of 1 + distance lies below this.
+_END = 800.0
+
+
+def _starts(search: Determinant):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(rows["x"].to_numpy())
+        order = np.lexsort(x.T)  # rows come in any order
+        found = search.search(x[order], rows["w"].to_numpy(float)[order])
+        # all rows are looked at anew, from an interval where the quantile should be; a sample's determinant is not theirs
+        out = []
+        for k, (_, mean, precision) in enumerate(found):
+            u = np.sort(search.far(x, mean, precision))
+            q = float(u[min(len(u) - 1, int(search.share * len(u)))])
+            out.append((rows["grp"].iloc[0], k, mean.tolist(), precision.ravel().tolist(), math.inf, max(0.0, q - 0.2), q + 0.2, False))
+        return pd.DataFrame(out, columns=["grp", "start", "mean", "precision", "logdet", "least", "most", "done"])
+
+    return run
+
+
+#: Of a step under way: what is kept for sure, and the interval of the class at the quantile with what it holds.
+_OPEN = "grp string, start int, n double, s array<double>, p array<double>, keep double, low double, high double, inside double, s_in array<double>, p_in array<double>"
+
+
+def _locate(search: Determinant, first: bool):
+    """Classes of a group (count, sums, products) to the class that holds the quantile."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("class")
-        n = rows["n"].to_numpy(float)
-        keep = max(1.0, math.ceil(share * n.sum()))
-        before = np.concatenate([[0.0], np.cumsum(n)[:-1]])
-        weight = np.clip((keep - before) / n, 0.0, 1.0)
-        total = float((weight * n).sum())
-        s = np.stack(rows["s"].to_numpy())
-        p = np.stack(rows["p"].to_numpy())
-        mean = (weight[:, None] * s).sum(0) / total
-        upper = (weight[:, None] * p).sum(0) / total
-        cov = np.zeros((d, d))
-        cov[np.triu_indices(d)] = upper
-        cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-        cov = grow * cov
-        # a standard deviation of at least the floor; correlations stay
-        cov[np.diag_indices(d)] = np.maximum(np.diag(cov), 0) + floor
-        return pd.DataFrame({"grp": [rows["grp"].iloc[0]], "mean": [mean.tolist()], "precision": [np.linalg.inv(cov).ravel().tolist()]})
-
-    return fold
-
-
-def outlier_distances(stats: DataFrame, steps: int = STEPS, share: float = SHARE, least_group: int = LEAST_GROUP) -> DataFrame:
+        count = rows["c"].to_numpy(float)
+        s, p = np.stack(rows["s"].to_numpy()), np.stack(rows["p"].to_numpy())
+        head = rows.iloc[0]
+        n, keep = (0.0, search.kept(count.sum())) if first else (float(head["n"]), float(head["keep"]))
+        at = min(len(count) - 1, int(np.searchsorted(n + np.cumsum(count), keep - 1e-9)))
+        n += count[:at].sum()
+        s0, p0 = s[:at].sum(0), p[:at].sum(0)
+        if not first:
+            s0, p0 = s0 + np.asarray(head["s0"]), p0 + np.asarray(head["p0"])
+        k, low, high = int(rows["class"].iloc[at]), float(head["low"]), float(head["high"])
+        edge = lambda i: high if i == CLASSES else low + i * ((high - low) / CLASSES)
+        inside = (0.0, low) if k < 0 else (high, _END) if k >= CLASSES else (edge(k), edge(k + 1))
+        return pd.DataFrame([(head["grp"], head["start"], n, s0.tolist(), p0.tolist(), keep, *inside, count[at], s[at].tolist(), p[at].tolist())], columns=[c.split()[0] for c in _OPEN.split(", ")])
+
+    return run
+
+
+def _finish(search: Determinant):
+    """The rows of the class at the quantile, or none if all count in equal part, to the next estimate."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        head = rows.iloc[0]
+        n, need = float(head["n"]), float(head["keep"]) - float(head["n"])
+        s, p = np.asarray(head["s"], float), np.asarray(head["p"], float)
+        if head["x"] is None:
+            part = min(1.0, need / float(head["inside"]))
+            s, p, q = s + part * np.asarray(head["s_in"]), p + part * np.asarray(head["p_in"]), float(head["high"])
+        else:
+            x, u = np.stack(rows["x"].to_numpy()), rows["u"].to_numpy(float)
+            order = np.lexsort((*x.T, u))
+            x, u = x[order], u[order]
+            w = search.closest(u, np.ones(len(u)), need)
+            s, p, q = s + w @ x, p + search.products(x, w), float(u[min(len(u) - 1, int(need))])
+        logdet, mean, precision = search.estimate(n + need, s, p)
+        done = not logdet < float(head["logdet"]) - TOLERANCE
+        if done and logdet >= float(head["logdet"]):
+            logdet, mean, precision = float(head["logdet"]), np.asarray(head["mean"], float), np.asarray(head["precision"], float).reshape(search.d, -1)
+        out = (head["grp"], head["start"], mean.tolist(), precision.ravel().tolist(), logdet, max(0.0, q - 0.1), q + 0.1, done)
+        return pd.DataFrame([out], columns=["grp", "start", "mean", "precision", "logdet", "least", "most", "done"])
+
+    return run
+
+
+def _step(examples: DataFrame, now: DataFrame, search: Determinant) -> DataFrame:
+    """One concentration step over all rows of the groups of ``now``."""
+    d = search.d
+    seen = examples.join(now.select("grp", "start", "mean", "precision", "least", "most"), "grp").withColumn("u", F.log1p(_distance(d)))
+    sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(d)]
+    products = [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]
+    packed = [F.array(*[f"s{i}" for i in range(d)]).alias("s"), F.array(*[f"p{i}_{j}" for i in range(d) for j in range(i, d)]).alias("p")]
+
+    def classes(low: str, high: str) -> Column:
+        width = f"(({high} - {low}) / {CLASSES}D)"
+        guess = f"least(cast(floor((u - {low}) / {width}) as int), {CLASSES - 1})"
+        # a row lies in the class whose edges, as the driver's side computes them too, are around it
+        own = f"{guess} + case when u < {low} + {guess} * {width} then -1 when {guess} < {CLASSES - 1} and u >= {low} + ({guess} + 1) * {width} then 1 else 0 end"
+        return F.expr(f"case when u < {low} then -1 when u >= {high} then {CLASSES} else {own} end").alias("class")
+
+    counted = seen.groupBy("grp", "start", "least", "most", classes("least", "most")).agg(F.count("*").alias("c"), *sums, *products)
+    counted = counted.select("grp", "start", "class", "c", *packed, F.col("least").alias("low"), F.col("most").alias("high"))
+    open_ = R.stage(counted.groupBy("grp", "start").applyInPandas(_locate(search, True), _OPEN), "open")
+    wide = (F.col("inside") > SORTED) & (F.col("high") - F.col("low") > 1e-12)
+    while not open_.where(wide).isEmpty():  # a class of many rows is divided again; each time by CLASSES
+        again = seen.select("grp", "start", "x", "u").join(open_.where(wide).select("grp", "start", "low", "high"), ["grp", "start"]).where("u >= low and u < high")
+        parts = again.groupBy("grp", "start", "low", "high", classes("low", "high")).agg(F.count("*").alias("c"), *sums, *products).select("grp", "start", "low", "high", "class", "c", *packed)
+        known = open_.select("grp", "start", "n", "keep", F.col("s").alias("s0"), F.col("p").alias("p0"))
+        finer = parts.join(known, ["grp", "start"]).groupBy("grp", "start").applyInPandas(_locate(search, False), _OPEN)
+        after = R.stage(open_.where(~wide).unionByName(finer), "open")
+        R.unstage(open_)
+        open_ = after
+    bounds = open_.where("inside <= %d and n + inside > keep" % SORTED).select("grp", "start", "low", "high")
+    inner = seen.select("grp", "start", "x", "u").join(bounds, ["grp", "start"]).where("u >= low and u < high").select("grp", "start", "x", "u")
+    ends = open_.join(now.select("grp", "start", "mean", "precision", "logdet"), ["grp", "start"]).join(inner, ["grp", "start"], "left")
+    after = R.stage(ends.groupBy("grp", "start").applyInPandas(_finish(search), _ESTIMATE), "estimates")
+    R.unstage(open_)
+    return after
+
+
+def outlier_distances(stats: DataFrame, floor: tuple[float, ...] = FLOOR, share: float = SHARE, least_group: int = LEAST_GROUP, sample: int = SAMPLE) -> DataFrame:
     """``stats`` (lang, source, x) plus ``grp`` and ``distance``, the squared robust Mahalanobis distance."""
-    d = len(FEATURES)
+    search = Determinant(floor, share)
     lang, source = F.coalesce("lang", F.lit("\0")), F.coalesce("source", F.lit("\0"))
     sizes = stats.groupBy(lang.alias("_l"), source.alias("_s")).agg(F.count("*").alias("_n"))
     by_lang = sizes.groupBy("_l").agg(F.sum("_n").alias("_all"), F.min("_n").alias("_least"))
@@ -209,38 +370,38 @@ def outlier_distances(stats: DataFrame, steps: int = STEPS, share: float = SHARE
     grp = F.when(~small, own).when(pooled, whole).otherwise(F.lit(""))
     # what a row is an example of: its own group, and its language if that stands in for a small group
     of = F.array_compact(F.array(F.when(~small, own), F.when(pooled & (F.col("_least") < least_group), whole)))
-    named = R.stage(sizes.join(by_lang, "_l").select("_l", "_s", grp.alias("grp"), of.alias("_of")), "groups")
+    named = R.stage(sizes.join(by_lang, "_l").select("_l", "_s", "_n", grp.alias("grp"), of.alias("_of")), "groups")
     if not named.where("grp = ''").isEmpty():  # and all rows, if they stand in for a language
         named = named.withColumn("_of", F.array_append("_of", F.lit("")))
-    rows = R.stage(stats.withColumns({"_l": lang, "_s": source}).join(named, ["_l", "_s"]).drop("_l", "_s"), "vectors")
+    rows = R.stage(stats.withColumns({"_l": lang, "_s": source}).join(named.drop("_n"), ["_l", "_s"]).drop("_l", "_s"), "vectors")
     examples = rows.select(F.explode("_of").alias("grp"), "x")
 
-    quartiles = examples.groupBy("grp").agg(*[F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(d)])
-    spread = [f"greatest((q{i}[2] - q{i}[0]) / 1.349D, {FLOOR[i]}D)" for i in range(d)]
-    start = quartiles.select(
-        "grp",
-        F.array(*[F.col(f"q{i}")[1] for i in range(d)]).alias("mean"),
-        F.array(*[F.expr(f"1D / ({spread[i]} * {spread[i]})") if i == j else F.lit(0.0) for i in range(d) for j in range(d)]).alias("precision"),
-    )
-    now = R.stage(start, "estimates")
-    for _ in range(steps):
-        near = examples.join(now, "grp").withColumn("class", F.least(F.lit(CLASSES - 1), F.floor(F.log2(1 + F.greatest(_distance(d), F.lit(0.0))) * 6)).cast("int"))
-        sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(d)]
-        products = [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]
-        classes = near.groupBy("grp", "class").agg(F.count("*").alias("n"), *sums, *products)
-        packed = classes.select("grp", "class", "n", F.array(*[f"s{i}" for i in range(d)]).alias("s"), F.array(*[f"p{i}_{j}" for i in range(d) for j in range(i, d)]).alias("p"))
-        after = R.stage(packed.groupBy("grp").applyInPandas(_estimator(d, share), "grp string, mean array<double>, precision array<double>"), "estimates")
-        R.unstage(now)
-        now = after
-    return rows.join(now, "grp").withColumn("distance", _distance(d)).drop("mean", "precision", "_of")
+    total = named.select(F.explode("_of").alias("grp"), "_n").groupBy("grp").agg(F.sum("_n").alias("_n"))
+    place = F.pmod(F.xxhash64("x", *[c for c in ("doc_id",) if c in rows.columns]), F.lit(1 << 30)).alias("_h")
+    placed = rows.select(F.explode("_of").alias("grp"), "x", place)
+    # a group has one row at least, were all of them alike
+    upto = placed.groupBy("grp").agg(F.min("_h").alias("_least")).join(total, "grp").select("grp", F.greatest(F.col("_least").cast("double"), F.lit(float(sample) * (1 << 30)) / F.col("_n") - 1).alias("_upto"))
+    drawn = placed.join(upto, "grp").where("_h <= _upto").groupBy("grp", "x").agg(F.count("*").alias("w"))
+    now = R.stage(drawn.groupBy("grp").applyInPandas(_starts(search), _ESTIMATE), "estimates")
+    finished = []
+    while not now.isEmpty():
+        after = _step(examples, now, search)
+        finished.append(after.where("done"))
+        now = after.where("not done")
+    best = functools.reduce(DataFrame.unionByName, finished, now).groupBy("grp").agg(F.min_by(F.struct("mean", "precision"), F.struct("logdet", "start")).alias("e")).select("grp", "e.mean", "e.precision")
+    return rows.join(R.stage(best, "estimates"), "grp").withColumn("distance", _distance(search.d)).drop("mean", "precision", "_of")
+
+
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """doc_id, lang, source, the base counts, base_failed and the statistic vector x for every row."""
+    R.ship(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
+    return texts.mapInArrow(_statistics, _STATS).withColumn("base_failed", failed)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tail: float = TAIL) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, distance for every row."""
-    R.ship(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    stats = R.stage(texts.mapInArrow(_statistics, _STATS), "stats")
-    far = outlier_distances(stats)
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    cutoff = chi_square_cutoff(tail, len(FEATURES))
-    return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("distance") <= cutoff)).alias("kept"), "distance")
+    far = outlier_distances(R.stage(statistics(docs, id_col, text_col, lang_col, source_col), "stats"))
+    kept = ~F.col("base_failed") & (F.col("distance") <= chi_square_cutoff(tail, len(FEATURES)))
+    return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

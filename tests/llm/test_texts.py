@@ -102,6 +102,66 @@ def test_outliers_of_a_group(spark):
     assert max(got[k] for k in range(400)) < 4 * cutoff < min(got[k] for k in range(400, 460))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_the_smallest_determinant_is_found(seed):
+    """All ways to keep nine of twelve rows, against the search."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(0, 1, (9, 2)), rng.normal(5, 3, (3, 2))])
+    search = quality.Determinant((0.1, 0.2), 0.75)
+    grow = search.grow
+    best = min(np.linalg.slogdet(grow * np.cov(x[list(k)].T, bias=True) + np.diag([0.01, 0.04]))[1] for k in combinations(range(12), 9))
+    got = search.search(x, np.ones(12))
+    assert abs(got[0][0] - best) < 1e-9
+
+
+def test_distances_equal_a_plain_search(spark):
+    """Groups of several sizes through the DataFrame, against all ways to keep rows (small) or a plain search on all rows."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(9)
+    floor = (0.1, 0.2, 0.3)
+    search = quality.Determinant(floor, 0.75)
+    groups = {"a": np.concatenate([rng.normal(0, 1, (9, 3)), rng.normal(4, 1, (3, 3))]), "b": rng.normal(2, 1, (12, 3)).round(0), "c": np.concatenate([rng.normal(0, 1, (2500, 3)), rng.normal(6, 1, (500, 3))])}
+    rows = [(i, "en", g, v.tolist()) for g, x in groups.items() for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, source string, x array<double>")
+    got = {(r["source"], r["doc_id"]): r["distance"] for r in quality.outlier_distances(frame, floor=floor, least_group=10, sample=400).collect()}
+    assert len(got) == len(rows)
+    for g, x in groups.items():
+        if len(x) == 12:
+            keep = min(combinations(range(12), 9), key=lambda k: round(np.linalg.slogdet(search.grow * np.cov(x[list(k)].T, bias=True) + np.diag(search.floor))[1], 12))
+            mean, cov = x[list(keep)].mean(0), search.grow * np.cov(x[list(keep)].T, bias=True) + np.diag(search.floor)
+            precision, near = np.linalg.inv(cov), 1e-6
+        else:
+            _, mean, precision = search.search(x, np.ones(len(x)))[0]
+            near = 1e-3
+        if g != "b":  # equal rows count in part there
+            want = ((x - mean) @ precision * (x - mean)).sum(1)
+            assert np.allclose([got[g, i] for i in range(len(x))], want, rtol=near, atol=near)
+
+
+@pytest.mark.parametrize("bound", [5000, 7])
+def test_steps_keep_exactly_the_closest_rows(spark, monkeypatch, bound):
+    """However often the class at the quantile is divided, and with many rows at the quantile itself."""
+    monkeypatch.setattr(quality, "SORTED", bound)
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(0, 1, (700, 2)), np.repeat(rng.normal(0, 1, (3, 2)), 100, axis=0)])
+    search = quality.Determinant((0.1, 0.1), 0.75)
+    at = search.of(x[:5], np.ones(5))
+    now = spark.createDataFrame([("g", 0, at[1].tolist(), at[2].ravel().tolist(), 99.0, 0.3, 0.9, False)], quality._ESTIMATE)
+    rows = spark.createDataFrame([("g", v.tolist()) for v in x], "grp string, x array<double>")
+    got = quality._step(rows, now, search).first()
+    want = search.step(x, np.ones(len(x)), at[1], at[2])
+    assert abs(got["logdet"] - want[0]) < 1e-9 and np.allclose(got["mean"], want[1]) and np.allclose(got["precision"], want[2].ravel())
+
+
+def test_many_equal_rows_of_a_group(spark):
+    rows = [(None, "en", "s", [1.0] * 10)] * 3000 + [(1, "en", "s", [9.0] * 10)]
+    got = quality.outlier_distances(spark.createDataFrame(rows, "doc_id long, lang string, source string, x array<double>")).collect()
+    assert len(got) == 3001 and max(r["distance"] for r in got if r["doc_id"] is None) < 1e-9 and max(r["distance"] for r in got) > 100
+
+
 def test_small_groups_are_held_against_the_whole(spark):
     """Few rows of a source against their language, few rows of a language against all; the rest as without them."""
     rng = np.random.default_rng(6)
