@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, licenses, minhash, packing, pieces, pii, quality, spotsigs, toxicity
+from . import chat, langid, licenses, minhash, oracles, packing, pieces, pii, quality, spotsigs, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,29 +61,27 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_digests(rows.unionByName(extra))
 
 
-#: Conversation -7 and the rows of op10, in SQL: the formatted length counts one backslash for each control string.
-OP10_SQL = r"""
-WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
-), m AS (
-  SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
-      + (length(text) - length(replace(text, '### ', ''))) // 4 + (length(text) - length(replace(text, ': ', ''))) // 2
-      + (length(text) - length(replace(text, '</turn>', ''))) // 7
-      + 4 + CASE role WHEN 'system' THEN 6 WHEN 'user' THEN 4 WHEN 'assistant' THEN 9 ELSE length(role) + 1 END + 2 + 8 AS chars,
-    lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before
-  FROM c
-)
-SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(chars) AS BIGINT) AS formatted_chars,
-  bool_and(coalesce(before, 'start') || '>' || role IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user'))
-    AND last(role ORDER BY turn, role, text) IN ('user', 'assistant') AS valid
-FROM m GROUP BY conv_id
-"""
+# ---- what operators report beside the contract's columns ----
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited text of each document, as op3 fingerprints it."""
+    return spotsigs.edited_likeness(_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256")
+
+
+def similar_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the class of its fingerprint and the number of similar classes, by length partitions."""
+    return spotsigs.partners(spotsigs.fingerprints(_table(spark, sf_dir, "documents")))
+
+
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base places and labels of op4."""
+    return licenses.scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base rules of op6."""
+    return quality.statistics(_table(spark, sf_dir, "documents")).drop("lang", "source", "x")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -98,9 +96,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_pii": op9_pii,
         "op10_chat": op10_chat,
+        "edited_texts": edited_texts,
+        "similar_fingerprints": similar_fingerprints,
+        "license_places": license_places,
+        "quality_counts": quality_counts,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat": OP10_SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
+    own = {
+        "op7_minhash": oracles.NEAR_DUPLICATES,
+        "op9_pii": oracles.personal_data(),
+        "op10_chat": oracles.CONVERSATIONS,
+        "edited_texts": oracles.EDITED_TEXTS,
+        "license_places": oracles.license_places(),
+        "quality_counts": oracles.QUALITY_COUNTS,
+    }
+    return {**own, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}

@@ -161,6 +161,13 @@ def similar_pairs(prints: DataFrame, least: float = 0.75) -> tuple[DataFrame, Da
     return member, pairs.join(left, "a").join(right, "b").select("a", "b", alike.alias("likeness")).where(F.col("likeness") >= least - 1e-12)
 
 
+def partners(prints: DataFrame, least: float = 0.75) -> DataFrame:
+    """(doc_id, class_id, n_similar) for every row: the class of its fingerprint and the number of classes alike to it."""
+    member, pairs = similar_pairs(prints, least)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id"))
+    return member.join(ends.groupBy("class_id").agg(F.count("*").alias("n")), "class_id", "left").select("doc_id", "class_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_similar"))
+
+
 # ---- edited texts and successors ----
 
 _EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from common import same_rows
 
-from strandloom.llm import chat, licenses, pieces, pii, quality, queries, spotsigs
+from strandloom.llm import chat, licenses, oracles, pieces, pii, quality, queries, spotsigs
 
 MODEL = P.path("piece_bpe_32k.model")
 FOLD = {c: c + 32 for c in range(65, 91)}
@@ -244,6 +244,14 @@ def test_similar_fingerprints(documents):
     assert {(r["a"], r["b"]) for r in found.collect()} == want
 
 
+def test_partners_of_fingerprints(spark, small, documents):
+    sets = {r["doc_id"]: frozenset(r["spots"]) for r in spotsigs.fingerprints(documents).collect()}
+    got = {r["doc_id"]: (r["class_id"], r["n_similar"]) for r in queries.similar_fingerprints(spark, small).collect()}
+    heads = {c for c, _ in got.values() if sets[c]}
+    for i, (c, n) in got.items():
+        assert sets[i] == sets[c] and n == sum(4 * len(sets[c] & sets[h]) >= 3 * len(sets[c] | sets[h]) for h in heads if h != c and sets[c])
+
+
 # ---- personal data ----
 
 
@@ -418,8 +426,9 @@ def test_unigram_weights():
 # ---- chat ----
 
 
-def test_chat_equals_sql(spark, duck, small):
-    assert same_rows(queries.op10_chat(spark, small), duck.execute(queries.OP10_SQL))
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_sql(spark, duck, small, name):
+    assert same_rows(queries.queries()[name](spark, small), duck.execute(queries.oracle_sql()[name]))
 
 
 def test_chat_reads_back_what_it_wrote():
