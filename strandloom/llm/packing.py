@@ -5,7 +5,10 @@ of the table: pieces above a third of the capacity are matched greedily (at most
 left takes the longest partner that fits), then shorter lengths, longest first, go to the tightest gap that takes
 them. The plan is a list of sequence patterns with multiplicities. A piece finds its place from its rank among
 pieces of its length; ranks are taken per (length, salt) with running offsets over the salts, so that a very
-common length is no single task's work.
+common length is no single task's work. A length has as many salts as its pieces need, and a piece's salt follows from
+a number of its own, so that repeated rows are dealt out as well.
+
+Ids are those of the tokenizers library's own call; a text that holds an added token of the vocabulary has its id there.
 
 Defined results: a null text has no ids of its own, so its document is the end id alone; documents longer than the
 capacity are cut from the end into whole pieces and their first piece has the rest; repeated rows are packed each;
@@ -28,7 +31,8 @@ from . import runtime as R
 
 CAPACITY = 2048
 END_ID = 0
-SALTS = 512
+#: Pieces of one length that a task ranks, about.
+PIECES_PER_SALT = 50_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -52,23 +56,24 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         byte = _byte_of_char()
-        special = {t["content"] for t in model.get("added_tokens", [])}
-        ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+        self.special = [t["content"] for t in model.get("added_tokens", [])]
+        ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in self.special}
         self.fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.slow = None
 
     def ids(self, text: str) -> np.ndarray:
-        try:
-            return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)
-        except (KeyboardInterrupt, SystemExit, MemoryError):
-            raise
-        except BaseException:  # the fast path's regex engine gives up on runs of a million blanks
-            if self.slow is None:
-                from tokenizers import Tokenizer
+        if not any(token in text for token in self.special):
+            try:
+                return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)
+            except (KeyboardInterrupt, SystemExit, MemoryError):
+                raise
+            except BaseException:  # the fast path's regex engine gives up on runs of a million blanks
+                pass
+        if self.slow is None:
+            from tokenizers import Tokenizer
 
-                self.slow = Tokenizer.from_file(self.path)
-                self.slow.encode_special_tokens = True
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            self.slow = Tokenizer.from_file(self.path)
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 @functools.lru_cache(maxsize=2)
@@ -162,22 +167,23 @@ def slots(patterns: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int,
     return out
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """``pieces`` (with length, doc_id, piece, start, ids_crc32) plus sequence_id and offset."""
+def place(pieces: DataFrame, capacity: int = CAPACITY, per_salt: int = PIECES_PER_SALT) -> DataFrame:
+    """``pieces`` (with length, and ``_at``, a number of each) plus sequence_id and offset."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    counts = R.stage(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # capacity rows at most
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    salts = spark.createDataFrame([(k, -(-n // per_salt)) for k, n in histogram.items()], "length int, _salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("_at"), F.col("_salts"))).drop("_salts")
     table = spark.createDataFrame(slots(plan(histogram, capacity)) or [], "_length long, _first long, _ranks long, _each long, _sequence long, _offset long")
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     offsets = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    in_salt = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("_at", F.row_number().over(in_salt) - 1).join(offsets, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_at"))
+    in_salt = Window.partitionBy("length", "_salt").orderBy("_at")
+    ranked = salted.withColumn("_place", F.row_number().over(in_salt) - 1).join(offsets, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_place"))
     # at most a few slots for each of `capacity` lengths: a fixed bound
     placed = ranked.join(F.broadcast(table), F.expr("length = _length and _rank >= _first and _rank < _first + _ranks"))
     j = F.col("_rank") - F.col("_first")
     return placed.select(
-        *[c for c in pieces.columns],
+        *[c for c in pieces.columns if c != "_at"],
         (F.col("_sequence") + F.floor(j / F.col("_each"))).cast("long").alias("sequence_id"),
         (F.col("_offset") + (j % F.col("_each")) * F.col("length")).cast("long").alias("offset"),
     )
@@ -187,5 +193,6 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACIT
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document."""
     R.ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = R.stage(texts.mapInArrow(_piecer(vocabulary, pattern, capacity, end_id), _PIECES), "pieces")
+    cut = texts.mapInArrow(_piecer(vocabulary, pattern, capacity, end_id), _PIECES)
+    pieces = R.stage(cut.withColumn("_at", F.monotonically_increasing_id()), "pieces")
     return place(pieces, capacity)

@@ -18,7 +18,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -58,6 +57,18 @@ def test_odd_rows(odd, library):
     check(packing.pack(odd, PATH, P.PATTERN, capacity=300), texts, library, 300)
 
 
+def test_special_tokens_and_repeated_rows(spark, library):
+    """Added tokens in texts have their ids; equal rows of one id are placed each, in several salts."""
+    texts = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), *[(3, "the same row again")] * 500]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    assert library("a <|endoftext|> b") == [64, 220, 50256, 275]
+    check(packing.pack(frame, PATH, P.PATTERN, capacity=30), texts, library, 30)
+    pieces = spark.createDataFrame([(k, 5 + k % 3) for k in range(1000)], "_at long, length long")
+    rows = packing.place(pieces, 16, per_salt=10).collect()
+    taken = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    assert len(taken) == 1000 and all(x[1] == (0 if y is None or y[0] != x[0] else y[1] + y[2]) for y, x in zip([None, *taken], taken))
+
+
 def test_no_rows(none):
     assert packing.pack(none, PATH, P.PATTERN).collect() == []
 
