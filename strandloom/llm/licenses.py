@@ -2,8 +2,9 @@
 
 All templates go into one automaton over words. A text streams through it and each word gets its matching
 statistic, the length of the longest run of words ending there that occurs in some template. Long matches of one
-template are chained, in order in text and template, into covered spans; a template whose words are covered to a
-sufficient part is a label. Phrases of few words are base labels: they hold wherever their words stand consecutively.
+template are chained, in order in text and template, into covered spans, as many as the text has notices; a template
+whose words are covered to a sufficient part is a label. Phrases of few words are base labels: they hold wherever their
+words stand consecutively.
 
 Words outside the templates' vocabulary lead back to the root, so only runs of vocabulary words are streamed;
 runs are found for a whole batch at once.
@@ -13,7 +14,9 @@ Defined results: a null or wordless text has no words, labels or places; an empt
 
 from __future__ import annotations
 
+import bisect
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,7 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Notices of public licenses and their labels (fixed values).
+#: Notices and texts of public licenses and their labels (fixed values).
 TEMPLATES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
     "released under the mit license": "mit",
@@ -51,6 +54,44 @@ TEMPLATES = {
     "licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved no part of this publication may be reproduced": "proprietary",
+    """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+    to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+    copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+    this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+    EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+    AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR
+    IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""": "mit",
+    """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the
+    License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is
+    distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+    permissions and limitations under the License.""": "apache-2",
+    """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+    Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+    WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should
+    have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""": "gpl-3",
+    """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software
+    Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY
+    WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""": "lgpl",
+    """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one
+    at https://mozilla.org/MPL/2.0/.""": "mpl-2",
+    """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of
+    source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
+    copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS
+    PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+    MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+    INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS;
+    OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN
+    ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""": "bsd",
+    """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and
+    this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+    WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
+    RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+    PERFORMANCE OF THIS SOFTWARE.""": "isc",
+    """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this
+    software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to
+    the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.""": "zlib",
+    """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software,
+    either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""": "unlicense",
 }
 #: Matches shorter than this many words start no span; a label needs this part of a template covered.
 LEAST_MATCH = 3
@@ -131,7 +172,7 @@ class SuffixAutomaton:
 
 class Scanner:
     def __init__(self, phrases: dict[str, str], templates: dict[str, str]):
-        sequences = [t.split() for t in [*phrases, *templates]]
+        sequences = [re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.lower()) for t in [*phrases, *templates]]
         self.labels = [*phrases.values(), *templates.values()]
         self.base = len(phrases)
         words = sorted({w for s in sequences for w in s})
@@ -165,22 +206,33 @@ class Scanner:
         return places, matches
 
     def chains(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[int, float, int, int]]:
-        """(template, covered part, start, end): the best chain of each template's matches, in order in both."""
+        """(template, covered part, start, end): of each template the chains of matches, in order in both, that do not overlap.
+
+        Chains with more of the template covered go first, then shorter ones.
+        """
+        own: dict[int, list[tuple[int, int, int]]] = {}
+        for k, t, start, n in matches:
+            own.setdefault(k, []).append((start, t, n))
         out = []
-        for k in sorted({m[0] for m in matches}):
-            own = sorted((start, t, n) for j, t, start, n in matches if j == k)
-            best: list[tuple[int, int, int]] = []  # covered words, text start, of the chain that ends with each match
-            for i, (start, t, n) in enumerate(own):
+        for k, parts in sorted(own.items()):
+            parts.sort()
+            best: list[tuple[int, int, int]] = []  # covered words, start and end in the text, of the chain that ends with each match
+            for i, (start, t, n) in enumerate(parts):
                 top = (n, start)
                 for j in range(i - 1, -1, -1):
-                    s0, t0, n0 = own[j]
+                    s0, t0, n0 = parts[j]
                     if start - s0 > 2 * self.sizes[k]:
                         break
                     if s0 + n0 <= start and t0 + n0 <= t:
                         top = max(top, (best[j][0] + n, best[j][1]))
                 best.append((*top, start + n))
-            covered, start, end = max(best, key=lambda b: (b[0], -b[1]))
-            out.append((k, min(1.0, covered / self.sizes[k]), start, end))
+            taken: list[tuple[int, int]] = []
+            for covered, start, end in sorted(best, key=lambda b: (-b[0], b[2] - b[1], b[1])):
+                at = bisect.bisect_left(taken, (start, end))
+                if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end):
+                    continue
+                taken.insert(at, (start, end))
+                out.append((k, min(1.0, covered / self.sizes[k]), start, end))
         return out
 
 

@@ -83,6 +83,17 @@ def quality_row(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w)
 
 
+def test_every_notice_of_a_text_is_a_span(spark):
+    notice = "licensed under the gnu affero general public license"
+    filler = " ".join(f"x{k}" for k in range(80))
+    mit = next(t for t, label in licenses.TEMPLATES.items() if label == "mit" and len(t) > 500)
+    texts = [f"{notice} {filler} {notice}", f"{notice} {notice} {filler}", f"{filler} {mit.replace('EXPRESS OR IMPLIED', 'of some other sort')} {filler}", f"{notice} " * 3000]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    at = lambda k: [(s["label"], s["start"], s["end"]) for s in sorted(got[k]["spans"], key=lambda s: s["start"])]
+    assert at(0) == [("agpl", 0, 8), ("agpl", 88, 96)] and at(1) == [("agpl", 0, 8), ("agpl", 8, 16)] and len(at(3)) == 3000
+    assert "mit" in got[2]["labels"].split(",") and any(a <= 100 and b >= 200 for _, a, b in at(2))
+
+
 @pytest.mark.parametrize("table", ["documents", "odd"])
 def test_quality_base(request, table):
     frame = request.getfixturevalue(table)
