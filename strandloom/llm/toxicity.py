@@ -15,7 +15,8 @@ counts are taken on the executors; the driver holds lexicons and one row of feat
 one pass over whole texts.
 
 Defined results: a null or empty text has all features at zero and gets the score of such a text; without training
-rows of both labels every score is 0; null labels are not learned from; an empty table gives an empty result.
+rows of both labels every score is 0; null labels are not learned from; an id labelled again with the same label counts
+once, with both labels once for each; repeated documents get the same score; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +33,11 @@ from . import runtime as R, textcodes as X
 
 #: Labelled texts that are learned from, about (a documented bound for fitting a classifier).
 MOST_TRAINING = 24_000
-MOST_LEXICON = 8_000
 #: Word beginnings in the lexicon have so many characters.
 BEGINNINGS = (4, 5, 6, 7)
-#: Least log odds of a lexicon entry, and texts that have to show it.
+#: Least log odds of a lexicon entry, and least likelihood ratio (its chi-square tail is a thousandth).
 LEAST_ODDS = 2.5
-LEAST_TEXTS = 3
+LEAST_RATIO = 10.83
 #: Texts that score at least this are rejected.
 CUTOFF = 0.7
 NEAR = 6
@@ -121,7 +121,7 @@ class _Tokens:
         a, b = a[some], b[some]
         plain = np.concatenate([[0], np.cumsum(self.flags)])
         letters = plain[b] - plain[a]
-        mixed = (letters >= 2) & (letters < b - a) & (5 * letters >= 2 * (b - a)) & (b - a <= 40)
+        mixed = (letters >= 2) & (letters < b - a) & (5 * letters >= 2 * (b - a))
         a, b = a[mixed], b[mixed]
         if not len(a):
             return np.zeros(0, X.U64), np.zeros(0, np.int64)
@@ -225,9 +225,12 @@ def _featurer(sent):
 
 
 def _lexicon(counts: DataFrame, toxic: int, others: int) -> Lexicon:
+    """All entries that are far more frequent in toxic texts, beyond chance; the bounded sample bounds their number."""
     odds = F.log((F.col("bad") + 0.5) / (toxic + 1.0)) - F.log((F.col("good") + 0.5) / (others + 1.0))
-    top = counts.where(F.col("bad") >= LEAST_TEXTS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    rows = top.orderBy(F.desc("odds"), F.desc("bad"), "n", "entry").limit(MOST_LEXICON).collect()
+    n, share = F.col("bad") + F.col("good"), toxic / max(1, toxic + others)
+    part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * F.lit(p)))).otherwise(0.0)
+    ratio = 2 * (part("bad", share) + part("good", 1 - share))
+    rows = counts.withColumns({"odds": odds, "ratio": ratio}).where((F.col("odds") >= LEAST_ODDS) & (F.col("ratio") >= LEAST_RATIO)).select("n", "entry", "odds").collect()
 
     def table(size: int) -> tuple[np.ndarray, np.ndarray]:
         own = sorted((r["entry"] & 0xFFFFFFFFFFFFFFFF, r["odds"]) for r in rows if r["n"] == size)
@@ -423,7 +426,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> D
     The sample is drawn from the labels, before any text is read: about ``most`` rows, which are sent to the texts.
     A row's weight is the number of labelled rows that it stands for: one over its label's share.
     """
-    seen = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
+    seen = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     sizes = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return docs.select(F.col("text").cast("string").alias("text"), F.lit(None).cast("int").alias("toxic"), F.lit(1.0).alias("weight")).limit(0)
