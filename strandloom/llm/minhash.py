@@ -13,16 +13,19 @@ Groups of any size stay linear:
   the pairs come from a prefix filter on the rarest shingles, which is exact: a pair at the threshold shares a
   shingle of both prefixes. Nothing is capped.
 
-A pair at a similarity of exactly 0.75 meets in no band with probability (1 - 0.75**4)**32 = 5e-6, less above.
+A pair at a similarity of exactly 0.75 meets in no band with probability (1 - 0.75**4)**32 = 5e-6, less above, and its
+signatures agree in less than ``LEAST_ESTIMATE`` with one of 1e-7; ``exact`` leaves both out and takes all candidates
+from the prefix filter.
 
 Defined results: null or wordless texts have an empty set and are linked with nothing; a text of fewer words than
 a shingle has its whole sequence as its only shingle; a null id takes no part (component null, kept true); rows
-that share an id count as one document with several texts. An empty table gives an empty result.
+that share an id count as one document with several texts; equal rows are linked. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,12 +155,12 @@ def _verifier(percent: int):
     return run
 
 
-def _pairs_to_links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _pairs_to_links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, least: float = LEAST_ESTIMATE) -> DataFrame:
     """Of distinct candidate pairs (a, b): the links, confirmed on full sets; staged."""
     a = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     b = reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     sized = pairs.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    likely = R.stage(sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(LEAST_ESTIMATE), "a long, b long"), "likely")
+    likely = R.stage(sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(least), "a long, b long"), "likely")
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
     full = likely.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
@@ -170,8 +173,9 @@ def _prefix_pairs(hot: DataFrame, percent: int) -> DataFrame:
     """Pairs across components that may reach the threshold, from the rarest items of each set.
 
     hot: (id, n, label, items array<long>). The shorter set's items up to its index prefix meet the longer
-    set's up to its probe prefix; items of one set only cannot meet and just move the others' positions. For
-    each item, the component with most entries is not joined with itself.
+    set's up to its probe prefix, within lengths that can reach the threshold; items of one set only cannot meet and
+    just move the others' positions. For each item, the component with most entries is not joined with itself, and
+    what lies beyond a shorter set's index prefix is on one side of the join only.
     """
     tokens = hot.select("id", "n", "label", F.explode("items").alias("item"))
     common = tokens.groupBy("item").agg(F.count("*").alias("df"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("df > 1")
@@ -181,33 +185,28 @@ def _prefix_pairs(hot: DataFrame, percent: int) -> DataFrame:
     ranked = shared.withColumn("at", alone + F.row_number().over(by_id) - 1)
     probe = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100.0 - 1e-9) + 1
     index = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100.0 + percent) - 1e-9) + 1
-    entries = R.stage(ranked.where((F.col("at") < probe) & (F.col("l0") != F.col("l1"))).select("item", "id", "n", "label", "at", (F.col("at") < index).alias("indexed")), "entries")
+    # sets that can reach the threshold have lengths of the same or the next class
+    size = F.floor(F.log(F.col("n").cast("double")) / math.log(100.0 / percent) + 1e-9).cast("int")
+    entries = R.stage(ranked.where((F.col("at") < probe) & (F.col("l0") != F.col("l1"))).select("item", "id", "n", "label", "at", (F.col("at") < index).alias("indexed"), size.alias("size")), "entries")
     counted = entries.groupBy("item", "label").agg(F.count("*").alias("c"))
     major = counted.groupBy("item").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1")
-    major = R.stage(major, "major")  # so that the joins below are all of their stage, and uneven sides can be split
-    x = entries.join(major, "item").where("label <> major").drop("major", "labels").alias("x")
-    y = entries.alias("y")
-    x_first = "(x.n < y.n or (x.n = y.n and x.id < y.id))"
+    major = R.stage(major.select("item", "major"), "major")  # so that the joins below are all of their stage, and uneven sides can be split
+    known = entries.join(major, "item")
+    short = known.where("indexed").select("item", "id", "n", "label", "at", "major", F.explode(F.array("size", F.col("size") + 1)).alias("size")).alias("x")
+    y = known.drop("indexed").alias("y")
     need = f"ceil({percent} * (x.n + y.n) / (100.0 + {percent}) - 1e-9)"
-    got = x.join(
-        y,
-        F.expr(
-            f"x.item = y.item and x.label <> y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-            f" and case when {x_first} then x.indexed else y.indexed end and least(x.n - x.at, y.n - y.at) >= {need}"
-        ),
+    meet = (
+        f"x.item = y.item and x.size = y.size and x.label <> y.label and (x.n < y.n or (x.n = y.n and x.id < y.id))"
+        f" and 100 * x.n >= {percent} * y.n and least(x.n - x.at, y.n - y.at) >= {need}"
     )
-    return got.select(F.expr("least(x.id, y.id) a"), F.expr("greatest(x.id, y.id) b")).distinct()
+    minor = short.where("x.label <> x.major").join(y, F.expr(meet))
+    most = short.where("x.label = x.major").join(y.where("y.label <> y.major"), F.expr(meet))
+    both = [got.select(F.expr("least(x.id, y.id) a"), F.expr("greatest(x.id, y.id) b")) for got in (minor, most)]
+    return both[0].unionByName(both[1]).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; see the module's text."""
-    spark = docs.sparkSession
-    R.ship(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = R.stage(texts.mapInArrow(_sketcher(shingle, bands, rows), _SKETCH), "sketch")
-    alive = sketch.where("n > 0 and doc_id is not null")
-    reps = R.stage(alive.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "bands", "sig")).alias("m"), F.count("*").alias("copies")).select("fp", F.col("m.doc_id").alias("rep"), "m.n", "m.bands", "m.sig", "copies"), "reps")
-
+def _banded(texts: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, label) of the classes that have links, by bands; staged."""
     # buckets of several classes, and the hub of each: the member that meets most others
     members = reps.select("rep", F.explode("bands").alias("bucket"))
     full = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -240,6 +239,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         all_links = links.unionByName(more)
         final = R.stage(components.connected_components(all_links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
     R.unstage(sets, met, rest)
+    return final
+
+
+def _unbanded(texts: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The same with all candidates from the prefix filter."""
+    ids = reps.select(F.col("rep").alias("doc_id"))
+    sets = R.stage(texts.join(ids, "doc_id", "left_semi").mapInArrow(_setter(shingle), "id long, n int, items binary"), "sets")
+    hot = sets.withColumn("label", F.col("id")).mapInArrow(_unpack, "id long, n int, label long, items array<long>")
+    links = _pairs_to_links(_prefix_pairs(hot, percent), reps, sets, percent, 0.0)
+    return R.stage(components.connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, exact: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; see the module's text."""
+    spark = docs.sparkSession
+    R.ship(spark)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sketch = R.stage(texts.mapInArrow(_sketcher(shingle, bands, rows), _SKETCH), "sketch")
+    alive = sketch.where("n > 0 and doc_id is not null")
+    reps = R.stage(alive.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "bands", "sig")).alias("m"), F.count("*").alias("copies")).select("fp", F.col("m.doc_id").alias("rep"), "m.n", "m.bands", "m.sig", "copies"), "reps")
+
+    final = (_unbanded if exact else _banded)(texts, reps, shingle, percent)
 
     # back to documents: only classes with several rows or a link need a label
     named = reps.select("fp", "rep", "copies").join(final.select(F.col("node").alias("rep"), "label"), "rep", "left").where("copies > 1 or label is not null").select("fp", F.coalesce("label", "rep").alias("label"))
@@ -251,7 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, others) that stay when each class keeps its document of smallest id.
 
-    Rows that repeat a kept id are one document: the one whose row sorts first stays. Rows without an id stay.
+    Rows that repeat a kept id are one document: the one whose row sorts first, as JSON, stays. Rows without an id stay.
     """
     marked = R.stage(near_duplicates(docs), "marked")
     gone = R.stage(marked.where("not kept").select("doc_id").distinct(), "gone")
@@ -259,8 +280,8 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     again = R.stage(marked.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "again")
     if again.isEmpty():
         return stay.select(docs.columns)
-    row = R.fresh(docs, "row")
-    one = stay.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias(row)).select("doc_id", f"{row}.*")
+    row, others = R.fresh(docs, "row"), [c for c in docs.columns if c != "doc_id"]
+    one = stay.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*others), F.to_json(F.struct(*others))).alias(row)).select("doc_id", f"{row}.*")
     return stay.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
 
 

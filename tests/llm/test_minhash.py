@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from strandloom.llm import components, minhash
@@ -54,6 +55,34 @@ def test_odd_rows(odd):
     check(minhash.near_duplicates(odd), [(r["doc_id"], r["text"]) for r in odd.collect()])
 
 
+def test_exact_candidates(documents, rows, odd):
+    check(minhash.near_duplicates(documents, exact=True), list(rows.items()))
+    check(minhash.near_duplicates(odd, exact=True), [(r["doc_id"], r["text"]) for r in odd.collect()])
+
+
+def test_pairs_at_the_threshold_meet():
+    """Of 20,000 pairs at exactly 0.75, of sets of 3 to 350, those that share no band or look too different: 0.1 expected."""
+    rng = np.random.default_rng(7)
+    sets, n = [], 20_000
+    for k in range(n):
+        m = int(rng.integers(1, 20) if k % 20 else rng.integers(20, 88))
+        union = rng.integers(0, 2**63, 4 * m).astype(np.uint64)
+        cut = int(rng.integers(0, m + 1))
+        sets += [np.sort(union[: 3 * m + cut]), np.sort(np.concatenate([union[: 3 * m], union[3 * m + cut :]]))]
+    some = [s for s in sets if len(s)]
+    sig = minhash.signatures(some, minhash.BANDS * minhash.ROWS)
+    keys = minhash._band_keys(sig, minhash.BANDS, minhash.ROWS)
+    short = sig & np.uint32(255)
+    met = (keys[::2] == keys[1::2]).any(axis=1) & ((short[::2] == short[1::2]).mean(axis=1) >= minhash.LEAST_ESTIMATE)
+    assert len(met) == n and (~met).sum() <= 2
+
+
+def test_one_row_of_an_id_stays_whatever_its_columns(spark):
+    rows = [(1, "a b c d e f g", {"k": 1}), (1, "a b c d e f g", {"k": 0}), (2, "other words of a text that is long", {"z": 2})]
+    got = minhash.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>")).collect()
+    assert sorted((r["doc_id"], r["extra"]) for r in got) == [(1, {"k": 0}), (2, {"z": 2})]
+
+
 def test_no_rows(none):
     assert minhash.near_duplicates(none).collect() == []
 
