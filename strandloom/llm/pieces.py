@@ -1,29 +1,33 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The transducer is compiled from a model file: the normaliser (a boundary mark before the text and for each blank),
-an arc for each piece, and arcs for the bytes of characters that no piece holds. Composed with an input it gives a
-lattice whose states are (place, last arc), and the tropical-semiring shortest path through it is the encoding.
+The transducer is compiled from a model file in three parts. The normaliser is a machine over blanks and other
+characters that puts boundary marks. The lexicon has an arc for each piece (a matcher of all of them at once), and for
+each character that is no piece an arc that writes its bytes, or the unknown id. The grammar weighs an arc by the one
+before it. Composed with an input they give a lattice whose states are (place, last arc); the tropical-semiring
+shortest path through it, with weights added along a path and the least kept at each state, is the encoding.
 
-For models of merged pairs an arc weighs nothing where it may follow the last one and infinity where it may not. Two
-pieces may stand side by side if merging their characters gives just these two; a sequence is the model's encoding
-exactly if that holds for each neighbouring pair, so one path of finite weight remains at each place. For unigram
-models arcs weigh their negative log probability and follow freely.
+For unigram models an arc weighs its negative log probability and the grammar nothing. For models of merged pairs arcs
+weigh nothing, and the grammar nothing where a piece may follow the last one and infinity where it may not: two pieces
+may stand side by side if merging their characters gives just these two, and a sequence is the model's encoding exactly
+if that holds for each neighbouring pair. States at infinite weight are not kept.
 
 No arc crosses from text into a boundary mark, so the lattice falls into one part for each word, whose shortest
 paths are kept in a bounded table.
 
 Defined results: a null text stays null in texts and has no ids; an empty text has no ids; decoding inverts encoding
-but for boundary marks in the text itself, which come back as blanks; an empty table gives an empty result.
+but for boundary marks in the text itself, which come back as blanks; rows are independent; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import math
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,9 +46,10 @@ MOST_FOLLOWS = 600_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 _UNIGRAM, _MERGES = 1, 2
 
-# in place of a piece's number: a character without a piece, and the beginning of a path
-_NO_PIECE, _BEGIN = 1 << 30, (1 << 30) + 1
-_NO_PIECE_COST = 1e6
+#: In place of the last piece: the beginning of a path, or a character that is no piece (its bytes merge with nothing).
+_ALONE = 1 << 30
+#: Weight of an arc that writes bytes.
+_BYTES_COST = 1e6
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -99,9 +104,42 @@ def read_model(path: str) -> ModelFile:
     return ModelFile(pieces, trainer.get(3, _UNIGRAM) == _MERGES, bool(trainer.get(35, 0)), bool(normal.get(3, 1)), bool(normal.get(4, 1)))
 
 
+class Normaliser:
+    """States and arcs over classes of characters: (state, blank or not) to (what is written before the character, next state).
+
+    A blank itself is never written.
+    """
+
+    def __init__(self, dummy_prefix: bool, squeeze_blanks: bool):
+        prefix = MARK if dummy_prefix else ""
+        self.arcs = {("start", False): (prefix, "text"), ("text", False): ("", "text")}
+        if squeeze_blanks:  # blanks wait for text: leading and trailing ones are never written
+            self.arcs |= {("start", True): ("", "start"), ("text", True): ("", "gap"), ("gap", True): ("", "gap"), ("gap", False): (MARK, "text")}
+        else:
+            self.arcs |= {("start", True): (prefix + MARK, "text"), ("text", True): (MARK, "text")}
+
+        self.prefix, self.squeeze = prefix, squeeze_blanks
+
+    def steps(self, text: str) -> str:
+        """The machine, character by character."""
+        out, state = [], "start"
+        for c in text:
+            written, state = self.arcs[state, c == " "]
+            out.append(written if c == " " else written + c)
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        """The same for whole runs: all but the first arc of a run of characters are loops that write these alone."""
+        if self.squeeze:
+            words = list(filter(None, text.split(" ")))
+            return self.arcs["start", False][0] + self.arcs["gap", False][0].join(words) if words else ""
+        return self.prefix + text.replace(" ", self.arcs["text", True][0]) if text else ""
+
+
 class Transducer:
     def __init__(self, model: ModelFile):
         self.model = model
+        self.normalise = Normaliser(model.dummy_prefix, model.squeeze_blanks)
         self.scores = {p: s for p, s, kind in model.pieces if kind in (_NORMAL, _USER)}
         self.ids = {p: i for i, (p, _, kind) in enumerate(model.pieces) if kind in (_NORMAL, _USER)}
         self.unknown = next(i for i, (_, _, kind) in enumerate(model.pieces) if kind == _UNKNOWN)
@@ -114,6 +152,7 @@ class Transducer:
         self._paths: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self.output = [self._shown(p, kind) for p, _, kind in model.pieces]
+        self._single = frozenset(p for p in self.ids if len(p) == 1)
         self._units = self._parts()
         self._arcs = self._automaton()
 
@@ -142,7 +181,7 @@ class Transducer:
 
         found = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            found.add_word(piece, (i, len(piece)))
+            found.add_word(piece, (i, len(piece), 0.0 if self.model.merges else -self.scores[piece]))
         if self.ids:
             found.make_automaton()
         return found
@@ -159,13 +198,6 @@ class Transducer:
 
     # -- the machine --
 
-    def normalise(self, text: str) -> str:
-        if self.model.squeeze_blanks:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        return (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
-
     def _merged(self, text: str) -> list[str]:
         """What merging the best neighbouring pair, again and again, makes of a short text."""
         parts = list(text)
@@ -181,74 +213,65 @@ class Transducer:
         return parts
 
     def may_follow(self, last: int, piece: int) -> bool:
-        """Whether the arc of ``piece`` has a finite weight after that of ``last`` (``_BEGIN``: at the beginning)."""
-        if last == _NO_PIECE:
-            return self.may_follow(_BEGIN, piece)
+        """The grammar of merges: whether ``piece`` has a finite weight after ``last`` (``_ALONE``: after nothing that merges)."""
         key = last << 32 | piece
         got = self._follows.get(key)
         if got is None:
             if len(self._follows) > MOST_FOLLOWS:
                 self._follows.clear()
-            names = [self.model.pieces[i][0] for i in (last, piece) if i < _NO_PIECE]
+            names = [self.model.pieces[i][0] for i in (last, piece) if i != _ALONE]
             got = self._follows[key] = self._merged("".join(names)) == names
         return got
 
+    def bytes_of(self, character: str) -> tuple[int, ...]:
+        """What the arc of a character that is no piece writes."""
+        return tuple(self.bytes[b] for b in character.encode("utf-8", "surrogatepass")) if self.model.byte_fallback else (self.unknown,)
+
+    def compose(self, unit: str) -> Iterable[tuple[int, tuple[int, int, float]]]:
+        """Arcs (last place, (label, length, weight)) of one part of the lattice by last place.
+
+        A label is a piece, or ``~c`` for a character c that is none.
+        """
+        found = self._arcs.iter(unit) if self.ids else ()
+        if self._single.issuperset(unit):
+            return found
+        alone = ((k, (~ord(c), 1, _BYTES_COST)) for k, c in enumerate(unit) if c not in self._single)
+        return heapq.merge(found, alone, key=lambda arc: arc[0])
+
     def shortest_path(self, unit: str) -> list[int]:
-        """Arcs of the best path over one part of the lattice: pieces, or ``~c`` for a character c without a piece."""
-        return self._single_path(unit) if self.model.merges else self._cheapest_path(unit)
-
-    def _single_path(self, unit: str) -> list[int]:
-        """With weights of 0 and infinity one arc at most reaches each place at a finite weight; longer ones are tried first."""
-        follows, n = self._follows.get, len(unit)
-        arc, back = [_NO_PIECE] * (n + 1), list(range(-1, n))  # unless a piece is found: a character without one
-        arc[0] = _BEGIN
-        done = 0
-        for last, (i, size) in self._arcs.iter(unit):
-            end = last + 1
-            if end == done:
+        """Labels of the path of least weight over one part of the lattice."""
+        merges, follows = self.model.merges, self._follows.get
+        # of each place: (weight, what the grammar sees, label, state before); an arc leads from one place to one state
+        states: list[list[tuple]] = [[] for _ in range(len(unit) + 1)]
+        states[0].append((0.0, _ALONE, 0, None))
+        for last, (label, size, weight) in self.compose(unit):
+            best = None
+            for state in states[last + 1 - size]:
+                if merges and label >= 0:
+                    ok = follows(state[1] << 32 | label)
+                    if ok is None:
+                        ok = self.may_follow(state[1], label)
+                    if not ok:
+                        continue
+                if best is None or state[0] < best[0]:
+                    best = state
+            if best is None:
                 continue
-            begin = end - size
-            before = arc[begin]
-            ok = follows(before << 32 | i)
-            if ok or (ok is None and self.may_follow(before, i)):
-                arc[end], back[end], done = i, begin, end
-        out, at = [], n
-        while at:
-            i, begin = arc[at], back[at]
-            out.append(i if i != _NO_PIECE else ~ord(unit[begin]))
-            at = begin
-        return out[::-1]
-
-    def _cheapest_path(self, unit: str) -> list[int]:
-        n = len(unit)
-        cost, arc, back = [0.0] + [math.inf] * n, [0] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for begin in range(max(0, end - self.longest), end):
-                i = self.ids.get(unit[begin:end])
-                if i is not None:
-                    total, label = cost[begin] - self.model.pieces[i][1], i
-                elif end - begin == 1:
-                    total, label = cost[begin] + _NO_PIECE_COST, ~ord(unit[begin])
-                else:
-                    continue
-                if total < cost[end]:
-                    cost[end], arc[end], back[end] = total, label, begin
-        out, at = [], n
-        while at:
-            out.append(arc[at])
-            at = back[at]
+            total, own = best[0] + weight, states[last + 1]
+            if merges and label >= 0:
+                own.append((total, label, label, best))
+            elif not own or merges:
+                own.append((total, _ALONE, label, best))
+            elif total < own[0][0]:  # the grammar sees no difference: one state
+                own[0] = (total, _ALONE, label, best)
+        state, out = min(states[-1], key=lambda x: x[0]), []
+        while state[3] is not None:
+            out.append(state[2])
+            state = state[3]
         return out[::-1]
 
     def _emit(self, labels: list[int]) -> list[int]:
-        ids: list[int] = []
-        for label in labels:
-            if label >= 0:
-                ids.append(label)
-            elif self.model.byte_fallback:
-                ids.extend(self.bytes[b] for b in chr(~label).encode("utf-8", "surrogatepass"))
-            else:
-                ids.append(self.unknown)
-        return ids
+        return [i for label in labels for i in ((label,) if label >= 0 else self.bytes_of(chr(~label)))]
 
     def _unit(self, unit: str) -> bytes:
         got = self._older.get(unit)

@@ -412,6 +412,41 @@ def test_piece_digests(request, table, library):
     assert got == want
 
 
+def test_normaliser_by_runs_and_by_steps():
+    rng = random.Random(3)
+    for prefix in (False, True):
+        for squeeze in (False, True):
+            machine = pieces.Normaliser(prefix, squeeze)
+            for _ in range(300):
+                text = "".join(rng.choice(["a", " ", "  ", "é", "\n", "▁"]) for _ in range(rng.randint(0, 9)))
+                assert machine(text) == machine.steps(text)
+
+
+def test_paths_are_the_shortest(tmp_path):
+    """All ways through small lattices, with pieces of random weights and with merges."""
+    from functools import cache
+
+    rng = random.Random(4)
+    for merges in (False, True):
+        names = list(dict.fromkeys(["a", "b", "c", *("".join(rng.choice("abc") for _ in range(rng.randint(2, 4))) for _ in range(14))]))
+        model = pieces.ModelFile([("<unk>", 0.0, 2), *[(f"<0x{k:02X}>", 0.0, 6) for k in range(256)], *[(p, -float(k) if merges else -rng.random() * len(p), 1) for k, p in enumerate(names)]], merges, True, False, False)
+        machine = pieces.Transducer(model)
+        score = dict(zip(names, (s for p, s, kind in model.pieces if kind == 1)))
+
+        @cache
+        def ways(text):
+            return [()] if not text else [(p, *rest) for p in [*names, *({text[0]} - set(names))] if text.startswith(p) for rest in ways(text[len(p) :])]
+
+        for _ in range(150):
+            text = "".join(rng.choice("aabbccd") for _ in range(rng.randint(1, 9)))
+            got = tuple(chr(~i) if i < 0 else model.pieces[i][0] for i in machine.shortest_path(text))
+            if merges:  # the best neighbouring pair is merged again and again
+                assert got == tuple(machine._merged(text))
+            else:
+                cost = lambda way: sum(-score[p] if p in score else 1e6 for p in way)
+                assert abs(cost(got) - min(map(cost, ways(text)))) < 1e-6
+
+
 def test_piece_round_trip(odd):
     back = pieces.decode(pieces.encode(odd, MODEL), MODEL)
     assert sorted(map(str, pairs(back))) == sorted(map(str, pairs(odd)))
