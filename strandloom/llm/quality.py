@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime as R, textcodes as X
@@ -174,15 +174,6 @@ def chi_square_cutoff(tail: float, d: float) -> float:
     return high
 
 
-def _distance(d: int) -> Column:
-    """Squared Mahalanobis distance of x under (mean, precision)."""
-    terms = []
-    for i in range(d):
-        for j in range(i, d):
-            terms.append(f"{'2D * ' if j > i else ''}precision[{i * d + j}] * (x[{i}] - mean[{i}]) * (x[{j}] - mean[{j}])")
-    return F.greatest(F.expr(" + ".join(terms)), F.lit(0.0))
-
-
 class Determinant:
     """The covariance that is minimised, from sums over a group's kept rows."""
 
@@ -251,10 +242,119 @@ class Determinant:
         return best[:CARRIED]
 
 
-_ESTIMATE = "grp string, start int, mean array<double>, precision array<double>, logdet double, least double, most double, done boolean"
+_ESTIMATE = "grp string, start int, mean array<double>, precision array<double>, logdet double, low double, high double, done boolean"
 #: The log of 1 + distance lies below this.
 _END = 800.0
 
+# ---- rows of a group in blocks, so that an estimate meets many rows at once ----
+
+_BLOCK = "grp string, n long, least long, x binary, place binary"
+#: Places of rows in the draw of the sample.
+_PLACES = 1 << 30
+
+
+def _packer(d: int):
+    """(id, grp, x) to blocks: the vectors of a group in a batch, and a place for each row by its id and vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(2).flatten().to_numpy().reshape(-1, d)
+            place = X.mix64(batch.column(0).fill_null(0).to_numpy().view(X.U64))
+            for k in range(d):
+                place = X.mix64(place * X.U64(0x9E3779B97F4A7C15) + np.ascontiguousarray(x[:, k]).view(X.U64))
+            place = (place >> X.U64(34)).astype(np.int64)
+            grp = batch.column(1).dictionary_encode()
+            code = grp.indices.to_numpy()
+            rows = []
+            for g, name in enumerate(grp.dictionary.to_pylist()):
+                own = code == g
+                rows.append((name, int(own.sum()), int(place[own].min()), x[own].tobytes(), place[own].tobytes()))
+            yield _arrow(rows, _BLOCK)
+
+    return run
+
+
+def _arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
+    fields = [f.split() for f in schema.split(", ")]
+    cols = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(cols, fields, strict=True)], names=[name for name, _ in fields])
+
+
+def _drawer(d: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                drawn = np.frombuffer(r["place"], np.int64) <= r["upto"]
+                rows += [(r["grp"], x.tolist()) for x in np.frombuffer(r["x"]).reshape(-1, d)[drawn]]
+            yield _arrow(rows, "grp string, x array<double>")
+
+    return run
+
+
+def _edges(low: float, high: float) -> np.ndarray:
+    return np.append(low + np.arange(CLASSES) * ((high - low) / CLASSES), high)
+
+
+def _met(batches: Iterator[pa.RecordBatch], search: Determinant) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
+    """Each block with an estimate: the row, its vectors and their distances (log of 1 + square)."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            x = np.frombuffer(r["x"]).reshape(-1, search.d)
+            yield r, x, search.far(x, np.array(r["mean"]), np.array(r["precision"]).reshape(search.d, -1))
+
+
+#: Groups whose sums a task holds at once.
+_HELD = 1000
+_COUNTS = "grp string, start int, class int, c long"
+
+
+def _histogram(search: Determinant, whole: bool):
+    """Rows of each class of the interval, and (-1, CLASSES) on either side if they are looked at as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], np.ndarray] = {}
+        told = lambda: _arrow([(g, k, c - 1, int(n)) for (g, k), counts in held.items() for c, n in enumerate(counts) if n], _COUNTS)
+        for r, _, u in _met(batches, search):
+            if not whole:
+                u = u[(u >= r["low"]) & (u < r["high"])]
+            got = np.bincount(np.searchsorted(_edges(r["low"], r["high"]), u, "right"), minlength=CLASSES + 2)
+            key = (r["grp"], r["start"])
+            held[key] = held[key] + got if key in held else got
+            if len(held) > _HELD:
+                yield told()
+                held.clear()
+        yield told()
+
+    return run
+
+
+#: kind 0: count, sums and products below the class at the quantile; 1: a row of that class; 2: its sums.
+_PARTS = "grp string, start int, kind int, u double, v array<double>"
+
+
+def _totals(search: Determinant):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int, int], np.ndarray] = {}
+        told = lambda: _arrow([(*key, 0.0, v.tolist()) for key, v in held.items()], _PARTS)
+        for r, x, u in _met(batches, search):
+            inside = (u >= r["low"]) & (u < r["high"])
+            for kind, own in ((0, u < r["low"]), (2, inside)):
+                if kind == 0 or (r["equal"] and own.any()):
+                    key, w = (r["grp"], r["start"], kind), np.ones(int(own.sum()))
+                    held[key] = held.get(key, 0.0) + np.concatenate([[len(w)], x[own].sum(0), search.products(x[own], w)])
+            if not r["equal"] and inside.any():
+                yield _arrow([(r["grp"], r["start"], 1, float(a), v.tolist()) for a, v in zip(u[inside], x[inside], strict=True)], _PARTS)
+            if len(held) > _HELD:
+                yield told()
+                held.clear()
+        yield told()
+
+    return run
+
 
 def _starts(search: Determinant):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -267,100 +367,106 @@ def _starts(search: Determinant):
             u = np.sort(search.far(x, mean, precision))
             q = float(u[min(len(u) - 1, int(search.share * len(u)))])
             out.append((rows["grp"].iloc[0], k, mean.tolist(), precision.ravel().tolist(), math.inf, max(0.0, q - 0.2), q + 0.2, False))
-        return pd.DataFrame(out, columns=["grp", "start", "mean", "precision", "logdet", "least", "most", "done"])
+        return pd.DataFrame(out, columns=["grp", "start", "mean", "precision", "logdet", "low", "high", "done"])
 
     return run
 
 
-#: Of a step under way: what is kept for sure, and the interval of the class at the quantile with what it holds.
-_OPEN = "grp string, start int, n double, s array<double>, p array<double>, keep double, low double, high double, inside double, s_in array<double>, p_in array<double>"
+#: Of a step under way: the rows kept for sure, those to keep, and the interval of the class at the quantile with its rows.
+_OPEN = "grp string, start int, n long, keep double, low double, high double, inside long"
 
 
 def _locate(search: Determinant, first: bool):
-    """Classes of a group (count, sums, products) to the class that holds the quantile."""
+    """Counts of a group's classes to the class that holds the quantile."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("class")
-        count = rows["c"].to_numpy(float)
-        s, p = np.stack(rows["s"].to_numpy()), np.stack(rows["p"].to_numpy())
-        head = rows.iloc[0]
-        n, keep = (0.0, search.kept(count.sum())) if first else (float(head["n"]), float(head["keep"]))
+        count, head = rows["c"].to_numpy(np.int64), rows.iloc[0]
+        n, keep = (0, search.kept(count.sum())) if first else (int(head["n"]), float(head["keep"]))
         at = min(len(count) - 1, int(np.searchsorted(n + np.cumsum(count), keep - 1e-9)))
-        n += count[:at].sum()
-        s0, p0 = s[:at].sum(0), p[:at].sum(0)
-        if not first:
-            s0, p0 = s0 + np.asarray(head["s0"]), p0 + np.asarray(head["p0"])
-        k, low, high = int(rows["class"].iloc[at]), float(head["low"]), float(head["high"])
-        edge = lambda i: high if i == CLASSES else low + i * ((high - low) / CLASSES)
-        inside = (0.0, low) if k < 0 else (high, _END) if k >= CLASSES else (edge(k), edge(k + 1))
-        return pd.DataFrame([(head["grp"], head["start"], n, s0.tolist(), p0.tolist(), keep, *inside, count[at], s[at].tolist(), p[at].tolist())], columns=[c.split()[0] for c in _OPEN.split(", ")])
+        k, edges = int(rows["class"].iloc[at]), _edges(float(head["low"]), float(head["high"]))
+        inside = (0.0, edges[0]) if k < 0 else (edges[-1], _END) if k >= CLASSES else (edges[k], edges[k + 1])
+        return pd.DataFrame([(head["grp"], head["start"], n + int(count[:at].sum()), keep, *inside, int(count[at]))], columns=[c.split()[0] for c in _OPEN.split(", ")])
 
     return run
 
 
 def _finish(search: Determinant):
-    """The rows of the class at the quantile, or none if all count in equal part, to the next estimate."""
+    """What is below the class at the quantile, and its rows or their sums, to the next estimate."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        head = rows.iloc[0]
-        n, need = float(head["n"]), float(head["keep"]) - float(head["n"])
-        s, p = np.asarray(head["s"], float), np.asarray(head["p"], float)
-        if head["x"] is None:
-            part = min(1.0, need / float(head["inside"]))
-            s, p, q = s + part * np.asarray(head["s_in"]), p + part * np.asarray(head["p_in"]), float(head["high"])
-        else:
-            x, u = np.stack(rows["x"].to_numpy()), rows["u"].to_numpy(float)
+        kind, d = rows["kind"].to_numpy(), search.d
+        head = rows[kind == 0].iloc[0]
+        sums, q = np.asarray(head["v"], float), float(head["high"])
+        need = float(head["keep"]) - sums[0]
+        if (kind == 2).any():
+            equal = np.asarray(rows[kind == 2].iloc[0]["v"], float)
+            sums = sums + equal * min(1.0, need / equal[0])
+        elif (kind == 1).any():
+            x, u = np.stack(rows["v"][kind == 1].to_numpy()), rows["u"][kind == 1].to_numpy(float)
             order = np.lexsort((*x.T, u))
             x, u = x[order], u[order]
             w = search.closest(u, np.ones(len(u)), need)
-            s, p, q = s + w @ x, p + search.products(x, w), float(u[min(len(u) - 1, int(need))])
-        logdet, mean, precision = search.estimate(n + need, s, p)
+            sums = sums + np.concatenate([[w.sum()], w @ x, search.products(x, w)])
+            q = float(u[min(len(u) - 1, int(need))])
+        logdet, mean, precision = search.estimate(sums[0], sums[1 : d + 1], sums[d + 1 :])
         done = not logdet < float(head["logdet"]) - TOLERANCE
         if done and logdet >= float(head["logdet"]):
-            logdet, mean, precision = float(head["logdet"]), np.asarray(head["mean"], float), np.asarray(head["precision"], float).reshape(search.d, -1)
+            logdet, mean, precision = float(head["logdet"]), np.asarray(head["mean"], float), np.asarray(head["precision"], float).reshape(d, -1)
         out = (head["grp"], head["start"], mean.tolist(), precision.ravel().tolist(), logdet, max(0.0, q - 0.1), q + 0.1, done)
-        return pd.DataFrame([out], columns=["grp", "start", "mean", "precision", "logdet", "least", "most", "done"])
+        return pd.DataFrame([out], columns=["grp", "start", "mean", "precision", "logdet", "low", "high", "done"])
 
     return run
 
 
-def _step(examples: DataFrame, now: DataFrame, search: Determinant) -> DataFrame:
+def _step(blocks: DataFrame, now: DataFrame, search: Determinant) -> DataFrame:
     """One concentration step over all rows of the groups of ``now``."""
-    d = search.d
-    seen = examples.join(now.select("grp", "start", "mean", "precision", "least", "most"), "grp").withColumn("u", F.log1p(_distance(d)))
-    sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(d)]
-    products = [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]
-    packed = [F.array(*[f"s{i}" for i in range(d)]).alias("s"), F.array(*[f"p{i}_{j}" for i in range(d) for j in range(i, d)]).alias("p")]
-
-    def classes(low: str, high: str) -> Column:
-        width = f"(({high} - {low}) / {CLASSES}D)"
-        guess = f"least(cast(floor((u - {low}) / {width}) as int), {CLASSES - 1})"
-        # a row lies in the class whose edges, as the driver's side computes them too, are around it
-        own = f"{guess} + case when u < {low} + {guess} * {width} then -1 when {guess} < {CLASSES - 1} and u >= {low} + ({guess} + 1) * {width} then 1 else 0 end"
-        return F.expr(f"case when u < {low} then -1 when u >= {high} then {CLASSES} else {own} end").alias("class")
-
-    counted = seen.groupBy("grp", "start", "least", "most", classes("least", "most")).agg(F.count("*").alias("c"), *sums, *products)
-    counted = counted.select("grp", "start", "class", "c", *packed, F.col("least").alias("low"), F.col("most").alias("high"))
-    open_ = R.stage(counted.groupBy("grp", "start").applyInPandas(_locate(search, True), _OPEN), "open")
+    key, state = ["grp", "start"], now.select("grp", "start", "mean", "precision")
+
+    def located(interval: DataFrame, known: DataFrame, whole: bool) -> DataFrame:
+        met = blocks.select("grp", "x").join(state.join(interval, key), "grp")
+        counts = met.mapInArrow(_histogram(search, whole), _COUNTS).groupBy("grp", "start", "class").agg(F.sum("c").alias("c"))
+        return counts.join(known, key).groupBy("grp", "start").applyInPandas(_locate(search, whole), _OPEN)
+
+    interval = now.select("grp", "start", "low", "high")
+    open_ = R.stage(located(interval, interval, True), "open")
     wide = (F.col("inside") > SORTED) & (F.col("high") - F.col("low") > 1e-12)
-    while not open_.where(wide).isEmpty():  # a class of many rows is divided again; each time by CLASSES
-        again = seen.select("grp", "start", "x", "u").join(open_.where(wide).select("grp", "start", "low", "high"), ["grp", "start"]).where("u >= low and u < high")
-        parts = again.groupBy("grp", "start", "low", "high", classes("low", "high")).agg(F.count("*").alias("c"), *sums, *products).select("grp", "start", "low", "high", "class", "c", *packed)
-        known = open_.select("grp", "start", "n", "keep", F.col("s").alias("s0"), F.col("p").alias("p0"))
-        finer = parts.join(known, ["grp", "start"]).groupBy("grp", "start").applyInPandas(_locate(search, False), _OPEN)
-        after = R.stage(open_.where(~wide).unionByName(finer), "open")
+    while not open_.where(wide).isEmpty():  # a class of many rows is divided again, each time by CLASSES
+        some = open_.where(wide)
+        after = R.stage(open_.where(~wide).unionByName(located(some.select("grp", "start", "low", "high"), some.select("grp", "start", "n", "keep", "low", "high"), False)), "open")
         R.unstage(open_)
         open_ = after
-    bounds = open_.where("inside <= %d and n + inside > keep" % SORTED).select("grp", "start", "low", "high")
-    inner = seen.select("grp", "start", "x", "u").join(bounds, ["grp", "start"]).where("u >= low and u < high").select("grp", "start", "x", "u")
-    ends = open_.join(now.select("grp", "start", "mean", "precision", "logdet"), ["grp", "start"]).join(inner, ["grp", "start"], "left")
+    equal = ((F.col("inside") > SORTED) | (F.col("n") + F.col("inside") <= F.col("keep"))).alias("equal")
+    met = blocks.select("grp", "x").join(state.join(open_.select("grp", "start", "low", "high", equal), key), "grp")
+    parts = R.stage(met.mapInArrow(_totals(search), _PARTS), "parts")
+    each = parts.where("kind <> 1").select("grp", "start", "kind", F.posexplode("v").alias("at", "y")).groupBy("grp", "start", "kind", "at").agg(F.sum("y").alias("y"))
+    sums = each.groupBy("grp", "start", "kind").agg(F.array_sort(F.collect_list(F.struct("at", "y"))).alias("v")).select("grp", "start", "kind", F.lit(0.0).alias("u"), F.col("v.y").alias("v"))
+    # the state goes with the one row of kind 0
+    told = now.select("grp", "start", "mean", "precision", "logdet").join(open_.select("grp", "start", "keep", "high"), key).withColumn("kind", F.lit(0))
+    ends = sums.unionByName(parts.where("kind = 1")).join(told, ["grp", "start", "kind"], "left")
     after = R.stage(ends.groupBy("grp", "start").applyInPandas(_finish(search), _ESTIMATE), "estimates")
-    R.unstage(open_)
+    R.unstage(open_, parts)
     return after
 
 
+def _measurer(search: Determinant):
+    """Rows with the mean and precision of their group to rows with their distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = search.d
+            x, mean, precision = (batch.column(batch.schema.get_field_index(c)).flatten().to_numpy() for c in ("x", "mean", "precision"))
+            y = x.reshape(-1, d) - mean.reshape(-1, d)
+            far = np.maximum((np.einsum("ni,nij->nj", y, precision.reshape(-1, d, d)) * y).sum(axis=1), 0.0)
+            rest = [n for n in batch.schema.names if n not in ("mean", "precision")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in rest), pa.array(far)], names=[*rest, "distance"])
+
+    return run
+
+
 def outlier_distances(stats: DataFrame, floor: tuple[float, ...] = FLOOR, share: float = SHARE, least_group: int = LEAST_GROUP, sample: int = SAMPLE) -> DataFrame:
-    """``stats`` (lang, source, x) plus ``grp`` and ``distance``, the squared robust Mahalanobis distance."""
+    """``stats`` (doc_id, lang, source, x, others) plus ``grp`` and ``distance``, the squared robust Mahalanobis distance."""
+    R.ship(stats.sparkSession)
     search = Determinant(floor, share)
     lang, source = F.coalesce("lang", F.lit("\0")), F.coalesce("source", F.lit("\0"))
     sizes = stats.groupBy(lang.alias("_l"), source.alias("_s")).agg(F.count("*").alias("_n"))
@@ -370,26 +476,25 @@ def outlier_distances(stats: DataFrame, floor: tuple[float, ...] = FLOOR, share:
     grp = F.when(~small, own).when(pooled, whole).otherwise(F.lit(""))
     # what a row is an example of: its own group, and its language if that stands in for a small group
     of = F.array_compact(F.array(F.when(~small, own), F.when(pooled & (F.col("_least") < least_group), whole)))
-    named = R.stage(sizes.join(by_lang, "_l").select("_l", "_s", "_n", grp.alias("grp"), of.alias("_of")), "groups")
+    named = R.stage(sizes.join(by_lang, "_l").select("_l", "_s", grp.alias("grp"), of.alias("_of")), "groups")
     if not named.where("grp = ''").isEmpty():  # and all rows, if they stand in for a language
         named = named.withColumn("_of", F.array_append("_of", F.lit("")))
-    rows = R.stage(stats.withColumns({"_l": lang, "_s": source}).join(named.drop("_n"), ["_l", "_s"]).drop("_l", "_s"), "vectors")
-    examples = rows.select(F.explode("_of").alias("grp"), "x")
-
-    total = named.select(F.explode("_of").alias("grp"), "_n").groupBy("grp").agg(F.sum("_n").alias("_n"))
-    place = F.pmod(F.xxhash64("x", *[c for c in ("doc_id",) if c in rows.columns]), F.lit(1 << 30)).alias("_h")
-    placed = rows.select(F.explode("_of").alias("grp"), "x", place)
-    # a group has one row at least, were all of them alike
-    upto = placed.groupBy("grp").agg(F.min("_h").alias("_least")).join(total, "grp").select("grp", F.greatest(F.col("_least").cast("double"), F.lit(float(sample) * (1 << 30)) / F.col("_n") - 1).alias("_upto"))
-    drawn = placed.join(upto, "grp").where("_h <= _upto").groupBy("grp", "x").agg(F.count("*").alias("w"))
-    now = R.stage(drawn.groupBy("grp").applyInPandas(_starts(search), _ESTIMATE), "estimates")
+    rows = R.stage(stats.withColumns({"_l": lang, "_s": source}).join(named, ["_l", "_s"]).drop("_l", "_s"), "vectors")
+    blocks = R.stage(rows.select("doc_id", F.explode("_of").alias("grp"), "x").mapInArrow(_packer(search.d), _BLOCK), "blocks")
+
+    # a group has one row at least in the sample, were all of them alike
+    upto = R.stage(blocks.groupBy("grp").agg(F.greatest(F.min("least"), (F.lit(float(sample) * _PLACES) / F.sum("n") - 1).cast("long")).alias("upto")), "upto")
+    drawn = blocks.select("grp", "x", "place").join(upto, "grp").mapInArrow(_drawer(search.d), "grp string, x array<double>")
+    now = R.stage(drawn.groupBy("grp", "x").agg(F.count("*").alias("w")).groupBy("grp").applyInPandas(_starts(search), _ESTIMATE), "estimates")
     finished = []
     while not now.isEmpty():
-        after = _step(examples, now, search)
+        after = _step(blocks, now, search)
         finished.append(after.where("done"))
         now = after.where("not done")
     best = functools.reduce(DataFrame.unionByName, finished, now).groupBy("grp").agg(F.min_by(F.struct("mean", "precision"), F.struct("logdet", "start")).alias("e")).select("grp", "e.mean", "e.precision")
-    return rows.join(R.stage(best, "estimates"), "grp").withColumn("distance", _distance(search.d)).drop("mean", "precision", "_of")
+    met = rows.drop("_of").join(R.stage(best, "estimates"), "grp")
+    schema = ", ".join(f"`{c}` {t}" for c, t in met.dtypes if c not in ("mean", "precision")) + ", distance double"
+    return met.mapInArrow(_measurer(search), schema)
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

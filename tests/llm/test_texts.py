@@ -146,7 +146,7 @@ def test_distances_equal_a_plain_search(spark):
             precision, near = np.linalg.inv(cov), 1e-6
         else:
             _, mean, precision = search.search(x, np.ones(len(x)))[0]
-            near = 1e-3
+            near = 0.03  # from another sample the search may end in another minimum close by
         if g != "b":  # equal rows count in part there
             want = ((x - mean) @ precision * (x - mean)).sum(1)
             assert np.allclose([got[g, i] for i in range(len(x))], want, rtol=near, atol=near)
@@ -161,8 +161,8 @@ def test_steps_keep_exactly_the_closest_rows(spark, monkeypatch, bound):
     search = quality.Determinant((0.1, 0.1), 0.75)
     at = search.of(x[:5], np.ones(5))
     now = spark.createDataFrame([("g", 0, at[1].tolist(), at[2].ravel().tolist(), 99.0, 0.3, 0.9, False)], quality._ESTIMATE)
-    rows = spark.createDataFrame([("g", v.tolist()) for v in x], "grp string, x array<double>")
-    got = quality._step(rows, now, search).first()
+    rows = spark.createDataFrame([(k, "g", v.tolist()) for k, v in enumerate(x)], "doc_id long, grp string, x array<double>")
+    got = quality._step(rows.mapInArrow(quality._packer(2), quality._BLOCK), now, search).first()
     want = search.step(x, np.ones(len(x)), at[1], at[2])
     assert abs(got["logdet"] - want[0]) < 1e-9 and np.allclose(got["mean"], want[1]) and np.allclose(got["precision"], want[2].ravel())
 
