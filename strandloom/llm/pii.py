@@ -6,9 +6,12 @@ information content: who reads the term then knows most of what the entity would
 
 Counts are over distinct texts, so that copies of one text are one witness. The term's count is smoothed by one unseen
 text that has it without the entity (``SMOOTHING``), so a single meeting tells less than several; the rule is the same
-for rare and for frequent entities. One pass finds entities and the terms around them, and a second pass counts in how
-many texts of the corpus those terms occur. A text that shows the entity has a span at each occurrence of the term,
-near or far. Rows are known by 128 bits of their id and text.
+for rare and for frequent entities. One pass finds entities and the terms around them, and keeps the texts that have
+entities; a second pass over all texts counts in how many of them those terms occur. A task gives one row for each
+term: its texts, copies within the task left out, and 64 bits that their hashes set (for terms that may have many
+texts, the hashes of a share of texts). The sum over tasks is the most texts that a term can have, and too many bits
+say that it has more than could disclose; what these leave open is counted text by text. A text that shows the entity has a span at each occurrence of the term, near or far. Rows are known by 128
+bits of their id and text.
 
 Work is linear in a text: runs of digits are tried once, and terms meet entities by binary search.
 
@@ -47,7 +50,7 @@ SMOOTHING = 1.0
 
 _SPAN = "struct<kind:string,start:int,end:int>"
 _NEAR = "struct<entity:long,term:long>"
-_FOUND = f"row long, row2 long, doc_id long, text_key long, spans array<{_SPAN}>, entities array<long>, near array<{_NEAR}>"
+_FOUND = f"row long, row2 long, doc_id long, text_key long, spans array<{_SPAN}>, entities array<long>, near array<{_NEAR}>, text string"
 _ROW = ["row", "row2"]
 
 
@@ -144,8 +147,8 @@ def _words_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _words(codes, np.array([0, len(codes)]))
 
 
-def _text_key(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _text_key(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
 def _entity(text: str, kind: str, s: int, e: int) -> int:
@@ -188,38 +191,82 @@ def _span_lists(found: list[list[tuple[str, int, int]]]) -> pa.Array:
 def _finder(near: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in R.pieces_of(batches, most=1 << 23):
-            keys, spans, entities, nears = [], [], [], []
+            keys, spans, entities, nears, held = [], [], [], [], []
             for text in part.column(3).to_pylist():
                 own = base_spans(text) if text else []
                 named = np.array([_entity(text, *s) for s in own], np.int64)
-                keys.append(None if text is None else _text_key(text))
+                keys.append(None if text is None else _text_key(text.encode("utf-8", "surrogatepass")))
                 spans.append(own)
+                held.append(text if own else None)
                 entities.append(np.unique(named))
                 nears.append(_around(text, own, named, near) if own else np.zeros((0, 2), np.int64))
             both = np.concatenate(nears)
             close = _lists([len(x) for x in nears], pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["entity", "term"]))
             told = _lists([len(x) for x in entities], pa.array(np.concatenate(entities)))
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(keys, pa.int64()), _span_lists(spans), told, close], names=["row", "row2", "doc_id", "text_key", "spans", "entities", "near"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(keys, pa.int64()), _span_lists(spans), told, close, pa.array(held, pa.string())], names=["row", "row2", "doc_id", "text_key", "spans", "entities", "near", "text"])
 
     return run
 
 
-def _term_counter(terms):
-    """(term, text_key) for each text and each wanted term in it; each word is wanted if ``terms`` is None."""
+def _terms_of_texts(batches: Iterator[pa.RecordBatch], terms: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(names, term, text key) of each slice: each wanted term of each text, once; ``term`` are places in ``names``.
+
+    A text that the task has met before is left out. Every word is wanted if ``terms`` (sorted) is None.
+    """
+    seen: set[int] = set()
+    for part in R.pieces_of(batches, most=1 << 22):
+        data, offsets = R.text_bytes(part.column(0))
+        keys, new = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, bool)
+        for k in range(part.num_rows):
+            key = _text_key(data[offsets[k] : offsets[k + 1]].tobytes())
+            keys[k], new[k] = key, key not in seen
+            seen.add(key)
+        codes, offsets = X.code_points(data, offsets)
+        start, _, words = _words(codes, offsets)
+        doc = np.searchsorted(offsets, start, "right") - 1
+        own = new[doc]
+        if terms is None:
+            names, at = np.unique(words[own], return_inverse=True)
+        else:
+            names, at = terms, X.lookup(terms, words)
+            own &= at >= 0
+            at = at[own]
+        at, doc = np.divmod(np.unique(at * part.num_rows + doc[own]), part.num_rows)
+        yield names, at, keys[doc]
+
+
+def _bounder(sent):
+    """(term, n, bits): texts that a task (without ``sent``: a slice) meets the term in, and the bits of their keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = lambda names, n, bits: pa.RecordBatch.from_arrays([pa.array(names[n > 0]), pa.array(n[n > 0]), pa.array(bits[n > 0].view(np.int64))], names=["term", "n", "bits"])
+        terms, level = sent.value if sent is not None else (None, None)
+        n, bits = (np.zeros(len(terms), np.int64), np.zeros(len(terms), X.U64)) if sent is not None else (None, None)
+        for names, at, keys in _terms_of_texts(batches, terms):
+            if sent is None:
+                n, bits = np.zeros(len(names), np.int64), np.zeros(len(names), X.U64)
+            if len(at):  # in the order of terms
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                n[at[first]] += np.diff(np.append(first, len(at)))
+                keys = keys.view(X.U64)
+                bit = X.U64(1) << (keys & X.U64(63))
+                if level is not None:
+                    bit[(keys >> X.U64(6)) & ((X.U64(1) << level[at]) - X.U64(1)) != 0] = 0
+                bits[at[first]] |= np.bitwise_or.reduceat(bit, first)
+            if sent is None:
+                yield told(names, n, bits)
+        if sent is not None:
+            yield told(terms, n, bits)
+
+    return run
+
+
+def _pairer(sent):
+    """(term, text_key) for each text and each wanted term in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in R.pieces_of(batches):
-            data, offsets = R.text_bytes(part.column(0))
-            codes, offsets = X.code_points(data, offsets)
-            start, _, words = _words(codes, offsets)
-            doc = np.searchsorted(offsets, start, "right") - 1
-            if terms is not None:
-                hit = X.lookup(terms.value, words) >= 0
-                doc, words = doc[hit], words[hit]
-            pairs = np.unique(np.stack([doc, words]), axis=1)
-            texts = part.column(0).to_pylist()
-            used = {int(d): _text_key(texts[d] or "") for d in np.unique(pairs[0])}
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[1], pa.int64()), pa.array([used[int(d)] for d in pairs[0]], pa.int64())], names=["term", "text_key"])
+        for names, at, keys in _terms_of_texts(batches, sent.value[0] if sent is not None else None):
+            yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(keys)], names=["term", "text_key"])
 
     return run
 
@@ -244,24 +291,42 @@ def _row_columns(id_col, text_col) -> dict:
 MOST_SENT_TERMS = 1_000_000
 
 
-def _texts_of_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, text_key) for each text and each of the staged ``terms`` in it."""
-    spark = texts.sparkSession
-    some = texts.where("text is not null")
-    if terms.count() <= MOST_SENT_TERMS:
-        sent = spark.sparkContext.broadcast(np.sort(terms.toArrow()["term"].to_numpy()))
-        return some.select("text").mapInArrow(_term_counter(sent), "term long, text_key long")
-    return some.select("text").mapInArrow(_term_counter(None), "term long, text_key long").join(terms, "term", "left_semi")
+def _met(texts: DataFrame, terms: DataFrame, mapper, schema: str) -> tuple[DataFrame, bool]:
+    """What a mapper over all texts gives for the staged ``terms`` (term, level), and whether it knew these."""
+    some = texts.where("text is not null").select("text")
+    if terms.count() > MOST_SENT_TERMS:
+        return some.mapInArrow(mapper(None), schema).join(terms.select("term"), "term", "left_semi"), False
+    got = terms.select("term", "level").toArrow()
+    order = np.argsort(got["term"].to_numpy())
+    sent = texts.sparkSession.sparkContext.broadcast((got["term"].to_numpy()[order], got["level"].to_numpy()[order].astype(X.U64)))
+    return some.mapInArrow(mapper(sent), schema), True
 
 
-def disclosing(found: DataFrame, texts: DataFrame, disclosure: float, smoothing: float) -> DataFrame:
-    """(entity, term) pairs whose mutual information reaches the threshold; counts are exact and over all texts.
+#: Of terms with a share of 2**-level, a term at its limit has so many hashes, about; and more bits than this never,
+#: for all that matters (a Poisson law of 8 has 40 with probability 1e-15).
+_AT_LIMIT, _BEYOND = 8, 40
+
+
+def _texts_of_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n_term): of the staged ``terms`` (term, least, most, level) those in no more texts than ``most``.
 
-    A pair discloses if its term is in no more texts than ``limit``. Sketches, which combine before the shuffle, put
-    aside the terms that are beyond twice their limit (their error is a twentieth); the others are counted exactly.
+    Terms that are surely in no more than ``least`` may have a larger number than theirs, but none beyond ``least``.
     """
-    spark = found.sparkSession
-    none = R.empty_like(spark, "entity long, term long")
+    met, levels = _met(texts, terms, _bounder, "term long, n long, bits long")
+    bounds = met.groupBy("term").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits"))
+    shared = F.col("level") > 0 if levels else F.lit(False)
+    beyond = F.when(shared, F.bit_count("bits") >= _BEYOND).otherwise(F.bit_count("bits") > F.col("most"))
+    kept = R.stage(bounds.join(terms, "term").where(~beyond).select("term", "level", "n", (F.col("n") <= F.col("least")).alias("sure")), "bounds")
+    open_ = R.stage(kept.where("not sure").select("term", "level"), "open")
+    sure = kept.where("sure").select("term", F.col("n").alias("n_term"))
+    if open_.isEmpty():
+        return sure
+    pairs, _ = _met(texts, open_, _pairer, "term long, text_key long")
+    return sure.unionByName(pairs.distinct().groupBy("term").agg(F.count("*").alias("n_term")))
+
+
+def disclosing(found: DataFrame, texts: DataFrame, disclosure: float, smoothing: float) -> DataFrame:
+    """(entity, term) pairs whose mutual information reaches the threshold; counts are exact and over all texts."""
     n = found.where("text_key is not null").select("text_key").distinct().count()
     some = found.where(F.size("entities") > 0)
     entities = some.select("text_key", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
@@ -270,15 +335,11 @@ def disclosing(found: DataFrame, texts: DataFrame, disclosure: float, smoothing:
     # log2(both * n / (n_entity * (n_term + smoothing))) >= disclosure * log2(n / n_entity), solved for n_term
     limit = (F.col("both") * F.pow(F.lit(float(n)) / F.col("n_entity"), F.lit(1.0 - disclosure)) - smoothing) * (1 + 1e-12)
     bounded = R.stage(pairs.select("entity", "term", "both", limit.alias("limit")).where("both <= limit"), "bounded")
-    most = R.stage(bounded.groupBy("term").agg(F.max("limit").alias("limit")), "terms")
-    if most.isEmpty():
-        return none
-    guessed = _texts_of_terms(texts, most).groupBy("term").agg(F.approx_count_distinct("text_key", 0.05).alias("guess"))
-    rare = R.stage(guessed.join(most, "term").where(F.col("guess") <= 2 * F.col("limit") + 50).select("term"), "rare")
-    if rare.isEmpty():
-        return none
-    n_of = _texts_of_terms(texts, rare).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    return bounded.join(n_of, "term").where("n_term <= limit").select("entity", "term")
+    level = F.when(F.col("most") < _BEYOND, 0).otherwise(F.ceil(F.log2(F.col("most") / _AT_LIMIT)))
+    terms = R.stage(bounded.groupBy("term").agg(F.min("limit").alias("least"), F.max("limit").alias("most")).withColumn("level", level.cast("long")), "terms")
+    if terms.isEmpty():
+        return R.empty_like(found.sparkSession, "entity long, term long")
+    return bounded.join(_texts_of_terms(texts, terms), "term").where("n_term <= limit").select("entity", "term")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -294,7 +355,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near:
     reveal = disclosing(found, texts, disclosure, smoothing)
     shown = found.where(F.size("entities") > 0).select(*_ROW, F.explode("entities").alias("entity")).distinct()
     told = R.stage(shown.join(reveal, "entity").groupBy(*_ROW).agg(F.collect_set("term").alias("terms")), "told")
-    marked = texts.join(told, _ROW).select(*_ROW, "text", "terms").mapInArrow(_marker, f"row long, row2 long, added array<{_SPAN}>")
+    marked = found.where("text is not null").select(*_ROW, "text").join(told, _ROW).select(*_ROW, "text", "terms").mapInArrow(_marker, f"row long, row2 long, added array<{_SPAN}>")
     added = R.stage(marked.dropDuplicates(_ROW), "added")
     none = F.expr(f"cast(array() as array<{_SPAN}>)")
     return found.join(added, _ROW, "left").select(*_ROW, "doc_id", "spans", F.coalesce("added", none).alias("added"))

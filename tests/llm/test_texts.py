@@ -361,6 +361,14 @@ def test_many_terms_are_joined(spark, documents, monkeypatch):
     assert sorted(pii.digests(documents).collect()) == want and any("term:" in r["spans"] or "name:" in r["spans"] for r in want)
 
 
+def test_copies_in_other_tasks_are_one_text(spark):
+    """A name of one text that many tasks have copies of still discloses; a name of many different texts does not."""
+    texts = ["the Zorblatt writes to zz.top@mail.example.com"] * 120 + [f"the Miller writes of {k} and {k + 7}" for k in range(200)] + ["to Miller writes a.b@mail.example.com"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40, "doc_id")
+    found = {r["doc_id"]: {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["added"]} for r in pii.find(docs).collect()}
+    assert all("Zorblatt" in found[k] for k in range(120)) and not any("Miller" in v for v in found.values())
+
+
 def test_long_texts_take_linear_time(spark):
     """A million digits, and 100,000 addresses in one text, each with terms around it."""
     import time
