@@ -30,16 +30,14 @@ def touching_lines(rows: DataFrame, changed: DataFrame, start: str = "start_line
     return rows.join(changed, (rows["path_key"] == changed["path_key"]) & (rows[start] <= changed["end"]) & (rows[end] >= changed["start"]), "left_semi")
 
 
-def blocks_touching_files(blocks: DataFrame, changed: DataFrame) -> DataFrame:
-    """Blocks with an occurrence in a changed file."""
-    at = blocks.select("lines", F.explode("occurrences").alias("o")).select("lines", "o.*")
-    return blocks.join(touching_files(at, changed).select("lines").distinct(), "lines", "left_semi")
+def blocks_touching_files(places: DataFrame, changed: DataFrame, key: str = "block_text") -> DataFrame:
+    """All places of the blocks that have a place in a changed file."""
+    return places.join(touching_files(places, changed).select(key).distinct(), key, "left_semi")
 
 
-def blocks_touching_lines(blocks: DataFrame, changed: DataFrame) -> DataFrame:
-    """Blocks with an occurrence that overlaps a changed range of its file."""
-    at = blocks.select("lines", F.explode("occurrences").alias("o")).select("lines", "o.*")
-    return blocks.join(touching_lines(at, changed).select("lines").distinct(), "lines", "left_semi")
+def blocks_touching_lines(places: DataFrame, changed: DataFrame, key: str = "block_text") -> DataFrame:
+    """All places of the blocks that have a place which overlaps a changed range of its file."""
+    return places.join(touching_lines(places, changed).select(key).distinct(), key, "left_semi")
 
 
 def with_ranges(files: DataFrame, changed: DataFrame) -> DataFrame:

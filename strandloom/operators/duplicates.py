@@ -27,11 +27,22 @@ PLACES_PER_SALT = 256
 _SPOT = "fa", "fb", "d"
 
 
+def _keyed(lines: DataFrame, seed: int) -> DataFrame:
+    return lines.withColumns({"f": F.xxhash64(F.lit(seed), "path_key"), "t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+
+
 def numbered_files(lines: DataFrame) -> DataFrame:
-    """Lines with ``f``, a number of the file (their order does not matter), and ``t1, t2``, the key of the text."""
+    """Staged lines with ``f``, a number of the file (their order does not matter), and ``t1, t2``, the key of the text.
+
+    Two files never have one number: paths are hashed with another seed until their numbers differ.
+    """
     if "t1" in lines.columns:
         return lines
-    return lines.withColumns({"f": F.xxhash64("path_key"), "t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+    staged, seed = stage(_keyed(lines, 0), "lines"), 0
+    while not staged.groupBy("f").agg(F.min("path_key").alias("low"), F.max("path_key").alias("high")).where("low <> high").isEmpty():
+        seed += 1
+        staged = stage(_keyed(staged.drop("f", "t1", "t2"), seed), "lines")
+    return staged
 
 
 def seed_pairs(lines: DataFrame) -> DataFrame:
@@ -60,6 +71,7 @@ def _structural_pairs(lines: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def runs(lines: DataFrame) -> DataFrame:
     """(fa, fb, d, first, last): maximal runs of equal lines on diagonals, with a seed and not overlapping themselves."""
+    lines = numbered_files(lines)
     seeds = seed_pairs(lines)
     pairs = seeds.withColumn("seed", F.lit(1))
     if not lines.where("not is_comparison").isEmpty():
@@ -85,7 +97,7 @@ def find(lines: DataFrame) -> Found:
     copies), and what is found at a place of theirs holds at that place of every member. However many copies of a file
     there are, their pairs are not made.
     """
-    lines = stage(numbered_files(lines), "lines")
+    lines = numbered_files(lines)
     held = F.array_sort(F.collect_list(F.struct("idx", "line_number", "text")))
     files = lines.groupBy("f").agg(F.first("path_key").alias("path_key"), F.first("extension").alias("extension"), held.alias("all"))
     same = F.struct("extension", "all.text")
@@ -123,13 +135,10 @@ def summary(found: Found) -> DataFrame:
 
 
 def blocks(lines: DataFrame) -> DataFrame:
-    """(lines, occurrences, weight, line_count, character_count) for each block, its places gathered in an array.
-
-    For results whose blocks have places that fit a row; :func:`find` and :func:`summary` give the same without.
-    """
+    """(block_text, path_key, start_line, end_line, n_places, line_count, character_count, weight): a row for each place."""
     found = find(lines)
-    gathered = found.places.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("path_key", "start_line", "end_line"))).alias("occurrences"))
-    return summary(found).join(gathered, ["k1", "k2"]).select("lines", "occurrences", "line_count", "character_count", "weight")
+    told = summary(found).select("k1", "k2", F.array_join("lines", "\n").alias("block_text"), "n_places", "line_count", "character_count", "weight")
+    return found.places.select("k1", "k2", "path_key", "start_line", "end_line").join(told, ["k1", "k2"]).drop("k1", "k2")
 
 
 #: The total order of blocks, and whether it descends: texts differ, so no two are equal.
@@ -137,9 +146,7 @@ ORDER = {"weight": True, "line_count": True, "character_count": True, "first_pat
 
 
 def sortable(found: DataFrame) -> DataFrame:
-    """Blocks (nested or summarised) with all columns of the order."""
-    if "occurrences" in found.columns:
-        found = found.withColumns({"first_path": F.col("occurrences")[0]["path_key"], "first_line": F.col("occurrences")[0]["start_line"]})
+    """Summarised blocks with all columns of the order."""
     return found.withColumn("block_text", F.array_join("lines", "\n"))
 
 

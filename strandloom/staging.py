@@ -1,7 +1,7 @@
 """Tables written to the folder that all executors share, and read back: they cut lineage and survive lost executors.
 
-The folder is the one named by ``spark.checkpoint.dir``; only a session without that setting (tests, a notebook) gets
-a temporary one.
+The folder is the one named by ``spark.checkpoint.dir``; only a session of one machine without that setting (tests, a
+notebook) gets a temporary one. On a cluster its absence is an error: a folder of the driver is not shared.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="strandloom-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -14,8 +14,12 @@ def table(spark, files):
 
 
 def blocks(spark, files):
-    found = duplicates.blocks(table(spark, files)).collect()
-    return {tuple(r["lines"]): [(o["path_key"], o["start_line"], o["end_line"]) for o in r["occurrences"]] for r in found}, {tuple(r["lines"]): r["weight"] for r in found}
+    places, weights = defaultdict(list), {}
+    for r in duplicates.blocks(table(spark, files)).collect():
+        text = tuple(r["block_text"].split("\n"))
+        places[text].append((r["path_key"], r["start_line"], r["end_line"]))
+        weights[text] = r["weight"]
+    return {text: sorted(own) for text, own in places.items()}, weights
 
 
 def brute(files):
@@ -98,9 +102,9 @@ def test_hot_line_is_salted(spark, monkeypatch):
 
 def test_order_of_the_report(spark):
     texts = {"a": f"{X}\nonly a\n{P}\n{Q}", "b": f"{X}\nonly b\n{P}\n{Q}"}
-    rows = duplicates.numbered(duplicates.blocks(table(spark, texts))).orderBy("rank").collect()
+    rows = duplicates.numbered(duplicates.summary(duplicates.find(table(spark, texts)))).orderBy("rank").collect()
     assert [(r["rank"], tuple(r["lines"])) for r in rows] == [(1, (P, Q)), (2, (X,))]
-    assert [tuple(r["lines"]) for r in duplicates.ranked(duplicates.blocks(table(spark, texts))).collect()] == [(P, Q), (X,)]
+    assert [tuple(r["lines"]) for r in duplicates.ranked(duplicates.summary(duplicates.find(table(spark, texts)))).collect()] == [(P, Q), (X,)]
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -113,7 +117,7 @@ def test_equals_pairwise_expansion(spark, contents):
 @pytest.mark.parametrize("extra", ["text", "idx"])
 def test_extra_columns_do_not_matter(spark, extra):
     rows = spark.createDataFrame([("a", "ts", P, 1), ("b", "ts", P, 2)], f"path_key string, extension string, content string, {extra} int")
-    assert duplicates.blocks(lines.classify(lines.explode(rows))).count() == 1
+    assert duplicates.blocks(lines.classify(lines.explode(rows))).count() == 2
 
 
 def test_copies_stand_for_each_other(spark, monkeypatch):
