@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import os
 import stat
+import subprocess
 from pathlib import Path
 
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import AnalysisError, SourceFile
+from ..shipping import ship
 
 #: Directories that are never entered, whatever their case (fixed values).
 IGNORED_DIRECTORIES = frozenset((".git", "node_modules", "target", "dist", "build", "coverage", ".next", ".nuxt", ".svelte-kit", ".idea", ".vscode"))
@@ -38,8 +41,8 @@ class IgnoreRules:
     def __init__(self, base: str, text: str):
         self.base = base
         self.rules: list[tuple[regex.Pattern, bool, bool]] = []
-        for line in text.splitlines():
-            line = line[:-1] if line.endswith("\r") else line
+        for line in text.split("\n"):
+            line = line.removesuffix("\r")
             while line.endswith(" ") and not line.endswith("\\ "):
                 line = line[:-1]
             if not line or line.startswith("#"):
@@ -88,57 +91,125 @@ class IgnoreRules:
         return None
 
 
-def _rules_of(directory: str, in_repository: bool) -> list[IgnoreRules]:
-    """An ``.ignore`` file wins over a ``.gitignore``, so it comes last."""
-    found = []
-    names = [*_IGNORE_FILES, *([".git/info/exclude"] if in_repository else [])]
-    for name in sorted(names, key=lambda n: (n == ".ignore", n == ".gitignore")):
+class LocalTree:
+    """Directories and files of the driver's file system."""
+
+    def read(self, directory: str, name: str) -> str | None:
         try:
-            found.append(IgnoreRules(directory, Path(directory, name).read_text(encoding="utf-8", errors="replace")))
+            return Path(directory, name).read_text(encoding="utf-8", errors="replace")
         except OSError:
-            pass
-    return found
+            return None
+
+    def is_repository(self, directory: str) -> bool:
+        return os.path.isdir(os.path.join(directory, ".git"))
+
+    def entries(self, directory: str) -> list[tuple[str, bool, bool]]:
+        """(name, is a directory, is a regular file), links are neither."""
+        try:
+            return sorted((e.name, e.is_dir(follow_symlinks=False), e.is_file(follow_symlinks=False)) for e in os.scandir(directory))
+        except OSError as error:
+            raise AnalysisError(f"could not walk {path_key(directory)}: {error.strerror}") from error
+
+
+class ListedTree:
+    """A tree from a list of its files: {path: (is a regular file, content of an ignore file or None)}."""
+
+    def __init__(self, listed: dict[str, tuple[bool, str | None]]):
+        self.texts = {path: text for path, (_, text) in listed.items() if text is not None}
+        self.held: dict[str, dict[str, tuple[bool, bool]]] = {"": {}}
+        for path, (regular, _) in listed.items():
+            *above, name = path.split("/")
+            at = ""
+            for part in above:
+                self.held[at][part] = (True, False)
+                at = f"{at}/{part}" if at else part
+                self.held.setdefault(at, {})
+            self.held[at][name] = (False, regular)
+
+    def read(self, directory: str, name: str) -> str | None:
+        return self.texts.get(f"{directory}/{name}" if directory else name)
+
+    def is_repository(self, directory: str) -> bool:
+        return ".git" in self.held.get(directory, {})
+
+    def entries(self, directory: str) -> list[tuple[str, bool, bool]]:
+        return sorted((name, *kind) for name, kind in self.held[directory].items())
+
+
+def _rules_of(tree: LocalTree | ListedTree, directory: str) -> list[IgnoreRules]:
+    """An ``.ignore`` file wins over a ``.gitignore``, that over the repository's own list, so it comes last."""
+    names = [*([".git/info/exclude"] if tree.is_repository(directory) else []), *_IGNORE_FILES]
+    texts = [tree.read(directory, name) for name in names]
+    return [IgnoreRules(directory or ".", text) for text in texts if text is not None]
 
 
 def _global_rules(root: str) -> list[IgnoreRules]:
-    home = os.environ.get("XDG_CONFIG_HOME") or os.path.join(os.path.expanduser("~"), ".config")
+    """The user's own list: the file that git's core.excludesFile names, else the one in the configuration folder."""
     try:
-        return [IgnoreRules(root, Path(home, "git", "ignore").read_text(encoding="utf-8", errors="replace"))]
-    except OSError:
-        return []
+        named = subprocess.run(["git", "-C", root, "config", "--type=path", "--get", "core.excludesFile"], capture_output=True, check=False).stdout.decode("utf-8", "replace").strip()
+    except OSError:  # no git
+        named = ""
+    home = os.environ.get("XDG_CONFIG_HOME") or os.path.join(os.path.expanduser("~"), ".config")
+    path = named or os.path.join(home, "git", "ignore")
+    text = LocalTree().read(os.path.dirname(path) or root, os.path.basename(path)) if path else None
+    return [IgnoreRules(root, text)] if text is not None else []
 
 
-def walk(root: str, extensions: tuple[str, ...]) -> list[SourceFile]:
-    """Regular files below ``root``: hidden ones too, ignored ones not; links are neither listed nor followed."""
-    wanted = frozenset(extensions)
-    above, parent = [], os.path.abspath(root)
-    while os.path.dirname(parent) != parent:
-        parent = os.path.dirname(parent)
-        above[:0] = _rules_of(parent, os.path.isdir(os.path.join(parent, ".git")))
-    found: list[SourceFile] = []
+def _ascii_lower(name: str) -> str:
+    return "".join(c.lower() if c.isascii() else c for c in name)
+
+
+def visible(tree: LocalTree | ListedTree, root: str, extensions: tuple[str, ...], rules: list[IgnoreRules]) -> list[tuple[str, str]]:
+    """(path, extension) of the regular files below ``root``: hidden ones too, ignored ones not; links are not followed."""
+    wanted, found = frozenset(extensions), []
 
     def visit(directory: str, rules: list[IgnoreRules]) -> None:
-        rules = rules + _rules_of(directory, os.path.isdir(os.path.join(directory, ".git")))
-        try:
-            entries = sorted(os.scandir(directory), key=lambda e: e.name)
-        except OSError as error:
-            raise AnalysisError(f"could not walk {path_key(directory)}: {error.strerror}") from error
-        for entry in entries:
-            is_dir = entry.is_dir(follow_symlinks=False)
-            if is_dir and entry.name.lower() in IGNORED_DIRECTORIES:
+        rules = rules + _rules_of(tree, directory)
+        for name, is_dir, is_file in tree.entries(directory):
+            if is_dir and _ascii_lower(name) in IGNORED_DIRECTORIES:
                 continue
-            verdict = next((v for r in reversed(rules) if (v := r.decide(entry.path, is_dir)) is not None), None)
-            if verdict:
+            path = f"{directory.rstrip('/')}/{name}" if directory else name
+            if next((v for r in reversed(rules) if (v := r.decide(path, is_dir)) is not None), None):
                 continue
             if is_dir:
-                visit(entry.path, rules)
-            elif entry.is_file(follow_symlinks=False) and (ext := extension_of(entry.name)) in wanted:
-                found.append(SourceFile(entry.path, display_path(os.path.relpath(entry.path, root)), ext))
+                visit(path, rules)
+            elif is_file and (ext := extension_of(name)) in wanted:
+                found.append((path, ext))
 
-    visit(os.path.abspath(root), _global_rules(os.path.abspath(root)) + above)
+    visit(root, rules)
     return found
 
 
+def walk(root: str, extensions: tuple[str, ...]) -> list[SourceFile]:
+    """Files below a directory of the driver that no rule ignores, also of the directories above it."""
+    tree, top = LocalTree(), os.path.abspath(root)
+    above, parent = [], top
+    while os.path.dirname(parent) != parent:
+        parent = os.path.dirname(parent)
+        above[:0] = _rules_of(tree, parent)
+    return [SourceFile(path, display_path(os.path.relpath(path, root)), ext) for path, ext in visible(tree, top, extensions, _global_rules(top) + above)]
+
+
+def discovered(listing: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
+    """(project, path_key, extension) of the files that a walk of each project's root finds.
+
+    ``listing`` has a row for each file: project, path from the root, is_file (false: a link or other), and the content
+    of ignore files. Whether a file is ignored depends on the tree above it, so a project's listing is one task's; its
+    contents are not. A path listed twice counts once; a null project is one of its own; null paths are no files.
+    """
+    schema = "project string, path_key string, extension string"
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        listed = {r.path: (bool(r.is_file), r.content) for r in rows.itertuples()}
+        found = visible(ListedTree(listed), "", extensions, [])
+        return pd.DataFrame([(rows["project"].iloc[0], path, ext) for path, ext in found], columns=["project", "path_key", "extension"])
+
+    ship(listing.sparkSession)
+    name = F.element_at(F.split("path", "/"), -1)
+    rules = F.when(name.isin(*_IGNORE_FILES, "exclude"), F.col("content").cast("string")).alias("content")
+    return listing.where("path is not null").select(F.col("project").cast("string").alias("project"), "path", "is_file", rules).groupBy("project").applyInPandas(run, schema)
+
+
 def explicit(root: str, files: tuple[str, ...], extensions: tuple[str, ...]) -> list[SourceFile]:
     """The named files, checked before they are filtered; a file named twice counts once, the first way it was named."""
     base = os.path.realpath(root)
@@ -182,7 +253,7 @@ def table(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
     # names with characters that the reader takes as patterns are escaped one by one
     escaped = [regex.sub(r"([\\{}\[\]*?,^$])", r"\\\1", os.path.abspath(f.path)) for f in files]
     read = spark.read.format("binaryFile").load(escaped).select(F.regexp_replace("path", "^file:/+", "file:/").alias("_path"), "content")
-    return read.join(F.broadcast(names), "_path").select("path_key", "extension", "content")
+    return read.join(names, "_path").select("path_key", "extension", "content")
 
 
 def tree(spark: SparkSession, path: str, extensions: tuple[str, ...]) -> DataFrame:

@@ -1,15 +1,22 @@
-"""Changed lines of the current branch, from git on the driver: small data whatever the repository's size."""
+"""Changed lines: of the current branch, from git on the driver (small data whatever the repository's size), or of diffs in a table.
+
+Messages and the names of base branches are fixed values: users and scripts read them.
+"""
 
 from __future__ import annotations
 
 import os
 import re
 import subprocess
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import AnalysisError, ChangedFile, LineRange
+from ..shipping import ship
 from .files import display_path, path_key
 
 _BASES = ("origin/HEAD", "origin/main", "origin/master")
@@ -176,3 +183,24 @@ def changed_lines(directory: str) -> list[ChangedFile]:
 def table(spark: SparkSession, changed: list[ChangedFile]) -> DataFrame:
     """(path_key, start, end) for each changed range."""
     return spark.createDataFrame([(path_key(c.path), r.start, r.end) for c in changed for r in c.lines], "path_key string, start int, end int")
+
+
+def diff_ranges(diffs: DataFrame, column: str = "diff") -> DataFrame:
+    """(path_key, start, end) for each hunk of diffs without context, one diff a row; not merged. A null diff has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(path_key(path), r.start, r.end) for text in batch[column] if text is not None for path, r in parse_diff(text)]
+            yield pd.DataFrame(found, columns=["path_key", "start", "end"])
+
+    ship(diffs.sparkSession)
+    return diffs.select(F.col(column).cast("string").alias(column)).mapInPandas(run, "path_key string, start int, end int")
+
+
+def untracked_ranges(files: DataFrame) -> DataFrame:
+    """(path_key, start, end): all lines of new files (path_key, content binary); a file without lines has none."""
+    text = F.col("content").cast("binary")
+    feeds = F.length(text) - F.length(F.expr("cast(replace(decode(content, 'ISO-8859-1'), chr(10), '') as string)"))
+    last = F.substring(F.expr("decode(content, 'ISO-8859-1')"), -1, 1)
+    n = F.when(F.length(text) > 0, feeds + F.when(last == "\n", 0).otherwise(1)).otherwise(0)
+    return files.select("path_key", F.lit(1).alias("start"), n.cast("int").alias("end")).where(F.col("end") > 0)
