@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -10,7 +9,9 @@ from typing import TextIO
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..model import AnalysisError, ChangedFile, Config, LineRange, ReportKind, RunStatus, SourceFile
 from ..operators import changes, complexity, duplicates, lines
 from ..sources import files, git
@@ -69,13 +70,13 @@ def duplicate_blocks(contents: DataFrame, changed: DataFrame | None = None) -> t
         kept = kept.join(changes.touching_lines(found.places, changed).select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
     blocks = stage(duplicates.numbered(kept).drop("block_text"), "blocks")
     places = found.places.join(blocks.select("k1", "k2", "rank"), ["k1", "k2"]).select("rank", "path_key", "start_line", "end_line")
-    return blocks.orderBy("rank"), places.orderBy("rank", "path_key", "start_line", "end_line")
+    return blocks, places
 
 
 def complex_functions(contents: DataFrame, max_cognitive: int, max_cyclomatic: int, changed: DataFrame | None = None) -> DataFrame:
     """Functions beyond the limits in report order; with ``changed``, those that touch its ranges."""
     found = complexity.detect(contents)
-    return complexity.ranked(found if changed is None else changes.touching_lines(found, changed), max_cognitive, max_cyclomatic)
+    return complexity.numbered(found if changed is None else changes.touching_lines(found, changed), max_cognitive, max_cyclomatic)
 
 
 def _write(out: TextIO, text: list[str]) -> None:
@@ -90,12 +91,15 @@ def duplicate_header(header: Header, blocks: int, verbose: bool) -> list[str]:
     return text + header.timing_lines() if verbose else text
 
 
-def duplicate_block(block, verbose: bool) -> list[str]:
-    """What stands before the places of a block."""
-    text = ["", f"#{block['rank']}"]
+def duplicate_text(blocks: DataFrame, places: DataFrame, verbose: bool) -> DataFrame:
+    """(rank, at, path_key, start_line, end_line, line): the lines of each block of the report, a place in its own row."""
+    shown = F.array(F.lit(""), F.format_string("#%d", "rank"))
     if verbose:
-        text += [f"Weight: {block['weight']}", f"Lines: {len(block['lines'])}", f"Occurrences: {block['n_places']}", "", "Code:", *("  " + x for x in block["lines"]), "", "Locations:"]
-    return text
+        facts = F.array(F.format_string("Weight: %d", "weight"), F.format_string("Lines: %d", F.size("lines")), F.format_string("Occurrences: %d", "n_places"), F.lit(""), F.lit("Code:"))
+        shown = F.concat(shown, facts, F.transform("lines", lambda x: F.concat(F.lit("  "), x)), F.array(F.lit(""), F.lit("Locations:")))
+    head = blocks.select("rank", F.posexplode(shown).alias("at", "line")).select("rank", "at", F.lit("").alias("path_key"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), "line")
+    own = places.select("rank", F.lit(2**31 - 1).alias("at"), "path_key", "start_line", "end_line", F.format_string("- %s:%d-%d", "path_key", "start_line", "end_line").alias("line"))
+    return head.unionByName(own)
 
 
 def complexity_header(header: Header, functions: int, config: Config) -> list[str]:
@@ -109,11 +113,13 @@ def complexity_header(header: Header, functions: int, config: Config) -> list[st
     return text + header.timing_lines() if config.verbose else text
 
 
-def complex_function(rank: int, f) -> list[str]:
-    return [
-        "", f"#{rank}", f"Function: {f['function_name']}", f"Location: {f['path_key']}:{f['start_line']}-{f['end_line']}",
-        f"Cognitive complexity: {show_metric(f['cognitive'])}", f"Cyclomatic complexity: {show_metric(f['cyclomatic'])}",
-    ]
+def complexity_text(functions: DataFrame) -> DataFrame:
+    """(rank, at, line): the lines of each function of the report; rows are formatted where they are."""
+    shown = F.array(
+        F.lit(""), F.format_string("#%d", "rank"), F.concat(F.lit("Function: "), "function_name"), F.format_string("Location: %s:%d-%d", "path_key", "start_line", "end_line"),
+        F.concat(F.lit("Cognitive complexity: "), T.metric(F.col("cognitive"))), F.concat(F.lit("Cyclomatic complexity: "), T.metric(F.col("cyclomatic"))),
+    )
+    return functions.select("rank", F.posexplode(shown).alias("at", "line"))
 
 
 def _spark_errors(work: Callable):
@@ -146,19 +152,15 @@ def run(spark: SparkSession, config: Config, directory: str, out: TextIO) -> Run
             blocks, places = _timed(header, "Duplicate detection", lambda: _spark_errors(lambda: duplicate_blocks(texts, scope)))
             n = blocks.count()
             _write(out, duplicate_header(header, n, config.verbose))
-            at = places.toLocalIterator()
-            for block in blocks.toLocalIterator():
-                _write(out, duplicate_block(block, config.verbose))
-                for place in itertools.islice(at, block["n_places"]):
-                    _write(out, [f"- {place['path_key']}:{place['start_line']}-{place['end_line']}"])
+            for row in duplicate_text(blocks, places, config.verbose).orderBy("rank", "at", "path_key", "start_line", "end_line").toLocalIterator():
+                _write(out, [row["line"]])
         finally:
             texts.unpersist()
     else:
         header.analyzed = found
-        result = complex_functions(contents, config.max_cognitive_complexity, config.max_cyclomatic_complexity, scope).persist()
-        n = _timed(header, "Complexity analysis", lambda: _spark_errors(result.count))
+        result = _timed(header, "Complexity analysis", lambda: _spark_errors(lambda: stage(complex_functions(contents, config.max_cognitive_complexity, config.max_cyclomatic_complexity, scope), "functions")))
+        n = result.count()
         _write(out, complexity_header(header, n, config))
-        for rank, row in enumerate(result.toLocalIterator(), 1):
-            _write(out, complex_function(rank, row))
-        result.unpersist()
+        for row in complexity_text(result).orderBy("rank", "at").toLocalIterator():
+            _write(out, [row["line"]])
     return RunStatus.from_issue_count(n)

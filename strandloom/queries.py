@@ -1,7 +1,8 @@
 """The registered queries of the analysis operators, each with the SQL that must give the same rows.
 
 A document is a file: its path is ``source/doc_id`` and its extension Rust's, or one that follows from its id where
-a query mixes languages.
+a query mixes languages. Source files, diffs and trees are written from rows of other tables, by rules that let SQL say
+what must be found in them.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions.languages import LANGUAGES, supported_extensions
 from .operators import changes, complexity, duplicates, lines
+from .plans import reports
 from .shipping import ship
+from .sources import files, git
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +25,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _MIXED = "CASE doc_id % 4 WHEN 0 THEN 'rs' WHEN 1 THEN 'ts' WHEN 2 THEN 'py' ELSE 'json' END"
+#: Every known extension, and one that is not.
+_EVERY = f"CASE doc_id % {len(supported_extensions()) + 1} " + " ".join(f"WHEN {k} THEN '{e}'" for k, e in enumerate(supported_extensions())) + " ELSE 'json' END"
 
 
 def _lines(spark: SparkSession, sf_dir: str, ext="rs") -> DataFrame:
     return lines.classify(lines.explode(lines.of_documents(_table(spark, sf_dir, "documents"), ext)))
 
 
-def _flat(blocks: DataFrame) -> DataFrame:
-    shown = F.transform("occurrences", lambda o: F.concat_ws(":", o["path_key"], o["start_line"], o["end_line"]))
-    return blocks.select(F.array_join("lines", "\n").alias("block_text"), F.array_join(shown, ",").alias("places"), F.size("occurrences").cast("long").alias("n_places"), "line_count", "character_count", "weight")
+def _flat(places: DataFrame) -> DataFrame:
+    """Blocks with a row for each place."""
+    return places.withColumns({"start_line": F.col("start_line").cast("long"), "end_line": F.col("end_line").cast("long")})
 
 
 def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,17 +59,18 @@ def repeated_lines(spark, sf_dir):
 
 
 def lines_classified(spark, sf_dir):
-    return _lines(spark, sf_dir, F.expr(_MIXED)).select("path_key", F.col("line_number").cast("long").alias("line_number"), "extension", F.when(F.col("is_comparison"), "Comparison").otherwise("BlockOnly").alias("status"))
+    return _lines(spark, sf_dir, F.expr(_EVERY)).select("path_key", F.col("line_number").cast("long").alias("line_number"), "extension", F.when(F.col("is_comparison"), "Comparison").otherwise("BlockOnly").alias("status"))
 
 
 def status_counts(spark, sf_dir):
-    return _lines(spark, sf_dir, F.expr(_MIXED)).groupBy("extension").agg(F.count("*").alias("n_lines"), F.count_if("is_comparison").alias("n_comparison"))
+    return _lines(spark, sf_dir, F.expr(_EVERY)).groupBy("extension").agg(F.count("*").alias("n_lines"), F.count_if("is_comparison").alias("n_comparison"))
 
 
 def seed_pairs(spark, sf_dir):
     """How many pairs each line has, so that the rows do not depend on the numbers of files."""
     found = _lines(spark, sf_dir)
-    named = duplicates.numbered_files(found).select(F.col("f").alias("fa"), F.col("idx").alias("ia"), "text")
+    found = duplicates.numbered_files(found)
+    named = found.select(F.col("f").alias("fa"), F.col("idx").alias("ia"), "text")
     return duplicates.seed_pairs(found).join(named, ["fa", "ia"]).groupBy("text").agg(F.count("*").alias("n_pairs"))
 
 
@@ -111,66 +118,164 @@ def analyzed_files(spark, sf_dir):
     return ranged.select(T.analyzed_file(F.col("path_key"), F.col("ranges")).alias("shown"))
 
 
-def _functions(spark, sf_dir):
-    """Numeric stand-ins for measured functions: line items of an order are functions of a file."""
-    return _table(spark, sf_dir, "lineitem").select(
-        F.printf(F.lit("src/%05d.rs"), F.pmod("l_orderkey", F.lit(997))).alias("path_key"),
-        F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("function_name"),
-        (F.pmod("l_orderkey", F.lit(50)) + 1).cast("int").alias("start_line"),
-        (F.pmod("l_orderkey", F.lit(50)) + F.col("l_linenumber") * 3).cast("int").alias("end_line"),
-        F.col("l_quantity").alias("cognitive"),
-        F.floor(F.col("l_quantity") / 2 + F.col("l_linenumber")).cast("double").alias("cyclomatic"),
-    )
+# Each part is a source file of Rust, TypeScript, Python or Java with up to four functions: of nested decisions, the
+# innermost with some boolean operators, an else, a loop or both in some of them.
+
+_LANGUAGE = "CASE p_partkey % 4 WHEN 0 THEN 'rs' WHEN 1 THEN 'ts' WHEN 2 THEN 'py' ELSE 'java' END"
+_DEPTH = "(p_partkey + 2 * j) % 6 + 1"
+_OPERATORS = "(p_size + j) % 4"  # 3: an && and an ||
+_VARIANT = "(p_partkey DIV 4 + j) % 3"  # 0: as it is, 1: an else, 2: a loop outside
+
+
+def _part_files(spark, sf_dir):
+    """(path_key, extension, content) of the parts' files."""
+    items = _table(spark, sf_dir, "part").select("p_partkey", F.expr(_LANGUAGE).alias("extension"), "p_size", F.expr("explode(sequence(0, p_partkey % 4))").alias("j"))
+    made = items.selectExpr("*", f"cast({_DEPTH} as int) AS d", f"{_OPERATORS} AS b", f"{_VARIANT} AS v", "extension = 'py' AS py", "extension = 'rs' AS rs")
+    made = made.withColumn("test", F.expr("'a > 1' || CASE b WHEN 0 THEN '' WHEN 1 THEN ' && b > 1' WHEN 2 THEN ' && b > 1 && c > 1' ELSE ' && b > 1 || c > 1' END"))
+    made = made.withColumn("test", F.expr("CASE WHEN py THEN replace(replace(test, '&&', 'and'), '||', 'or') ELSE test END"))
+    header = F.expr("CASE extension WHEN 'rs' THEN 'fn f' || j || '(a: i32, b: i32, c: i32) -> i32 {' WHEN 'ts' THEN 'function f' || j || '(a, b, c) {' WHEN 'py' THEN 'def f' || j || '(a, b, c):' ELSE 'int f' || j || '(int a, int b, int c) {' END")
+    loop = F.expr("CASE WHEN py THEN array('  while c > 9:') WHEN rs THEN array('while c > 9 {') ELSE array('while (c > 9) {') END")
+    opened = F.expr("""transform(sequence(1, d), k -> CASE WHEN py THEN repeat('  ', k + CASE WHEN v = 2 THEN 1 ELSE 0 END) || 'if ' || CASE WHEN k = d THEN test ELSE 'a > ' || k END || ':'
+      WHEN rs THEN 'if ' || CASE WHEN k = d THEN test ELSE 'a > ' || k END || ' {' ELSE 'if (' || CASE WHEN k = d THEN test ELSE 'a > ' || k END || ') {' END)""")
+    inner = F.expr("CASE WHEN py THEN array(repeat('  ', d + 2) || 'call()') ELSE array('call();') END")
+    other = F.expr("CASE WHEN v <> 1 THEN array() WHEN py THEN array(repeat('  ', d) || 'else:', repeat('  ', d + 2) || 'call()') ELSE array('} else {', 'call();') END")
+    closed = F.expr("CASE WHEN py THEN array() ELSE array_repeat('}', d + CASE WHEN v = 2 THEN 2 ELSE 1 END) END")
+    text = F.array_join(F.concat(F.array(header), F.when(F.col("v") == 2, loop).otherwise(F.array().cast("array<string>")), opened, inner, other.cast("array<string>"), closed.cast("array<string>")), "\n")
+    joined = made.select("p_partkey", "extension", "j", text.alias("text")).groupBy("p_partkey", "extension").agg(F.sort_array(F.collect_list(F.struct("j", "text"))).alias("t"))
+    body = F.array_join(F.col("t.text"), "\n")
+    content = F.when(F.col("extension") == "java", F.concat(F.lit("class C {\n"), body, F.lit("\n}"))).otherwise(body)
+    return joined.select(F.format_string("src/%06d.%s", "p_partkey", "extension").alias("path_key"), "extension", F.concat(content, F.lit("\n")).alias("content"))
+
+
+def _measured(spark, sf_dir):
+    return complexity.detect(_part_files(spark, sf_dir))
+
+
+def _long_lines(found):
+    return [F.col(c).cast("long").alias(c) for c in ("start_line", "end_line")]
+
+
+def functions_measured(spark, sf_dir):
+    found = _measured(spark, sf_dir)
+    return found.select("path_key", "function_name", *_long_lines(found), "cognitive", "cyclomatic")
 
 
 def functions_over_limit(spark, sf_dir):
-    over = complexity.over_limits(_functions(spark, sf_dir), 40, 25).withColumn("excess", complexity.excess(40, 25))
-    return over.select("path_key", "function_name", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), T.metric(F.col("cognitive")).alias("cognitive"), T.metric(F.col("cyclomatic")).alias("cyclomatic"), "excess")
+    over = complexity.over_limits(_measured(spark, sf_dir), 9, 6).withColumn("excess", complexity.excess(9, 6))
+    return over.select("path_key", "function_name", *_long_lines(over), T.metric(F.col("cognitive")).alias("cognitive"), T.metric(F.col("cyclomatic")).alias("cyclomatic"), "excess")
 
 
 def functions_ranked(spark, sf_dir):
-    found = complexity.numbered(_functions(spark, sf_dir).distinct(), 40, 25)
-    return found.select(F.col("rank").cast("long").alias("rank"), "path_key", "function_name", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "excess")
+    found = complexity.numbered(_measured(spark, sf_dir), 9, 6)
+    return found.select(F.col("rank").cast("long").alias("rank"), "path_key", "function_name", *_long_lines(found), "excess")
+
+
+def _part_changes(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select(F.format_string("src/%06d.%s", "p_partkey", F.expr(_LANGUAGE)).alias("path_key"), F.lit(3).alias("start"), (3 + F.col("p_size") % 9).alias("end")).where("p_size % 3 = 0")
 
 
 def functions_changed_lines(spark, sf_dir):
-    changed = _table(spark, sf_dir, "supplier").select(F.printf(F.lit("src/%05d.rs"), F.pmod("s_suppkey", F.lit(997))).alias("path_key"), F.lit(5).alias("start"), F.lit(12).alias("end"))
-    kept = changes.touching_lines(_functions(spark, sf_dir), changed)
+    kept = changes.touching_lines(_measured(spark, sf_dir), _part_changes(spark, sf_dir))
     return kept.groupBy("path_key").agg(F.count("*").alias("n_functions"))
 
 
+def complexity_report_text(spark, sf_dir):
+    """The lines of the report over the parts' files, of what touches changed lines."""
+    return _report_lines(reports.complexity_text(reports.complex_functions(_part_files(spark, sf_dir), 9, 6, _part_changes(spark, sf_dir))))
+
+
+def duplicate_report_text(spark, sf_dir):
+    """The lines of the detailed report over the documents."""
+    blocks, places = reports.duplicate_blocks(lines.of_documents(_table(spark, sf_dir, "documents")))
+    return _report_lines(reports.duplicate_text(blocks, places, True)).drop("start_line", "end_line")
+
+
+def _report_lines(text):
+    return text.withColumns({c: F.col(c).cast("long") for c in ("rank", "at")})
+
+
+# The orders of a customer are a commit: a file for each order, a hunk for each of its items; some names are quoted, some
+# added lines look like headers.
+
+
+def _diffs(spark, sf_dir):
+    hunk = F.expr("""'@@ -' || l_linenumber || ',' || (l_linenumber % 2) || ' +' || s || CASE WHEN n = 1 THEN '' ELSE ',' || n END || ' @@ fn\n' || repeat('-old\n', cast(l_linenumber % 2 as int))
+      || CASE WHEN n > 0 THEN '+++ b/no.header\n' || repeat('+x\n', n - 1) ELSE '' END""")
+    items = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "cast(5 * l_linenumber + l_partkey % 3 as int) AS s", "cast(l_quantity % 7 as int) AS n").select("l_orderkey", F.struct("l_linenumber", hunk.alias("text")).alias("hunk"))
+    held = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("hunk")).alias("hunks"))
+    name = F.expr("""CASE o_orderkey % 3 WHEN 0 THEN '"b/caf\\\\303\\\\251/' || o_orderkey % 400 || '.ts"' WHEN 1 THEN 'b/src/' || o_orderkey % 400 || '.ts' ELSE 'b/with blank/' || o_orderkey % 400 || '.ts\t' END""")
+    files_ = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", name.alias("name")).join(held, F.expr("o_orderkey = l_orderkey"))
+    one = F.concat(F.lit("--- a/old\n+++ "), "name", F.lit("\n"), F.array_join(F.col("hunks.text"), ""))
+    return files_.select("o_custkey", F.struct("o_orderkey", one.alias("text")).alias("f")).groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list("f")).getField("text"), "").alias("diff"))
+
+
+def diff_ranges_merged(spark, sf_dir):
+    merged = changes.coalesce_ranges(git.diff_ranges(_diffs(spark, sf_dir)))
+    return merged.select("path_key", F.col("start").cast("long").alias("range_start"), F.col("end").cast("long").alias("range_end"))
+
+
+def untracked_files(spark, sf_dir):
+    found = git.untracked_ranges(_table(spark, sf_dir, "documents").select(F.format_string("%s/%08d", "source", "doc_id").alias("path_key"), F.col("text").cast("binary").alias("content")))
+    return found.select("path_key", F.col("end").cast("long").alias("n_lines"))
+
+
+# The customers of a nation are a project: a file for each, in directories of which some are never entered, with rules
+# that ignore some files and keep some of these.
+
+_RULES = "# made\n*.log\n!keep.log\n/out/\nm3/**/x*.ts\n"
+
+
+def _trees(spark, sf_dir):
+    path = F.expr("""element_at(array('src', 'Target', '.git', '.hidden', 'out', 'src/out', 'm3/a/b', 'node_modules/z', ''), cast(c_custkey % 9 as int) + 1)
+      || CASE WHEN c_custkey % 9 = 8 THEN '' ELSE '/' END || CASE c_custkey % 5 WHEN 0 THEN 'x' WHEN 1 THEN 'y' WHEN 2 THEN 'Z.' ELSE 'keep' END || CASE WHEN c_custkey % 5 = 4 THEN '' ELSE cast(c_custkey AS string) END
+      || CASE c_custkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.RS' WHEN 2 THEN '.log' ELSE '' END""")
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("project"), path.alias("path")).distinct().select("project", "path", (F.length("path") % 7 != 0).alias("is_file"), F.lit(None).cast("string").alias("content"))
+    rules = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("project"), F.lit(".gitignore").alias("path"), F.lit(True).alias("is_file"), F.lit(_RULES).alias("content"))
+    return rows.unionByName(rules)
+
+
+def files_discovered(spark, sf_dir):
+    return files.discovered(_trees(spark, sf_dir), ("ts", "rs", "log")).groupBy("project", "path_key", "extension").agg(F.lit(1).cast("long").alias("n"))
+
+
 def path_normalization(spark, sf_dir):
     path = F.regexp_replace("url", "^[a-z]+://", "")
-    typed = F.concat(F.lit("./"), path, F.lit("/./../Main.TAR.Gz"))
+    name = F.expr("CASE page_id % 5 WHEN 0 THEN 'Main.TAR.Gz' WHEN 1 THEN '.hidden' WHEN 2 THEN 'none' WHEN 3 THEN 'a.Ts' ELSE 'end.' END")
+    typed = F.concat(F.lit("./"), path, F.lit("/./../"), name)
     return _table(spark, sf_dir, "pages").select("page_id", T.display_path(T.path_key(typed)).alias("shown"), T.extension(typed).alias("extension"))
 
 
-_JAVA = (
-    "if(a){ {h();} if(b){h();} }", "if(a) h(); { if(b){h();} }", "do { if(a){h();} } while(b);", "return a && b && c;", "if((a && b)){h();}",
-    "for(int i=0;i<n;i++){ if(a){h();} }", "for(int i : xs){ if(a){h();} }", "if(g(a && b)){h();}", "if(x && (a || b)){h();}", "if(a){} else if(b){} else {}",
-    "List<?> xs;", "for(int i=0; a && b; i++){h();}",
-)
-
-
 def java_cognitive_scores(spark, sf_dir):
+    """Java bodies written from parts: loops of all kinds, operators in headers and calls, else chains, generics.
+
+    Semicolons in a loop's header end its nesting, and operators in parentheses of a header count again; so the rules are.
+    """
     ship(spark)
-    sources = spark.createDataFrame([(i, f"void f() {{ {b} }}") for i, b in enumerate(_JAVA, 1)], "id long, src string")
-    return sources.select("id", complexity.java_cognitive("src").alias("score"))
+    body = F.expr("""repeat(CASE p_partkey % 4 WHEN 0 THEN 'if(a){' WHEN 1 THEN 'for(int i=0;i<n;i++){' WHEN 2 THEN 'while(b){' ELSE 'for(int i : xs){' END, cast(p_size % 5 as int))
+      || CASE p_partkey % 7 WHEN 0 THEN 'h();' WHEN 1 THEN 'if(x && (a || b)){h();}' WHEN 2 THEN 'do { h(); } while(b);' WHEN 3 THEN 'return a && b && c;' WHEN 4 THEN 'if(a){} else if(b){} else {}' WHEN 5 THEN 'List<?> xs;' ELSE 'if(g(a && b)){h();}' END
+      || repeat('}', cast(p_size % 5 as int))""")
+    source = F.concat(F.lit("void f() { // if (a) {\n"), body, F.lit("\n}"))
+    return _table(spark, sf_dir, "part").select("p_partkey", complexity.java_cognitive(source).alias("score"))
 
 
 # ---- the same in SQL ----
 
 _BLANK = r"[\s\x0b\x{85}\p{Z}]"
-_RUST = r"^[A-Za-z0-9_]*::?\s*[A-Za-z0-9_]*[,]?$|^[A-Za-z0-9_]+\s*[.,]?$|^\.?\s*[A-Za-z0-9_]+(?:\(\s*\)?)?$|^let\s+(?:mut\s+)?[A-Za-z0-9_]+\s*=$|^pub\s+[A-Za-z0-9_]*\s*:\s*[A-Za-z0-9_]*[,]?$|^use\s+[A-Za-z_][A-Za-z0-9_]*(?:::[A-Za-z_][A-Za-z0-9_]*)*;$"
-_SCRIPT = r"^/\*.*\*/$|^[A-Za-z_$][A-Za-z0-9_$]*\??:\s*(?:Scalars\[''[A-Za-z]+''\]|[A-Z][A-Za-z0-9_$]*(?:\[\])?|[a-z]+(?:\[\])?|\([^)]*\))(?:\[\])?(?:\s*\|\s*(?:null|number|boolean|string))*[,]?$|^__typename:\s*''[A-Za-z_$][A-Za-z0-9_$]*''[,]?$"
+
+def _structural_sql() -> str:
+    """The rules of every language, as the table of languages has them."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    rules = []
+    for language in LANGUAGES:
+        characters = "".join("\\" + c for c in language.characters)
+        ways = [f"regexp_matches(text, {text(f'^(?:[{characters}]|{_BLANK})*$')})", *([f"text IN ({', '.join(map(text, language.lines))})"] if language.lines else [])]
+        ways += [f"regexp_matches(text, {text(p)})" for p in language.patterns]
+        rules.append(f"WHEN extension IN ({', '.join(map(text, language.extensions))}) THEN {' OR '.join(ways)}")
+    return "CASE " + "\n      ".join(rules) + "\n      ELSE false END"
 
 
 def _lines_sql(ext: str) -> str:
-    structural = rf"""CASE extension
-      WHEN 'rs' THEN regexp_matches(text, '^(?:[&(),:;<>?\[\]{{}}]|{_BLANK})*$') OR text IN ('///', '#[test]', 'assert!(', 'assert_eq!(') OR regexp_matches(text, '{_RUST}')
-      WHEN 'ts' THEN regexp_matches(text, '^(?:[&(),:;<>?\[\]{{|}}]|{_BLANK})*$') OR text = '// @ts-nocheck' OR regexp_matches(text, '{_SCRIPT}')
-      WHEN 'py' THEN regexp_matches(text, '^(?:[(),:;\[\]{{}}]|{_BLANK})*$')
-      ELSE false END"""
+    structural = _structural_sql()
     return rf"""raw AS (SELECT printf('%s/%08d', source, doc_id) AS path_key, {ext} AS extension, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_number FROM documents),
 trimmed AS (SELECT path_key, extension, line_number, regexp_replace(t, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS text FROM raw),
 lines AS (SELECT *, row_number() OVER (PARTITION BY path_key ORDER BY line_number) - 1 AS idx, NOT ({structural}) AS is_comparison FROM trimmed WHERE text <> '')"""
@@ -192,7 +297,6 @@ files AS (SELECT path_key, list(text ORDER BY idx) AS texts, list(line_number OR
 places AS (SELECT DISTINCT path_key, s, e FROM (SELECT fa AS path_key, s, e FROM runs UNION ALL SELECT fb, s + d, e + d FROM runs)),
 told AS (SELECT DISTINCT path_key, array_to_string(list_slice(texts, s + 1, e + 1), chr(10)) AS block_text, e - s + 1 AS line_count, numbers[s + 1] AS start_line, numbers[e + 1] AS end_line FROM places JOIN files USING (path_key)),
 blocks AS (SELECT block_text, CAST(max(line_count) AS BIGINT) AS line_count, CAST(length(block_text) - max(line_count) + 1 AS BIGINT) AS character_count, count(*) AS n_places,
-  string_agg(path_key || ':' || start_line || ':' || end_line, ',' ORDER BY path_key, start_line, end_line) AS places,
   min((path_key, start_line)) AS first_place, CAST((count(*) - 1) * max(line_count) * (length(block_text) - max(line_count) + 1) AS BIGINT) AS weight
   FROM told GROUP BY block_text HAVING count(*) >= 2)"""
 
@@ -202,10 +306,18 @@ _CHANGED_SQL = """changed AS (SELECT path_key, r.s AS s, r.e AS e FROM (SELECT p
 _MERGED_SQL = """opened AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY path_key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS o FROM changed),
 grouped AS (SELECT *, sum(o) OVER (PARTITION BY path_key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM opened),
 merged AS (SELECT path_key, CAST(min(s) AS BIGINT) AS range_start, CAST(max(e) AS BIGINT) AS range_end FROM grouped GROUP BY path_key, g)"""
-_FUNCTIONS_SQL = """functions AS (SELECT printf('src/%05d.rs', l_orderkey % 997) AS path_key, 'f' || l_partkey AS function_name, CAST(l_orderkey % 50 + 1 AS BIGINT) AS start_line,
-  CAST(l_orderkey % 50 + l_linenumber * 3 AS BIGINT) AS end_line, l_quantity AS cognitive, floor(l_quantity / 2 + l_linenumber) AS cyclomatic FROM lineitem)"""
-_EXCESS_SQL = "greatest(cognitive - 40, 0) + greatest(cyclomatic - 25, 0)"
-_BLOCK_COLUMNS = "block_text, places, n_places, line_count, character_count, weight"
+_FUNCTIONS_SQL = f"""items AS (SELECT *, {_DEPTH} AS d, {_OPERATORS} AS b, {_VARIANT.replace("DIV", "//")} AS v FROM (SELECT *, {_LANGUAGE} AS extension, unnest(range(0, p_partkey % 4 + 1)) AS j FROM part)),
+sized AS (SELECT *, CASE extension WHEN 'py' THEN 2 + d + CASE v WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END ELSE 3 + 2 * d + CASE v WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 0 END END AS size FROM items),
+placed AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY p_partkey ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 + CASE extension WHEN 'java' THEN 1 ELSE 0 END AS BIGINT) AS start_line FROM sized),
+functions AS (SELECT printf('src/%06d.%s', p_partkey, extension) AS path_key, 'f' || j AS function_name, start_line, CAST(start_line + size - 1 AS BIGINT) AS end_line,
+  CAST(CASE v WHEN 2 THEN d * (d + 1) // 2 + d + 1 ELSE d * (d + 1) // 2 END + CASE b WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END + CASE v WHEN 1 THEN 1 ELSE 0 END AS DOUBLE) AS cognitive,
+  CAST(1 + d + CASE b WHEN 3 THEN 2 ELSE b END + CASE v WHEN 2 THEN 1 ELSE 0 END AS DOUBLE) AS cyclomatic FROM placed),
+touched AS (SELECT printf('src/%06d.%s', p_partkey, {_LANGUAGE}) AS path_key, 3 AS s, 3 + p_size % 9 AS e FROM part WHERE p_size % 3 = 0)"""
+_EXCESS_SQL = "greatest(cognitive - 9, 0) + greatest(cyclomatic - 6, 0)"
+_TREES_SQL = """named AS (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS project,
+  ['src', 'Target', '.git', '.hidden', 'out', 'src/out', 'm3/a/b', 'node_modules/z', ''][c_custkey % 9 + 1] AS dir,
+  CASE c_custkey % 5 WHEN 0 THEN 'x' WHEN 1 THEN 'y' WHEN 2 THEN 'Z.' ELSE 'keep' END || CASE WHEN c_custkey % 5 = 4 THEN '' ELSE c_custkey || '' END || CASE c_custkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.RS' WHEN 2 THEN '.log' ELSE '' END AS name FROM customer)"""
+_PLACES = "SELECT block_text, path_key, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, n_places, blocks.line_count AS line_count, character_count, weight FROM blocks JOIN told USING (block_text)"
 
 
 def _sql(*ctes: str, select: str) -> str:
@@ -214,30 +326,49 @@ def _sql(*ctes: str, select: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     rust, mixed = _lines_sql("'rs'"), _lines_sql(_MIXED)
+    every = _lines_sql(_EVERY)
     metric = lambda c: f"CASE WHEN {c} = floor({c}) THEN printf('%.0f', {c}) ELSE printf('%.2f', {c}) END AS {c}"
     return {
         "lines_normalized": _sql(rust, select="SELECT path_key, CAST(idx AS BIGINT) AS idx, CAST(line_number AS BIGINT) AS line_number, text FROM lines"),
         "line_frequency": _sql(rust, select="SELECT text, count(*) AS n FROM lines GROUP BY text"),
         "repeated_lines": _sql(rust, select="SELECT text, count(*) AS n FROM lines GROUP BY text HAVING count(*) > 1"),
-        "lines_classified": _sql(mixed, select="SELECT path_key, CAST(line_number AS BIGINT) AS line_number, extension, CASE WHEN is_comparison THEN 'Comparison' ELSE 'BlockOnly' END AS status FROM lines"),
-        "status_counts": _sql(mixed, select="SELECT extension, count(*) AS n_lines, count(*) FILTER (WHERE is_comparison) AS n_comparison FROM lines GROUP BY extension"),
+        "lines_classified": _sql(every, select="SELECT path_key, CAST(line_number AS BIGINT) AS line_number, extension, CASE WHEN is_comparison THEN 'Comparison' ELSE 'BlockOnly' END AS status FROM lines"),
+        "status_counts": _sql(every, select="SELECT extension, count(*) AS n_lines, count(*) FILTER (WHERE is_comparison) AS n_comparison FROM lines GROUP BY extension"),
         "seed_pairs": _sql(rust, select="SELECT text, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS n_pairs FROM lines WHERE is_comparison GROUP BY text HAVING count(*) > 1"),
         "duplicate_runs": _sql(rust, _runs_sql(), select="SELECT CAST(e - s + 1 AS BIGINT) AS run_length, count(*) AS n_runs FROM runs GROUP BY 1"),
-        "dup_blocks": _sql(rust, _blocks_sql(), select=f"SELECT {_BLOCK_COLUMNS} FROM blocks"),
-        "dup_blocks_mixed": _sql(mixed, _blocks_sql(), select=f"SELECT {_BLOCK_COLUMNS} FROM blocks"),
+        "dup_blocks": _sql(rust, _blocks_sql(), select=_PLACES),
+        "dup_blocks_mixed": _sql(mixed, _blocks_sql(), select=_PLACES),
         "dup_blocks_ranked": _sql(rust, _blocks_sql(), select="SELECT row_number() OVER (ORDER BY weight DESC, line_count DESC, character_count DESC, first_place, block_text) AS rank, weight, n_places, block_text FROM blocks"),
         "dup_occurrences": _sql(rust, _blocks_sql(), select="SELECT block_text, path_key, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line FROM told WHERE block_text IN (SELECT block_text FROM blocks)"),
         "changed_ranges_merged": _sql(_CHANGED_SQL, _MERGED_SQL, select="SELECT path_key, range_start, range_end FROM merged"),
-        "dup_blocks_changed_files": _sql(rust, _blocks_sql(), _CHANGED_SQL, select=f"SELECT {_BLOCK_COLUMNS} FROM blocks WHERE block_text IN (SELECT block_text FROM told WHERE path_key IN (SELECT path_key FROM changed))"),
-        "dup_blocks_changed_lines": _sql(rust, _blocks_sql(), _CHANGED_SQL, select=f"SELECT {_BLOCK_COLUMNS} FROM blocks WHERE block_text IN (SELECT block_text FROM told t JOIN changed c ON t.path_key = c.path_key AND t.start_line <= c.e AND t.end_line >= c.s)"),
+        "dup_blocks_changed_files": _sql(rust, _blocks_sql(), _CHANGED_SQL, select=_PLACES + " WHERE block_text IN (SELECT block_text FROM told WHERE path_key IN (SELECT path_key FROM changed))"),
+        "dup_blocks_changed_lines": _sql(rust, _blocks_sql(), _CHANGED_SQL, select=_PLACES + " WHERE block_text IN (SELECT block_text FROM told t JOIN changed c ON t.path_key = c.path_key AND t.start_line <= c.e AND t.end_line >= c.s)"),
         "analyzed_files": _sql(_CHANGED_SQL, _MERGED_SQL, select="""SELECT p || coalesce(' (' || string_agg(CASE WHEN range_start = range_end THEN range_start || '' ELSE range_start || '-' || range_end END, ',' ORDER BY range_start) || ')', '') AS shown
 FROM (SELECT printf('%s/%08d', source, doc_id) AS p FROM documents) LEFT JOIN merged ON p = path_key GROUP BY p"""),
-        "functions_over_limit": _sql(_FUNCTIONS_SQL, select=f"SELECT path_key, function_name, start_line, end_line, {metric('cognitive')}, {metric('cyclomatic')}, CAST({_EXCESS_SQL} AS DOUBLE) AS excess FROM functions WHERE functions.cognitive > 40 OR functions.cyclomatic > 25"),
+        "functions_measured": _sql(_FUNCTIONS_SQL, select="SELECT path_key, function_name, start_line, end_line, cognitive, cyclomatic FROM functions"),
+        "functions_over_limit": _sql(_FUNCTIONS_SQL, select=f"SELECT path_key, function_name, start_line, end_line, {metric('cognitive')}, {metric('cyclomatic')}, CAST({_EXCESS_SQL} AS DOUBLE) AS excess FROM functions WHERE functions.cognitive > 9 OR functions.cyclomatic > 6"),
         "functions_ranked": _sql(_FUNCTIONS_SQL, select=f"""SELECT row_number() OVER (ORDER BY excess DESC, path_key, start_line, end_line, function_name) AS rank, path_key, function_name, start_line, end_line, excess
-FROM (SELECT DISTINCT path_key, function_name, start_line, end_line, cognitive, cyclomatic, CAST({_EXCESS_SQL} AS DOUBLE) AS excess FROM functions WHERE cognitive > 40 OR cyclomatic > 25)"""),
-        "functions_changed_lines": _sql(_FUNCTIONS_SQL, select="SELECT path_key, count(*) AS n_functions FROM functions WHERE start_line <= 12 AND end_line >= 5 AND path_key IN (SELECT printf('src/%05d.rs', s_suppkey % 997) FROM supplier) GROUP BY path_key"),
-        "path_normalization": r"""SELECT page_id, array_to_string(list_filter(string_split(replace('./' || regexp_replace(url, '^[a-z]+://', '') || '/./../Main.TAR.Gz', '\', '/'), '/'), lambda x: x <> '' AND x <> '.'), '/') AS shown, 'gz' AS extension FROM pages""",
-        "java_cognitive_scores": "SELECT CAST(id AS BIGINT) AS id, CAST(score AS DOUBLE) AS score FROM (VALUES (1, 3), (2, 2), (3, 3), (4, 1), (5, 2), (6, 2), (7, 3), (8, 3), (9, 4), (10, 3), (11, 1), (12, 3)) AS t(id, score)",
+FROM (SELECT *, CAST({_EXCESS_SQL} AS DOUBLE) AS excess FROM functions WHERE cognitive > 9 OR cyclomatic > 6)"""),
+        "functions_changed_lines": _sql(_FUNCTIONS_SQL, select="SELECT path_key, count(*) AS n_functions FROM functions JOIN touched USING (path_key) WHERE start_line <= e AND end_line >= s GROUP BY path_key"),
+        "complexity_report_text": _sql(_FUNCTIONS_SQL, f"""over_ AS (SELECT f.*, row_number() OVER (ORDER BY {_EXCESS_SQL} DESC, path_key, start_line, end_line, function_name) AS rank FROM functions f JOIN touched USING (path_key)
+  WHERE start_line <= e AND end_line >= s AND (cognitive > 9 OR cyclomatic > 6)),
+texts AS (SELECT rank, ['', '#' || rank, 'Function: ' || function_name, 'Location: ' || path_key || ':' || start_line || '-' || end_line, 'Cognitive complexity: ' || CAST(cognitive AS BIGINT), 'Cyclomatic complexity: ' || CAST(cyclomatic AS BIGINT)] AS t FROM over_)""",
+            select="SELECT rank, CAST(unnest(range(6)) AS BIGINT) AS at, unnest(t) AS line FROM texts"),
+        "duplicate_report_text": _sql(rust, _blocks_sql(), """ranked AS (SELECT *, row_number() OVER (ORDER BY weight DESC, line_count DESC, character_count DESC, first_place, block_text) AS rank FROM blocks),
+heads AS (SELECT rank, ['', '#' || rank, 'Weight: ' || weight, 'Lines: ' || line_count, 'Occurrences: ' || n_places, '', 'Code:'] || list_transform(string_split(block_text, chr(10)), lambda x: '  ' || x) || ['', 'Locations:'] AS t FROM ranked)""",
+            select="""SELECT rank, CAST(unnest(range(len(t))) AS BIGINT) AS at, '' AS path_key, unnest(t) AS line FROM heads
+UNION ALL SELECT rank, 2147483647, path_key, '- ' || path_key || ':' || start_line || '-' || end_line FROM told JOIN ranked USING (block_text)"""),
+        "diff_ranges_merged": _sql("""changed AS (SELECT CASE l_orderkey % 3 WHEN 0 THEN 'café/' WHEN 1 THEN 'src/' ELSE 'with blank/' END || l_orderkey % 400 || '.ts' AS path_key, 5 * l_linenumber + l_partkey % 3 AS s,
+  5 * l_linenumber + l_partkey % 3 + CAST(l_quantity % 7 AS BIGINT) - 1 AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE CAST(l_quantity % 7 AS BIGINT) > 0)""", _MERGED_SQL, select="SELECT path_key, range_start, range_end FROM merged"),
+        "untracked_files": "SELECT printf('%s/%08d', source, doc_id) AS path_key, CAST(len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END AS BIGINT) AS n_lines FROM documents WHERE text <> ''",
+        "files_discovered": _sql(_TREES_SQL, select="""SELECT project, CASE WHEN dir = '' THEN '' ELSE dir || '/' END || name AS path_key, lower(string_split(name, '.')[-1]) AS extension, CAST(1 AS BIGINT) AS n FROM named
+WHERE length(CASE WHEN dir = '' THEN '' ELSE dir || '/' END || name) % 7 <> 0 AND contains(name, '.') AND lower(string_split(name, '.')[-1]) IN ('ts', 'rs', 'log') AND dir NOT IN ('Target', '.git', 'out', 'node_modules/z') AND (name NOT LIKE '%.log' OR name = 'keep.log') AND NOT (dir = 'm3/a/b' AND name LIKE 'x%.ts')
+GROUP BY project, dir, name"""),
+        "path_normalization": r"""SELECT page_id, array_to_string(list_filter(string_split(replace('./' || regexp_replace(url, '^[a-z]+://', '') || '/./../', '\', '/'), '/'), lambda x: x <> '' AND x <> '.'), '/') || '/' || name AS shown,
+  CASE WHEN regexp_matches(name, '^.+\.[^.]*$') THEN lower(string_split(name, '.')[-1]) ELSE '' END AS extension
+FROM (SELECT *, ['Main.TAR.Gz', '.hidden', 'none', 'a.Ts', 'end.'][page_id % 5 + 1] AS name FROM pages)""",
+        "java_cognitive_scores": """SELECT p_partkey, CAST(own + CASE p_partkey % 7 WHEN 0 THEN 0 WHEN 1 THEN n + 4 WHEN 2 THEN n + 1 WHEN 3 THEN 1 WHEN 4 THEN n + 3 WHEN 5 THEN n + 1 ELSE n + 3 END AS DOUBLE) AS score
+FROM (SELECT *, CASE WHEN p_partkey % 4 = 1 THEN k ELSE k * (k + 1) // 2 END AS own, CASE WHEN p_partkey % 4 = 1 THEN 0 ELSE k END AS n FROM (SELECT *, p_size % 5 AS k FROM part))""",
     }
 
 
@@ -245,5 +376,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         lines_normalized, line_frequency, repeated_lines, lines_classified, status_counts, seed_pairs, duplicate_runs, dup_blocks, dup_blocks_mixed,
         dup_blocks_ranked, dup_occurrences, changed_ranges_merged, dup_blocks_changed_files, dup_blocks_changed_lines, analyzed_files,
-        functions_over_limit, functions_ranked, functions_changed_lines, path_normalization, java_cognitive_scores,
+        functions_measured, functions_over_limit, functions_ranked, functions_changed_lines, complexity_report_text, duplicate_report_text,
+        diff_ranges_merged, untracked_files, files_discovered, path_normalization, java_cognitive_scores,
     )}
