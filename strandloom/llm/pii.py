@@ -190,7 +190,7 @@ def _span_lists(found: list[list[tuple[str, int, int]]]) -> pa.Array:
 
 def _finder(near: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in R.pieces_of(batches, most=1 << 23):
+        for part in R.pieces_of(batches, most=1 << 21):
             keys, spans, entities, nears, held = [], [], [], [], []
             for text in part.column(3).to_pylist():
                 own = base_spans(text) if text else []
@@ -214,7 +214,7 @@ def _terms_of_texts(batches: Iterator[pa.RecordBatch], terms: np.ndarray | None)
     A text that the task has met before is left out. Every word is wanted if ``terms`` (sorted) is None.
     """
     seen: set[int] = set()
-    for part in R.pieces_of(batches, most=1 << 22):
+    for part in R.pieces_of(batches):
         data, offsets = R.text_bytes(part.column(0))
         keys, new = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, bool)
         for k in range(part.num_rows):
@@ -273,7 +273,7 @@ def _pairer(sent):
 
 def _marker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, row2, added): the spans of all words of a text that are among its disclosing terms, outside its entities."""
-    for batch in R.pieces_of(batches, most=1 << 23):
+    for batch in R.pieces_of(batches, most=1 << 21):
         added = []
         for text, terms in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
             first, last, hashes = _words_of(text)
@@ -383,7 +383,7 @@ def _cleaner(replacements: dict[str, str], added_name: str):
         return "".join([*out, text[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in R.pieces_of(batches, most=1 << 21):
             at, extra = batch.schema.get_field_index("text"), batch.schema.get_field_index(added_name)
             texts = []
             for text, added in zip(batch.column(at).to_pylist(), batch.column(extra).to_pylist(), strict=True):
