@@ -32,7 +32,7 @@ from . import runtime as R
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length that a task ranks, about.
-PIECES_PER_SALT = 50_000
+PIECES_PER_SALT = 500
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
