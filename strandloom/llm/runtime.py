@@ -81,7 +81,8 @@ def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
 
 
 def pieces_of(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """All batches, cut to size; when they end, the worker gives its free memory back."""
+    """All batches, cut to size; before them and when they end, the worker gives its free memory back."""
+    release()  # what the task before still held at its end
     try:
         for batch in batches:
             yield from cut(batch, column, most)
