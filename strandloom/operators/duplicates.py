@@ -1,14 +1,14 @@
 """Duplicated blocks: maximal runs of equal lines at two places, grouped by their text, weighted and ranked.
 
 The claim behind the plan: expanding an equal pair of lines up and down gives the maximal run on its diagonal, so the
-blocks are exactly the runs of equal pairs that hold a pair of comparison lines. Equal pairs come from a self join on
-the line's text, runs from gaps and islands along diagonals, and blocks from grouping runs by their lines.
-
-The join is on a 128-bit key of the text, and it reads only lines that occur at least twice. A line with n places has
-n(n-1)/2 pairs, each of which may belong to a block of its own: that is the size of the answer's evidence, not of a
-cross join. Hot lines are salted by the place of one side, so that their pairs are made by many tasks; adaptive
-execution splits what is still uneven. Lines are normalized and classified once and staged; the later steps read
-numbers from there, and texts only for the blocks themselves.
+blocks are exactly the runs of equal pairs that hold a pair of comparison lines. Which places have such a run needs
+no pairs (:mod:`.repeats` counts instead), so the report's work follows the lines and the places found. ``seed_pairs``
+and ``runs`` are the pairs themselves, for those who ask for them: equal pairs from a self join on the line's text, runs
+from gaps and islands along diagonals. A line with n places has n(n-1)/2 pairs, which is the size of that answer;
+hot lines are salted by the place of one side, so that many tasks make them.
+
+Keys of texts have 128 bits. Lines are normalized and classified once and staged; the later steps read numbers from
+there, and texts only for the blocks themselves.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
+from . import repeats
 from .ranking import with_rank
 
 #: Places of one line that a salt of the self join holds, about.
@@ -103,11 +104,9 @@ def find(lines: DataFrame) -> Found:
     same = F.struct("extension", "all.text")
     files = stage(files.withColumns({"c1": F.xxhash64(same), "c2": F.xxhash64(F.lit(1), same)}), "files")
     two = files.groupBy("c1", "c2").agg(F.min("f").alias("low"), F.max("f").alias("high")).select(F.explode(F.array_distinct(F.array("low", "high"))).alias("f"))
-    found = runs(lines.join(two, "f", "left_semi"))
-    left = found.select(F.col("fa").alias("f"), "first", "last")
-    right = found.select(F.col("fb").alias("f"), (F.col("first") + F.col("d")).alias("first"), (F.col("last") + F.col("d")).alias("last"))
-    # a place is found again by each of its partners: keep it once, for its class, before texts are looked up
-    of_class = left.unionByName(right).distinct().join(files.select("f", "c1", "c2"), "f").select("c1", "c2", "first", "last").distinct()
+    found = repeats.places(lines.join(two, "f", "left_semi"))
+    # members of a class have the same places
+    of_class = found.join(files.select("f", "c1", "c2"), "f").select("c1", "c2", "first", "last").distinct()
     told = of_class.join(files, ["c1", "c2"]).withColumn("own", _cut()).withColumn("text", F.col("own.text"))
     places = told.select(
         F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "path_key",

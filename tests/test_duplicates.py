@@ -4,7 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from strandloom.operators import duplicates, lines
+from strandloom.operators import duplicates, lines, repeats
 
 
 def table(spark, files):
@@ -126,6 +126,35 @@ def test_copies_stand_for_each_other(spark, monkeypatch):
     files |= {"blank": f"\n{X}\n\n\n{X}\n{X}\n}}\n{P}", "part": f"{Z}\n{X}\n}}\n{P}"}
     assert blocks(spark, files)[0] == brute({k: (("}",), t) for k, t in files.items()})
     seen = []
-    monkeypatch.setattr(duplicates, "runs", lambda own, runs=duplicates.runs: seen.append(own.select("f").distinct().count()) or runs(own))
+    monkeypatch.setattr(repeats, "places", lambda own, places=repeats.places: seen.append(own.select("f").distinct().count()) or places(own))
     blocks(spark, files)
     assert seen == [3]
+
+
+def test_long_runs_of_one_line(spark):
+    files = {"a": "\n".join([X] * 37), "b": "\n".join([P] + [X] * 20 + [Q] + [X] * 9), "c": "\n".join([X] * 5 + [P])}
+    assert blocks(spark, files)[0] == brute({k: ((), t) for k, t in files.items()})
+
+
+def test_status_of_mixed_extensions_in_longer_blocks(spark):
+    files = {"a.json": ("json", f"}}\n{{\n{P}\n}}"), "b.json": ("json", f"}}\n{{\n{Q}\n}}"), "c.ts": f"}}\n{{\n{P}", "d.ts": f"}}\n{{\n{S}"}
+    found, _ = blocks(spark, files)
+    assert found == {
+        ("}", "{"): [("a.json", 1, 2), ("b.json", 1, 2)], ("}",): [("a.json", 1, 1), ("a.json", 4, 4), ("b.json", 1, 1), ("b.json", 4, 4)],
+        ("}", "{", P): [("a.json", 1, 3), ("c.ts", 1, 3)],
+    }
+
+
+def test_work_follows_the_places_of_a_hot_line(spark, monkeypatch):
+    """No step holds more rows than a few for each line, though the line's pairs are 180 thousand."""
+    files = {f"f{k:04d}": f"let a{k} = 1;\n{P}\nlet b{k} = 2;" for k in range(600)}
+    sizes, stage = [], repeats.stage
+
+    def counted(df, name):
+        out = stage(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(repeats, "stage", counted)
+    found, _ = blocks(spark, files)
+    assert [len(v) for v in found.values()] == [600] and max(sizes) <= 600
