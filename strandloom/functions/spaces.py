@@ -111,22 +111,26 @@ def _assigned(head: list[str]) -> str:
 
 
 def _cognitive(body: list[str], family: str) -> int:
-    score = nesting = 0
-    pending, blocks, operator = [], [], None
+    score = nesting = parens = 0  # parentheses that the statement at hand has opened: a for header holds semicolons
+    pending, blocks, held, operator = [], [], [], None
+    done = False  # the body of a do has just ended: its while is no other loop
     for at, token in enumerate(body):
         before = body[at - 1] if at else ""
+        tail, done = done and token == "while", False
         if token in ("&&", "||"):
             score += token != operator
             operator = token
             continue
-        if token in _STRUCTURE[family]:
+        if tail:
+            operator = None
+        elif token in _STRUCTURE[family]:
             if token == "if" and before == "else":
                 pending.append(True)
             elif token == "?":
                 score += nesting + 1
             else:
                 score += nesting + 1
-                pending.append(True)
+                pending.append("do" if token == "do" else True)
             operator = None
         elif token == "else":
             score += 1
@@ -137,35 +141,27 @@ def _cognitive(body: list[str], family: str) -> int:
             pending.append(True)
         elif token == "{":
             blocks.append(pending.pop() if pending else False)
-            nesting += blocks[-1]
-            operator = None
+            nesting += bool(blocks[-1])
+            held.append(parens)
+            parens, operator = 0, None
         elif token == "}":
-            if blocks and blocks.pop():
+            parens = held.pop() if held else 0
+            ended = blocks.pop() if blocks else False
+            if ended:
                 nesting -= 1
                 pending.clear()
+            done = ended == "do"
             operator = None
         elif token == ";":
             operator = None
-            if not _open_paren(body, at):
+            if not parens:
+                done = pending[-1:] == ["do"]
                 pending = []
+        elif token in ("(", ")"):
+            parens = max(0, parens + (1 if token == "(" else -1))
     return score
 
 
-def _open_paren(body: list[str], at: int) -> bool:
-    """Whether a token stands in a parenthesis that its own statement opened (a for header)."""
-    depth = 0
-    for token in reversed(body[max(0, at - 400) : at]):
-        if token == ")":
-            depth += 1
-        elif token == "(":
-            if depth == 0:
-                return True
-            depth -= 1
-        elif token in ("{", "}") and depth == 0:
-            return False
-    return False
-
-
 def _bracketed(source: str, family: str) -> list[Function]:
     stream = _tokens(source)
     lines = source.split("\n")

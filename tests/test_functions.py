@@ -89,3 +89,25 @@ def test_functions_are_ordered_by_excess(spark):
     assert got == ["a", "c", "b", "d", "e"]
     numbered = complexity.numbered(spark.createDataFrame(rows, complexity.SCHEMA), 10, 10).orderBy("rank").collect()
     assert [(r["rank"], r["function_name"]) for r in numbered] == list(enumerate(got, 1))
+
+
+#: By the published rules: cognitive (a point for each break of the flow, one more for each level around it, one for each
+#: sequence of like operators, an else without levels), cyclomatic (decisions and operators, and one).
+_VECTORS = [
+    ("ts", "if (a) { x(); }", 1, 2), ("ts", "if (a) { x(); } else { y(); }", 2, 2), ("ts", "if (a) { x(); } else if (b) { y(); } else { z(); }", 3, 3),
+    ("ts", "for (let i = 0; i < a; i++) { if (b) { x(); } }", 3, 3), ("ts", "while (a) { while (b) { while (c) { x(); } } }", 6, 4), ("ts", "do { x(); } while (a);", 1, 2), ("ts", "do x(); while (a);", 1, 2), ("ts", "do { if (b) { x(); } } while (a && b); while (c) { y(); }", 5, 5),
+    ("ts", "return a && b && c;", 1, 3), ("ts", "return a && b || c;", 2, 3), ("ts", "if (a && b) { x(); }", 2, 3), ("ts", "return a ? 1 : 2;", 1, 2),
+    ("ts", "if (a) { return b ? 1 : 2; }", 3, 3), ("ts", "switch (a) { case 1: x(); break; case 2: y(); break; default: z(); }", 1, 3),
+    ("ts", "try { x(); } catch (e) { y(); }", 1, 2), ("ts", "for (" + "a(" * 500 + ")" * 500 + "; b; c) { if (d) { x(); } }", 3, 3), ("ts", "x(); y();", 0, 1),
+    ("rs", "if a { x(); }", 1, 2), ("rs", "if a { x(); } else { y(); }", 2, 2), ("rs", "if a { x(); } else if b { y(); } else { z(); }", 3, 3), ("rs", "loop { if a { break; } }", 3, 3),
+    ("rs", "for i in 0..a { while b { x(); } }", 3, 3), ("rs", "if a && b || c { x(); }", 3, 4), ("rs", "x();", 0, 1),
+    ("py", "if a: x()", 1, 2), ("py", "for i in a:\n  if b:\n   x()\n  elif c:\n   y()\n  else:\n   z()", 5, 4), ("py", "while a:\n  x()\n else:\n  y()", 2, 2),
+    ("py", "try:\n  x()\n except E:\n  if a: y()", 3, 3), ("py", "return a and b and c", 1, 3), ("py", "return a and b or c", 2, 3), ("py", "return x if a else y", 1, 2),
+    ("py", "return lambda y: 1 if y else 2", 2, 2), ("py", "x()", 0, 1),
+]
+
+
+@pytest.mark.parametrize("extension, body, cognitive, cyclomatic", _VECTORS)
+def test_measures_follow_the_published_rules(extension, body, cognitive, cyclomatic):
+    wrap = {"ts": "function f(a, b, c) {\n%s\n}", "rs": "fn f(a: bool, b: bool, c: bool) {\n%s\n}", "py": "def f(a, b, c):\n %s\n"}[extension]
+    assert [(f.cognitive, f.cyclomatic) for f in spaces.functions((wrap % body).encode(), extension)] == [(cognitive, cyclomatic)]
