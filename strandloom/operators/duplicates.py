@@ -2,10 +2,11 @@
 
 The claim behind the plan: expanding an equal pair of lines up and down gives the maximal run on its diagonal, so the
 blocks are exactly the runs of equal pairs that hold a pair of comparison lines. Which places have such a run needs
-no pairs (:mod:`.repeats` counts instead), so the report's work follows the lines and the places found. ``seed_pairs``
-and ``runs`` are the pairs themselves, for those who ask for them: equal pairs from a self join on the line's text, runs
-from gaps and islands along diagonals. A line with n places has n(n-1)/2 pairs, which is the size of that answer;
-hot lines are salted by the place of one side, so that many tasks make them.
+no pairs (:mod:`.repeats` counts instead), so the report's work follows the lines and the places found; how many runs
+there are of each length (``run_lengths``) follows from the same counts. ``seed_pairs`` and ``runs`` are the pairs
+themselves, for those who ask for them: equal pairs from a self join on the line's text, runs from gaps and islands
+along diagonals. A line with n places has n(n-1)/2 pairs, which is the size of that answer; hot lines are salted by the
+place of one side, so that many tasks make them.
 
 Keys of texts have 128 bits. Lines are normalized and classified once and staged; the later steps read numbers from
 there, and texts only for the blocks themselves.
@@ -18,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import stage
+from ..staging import stage, unstage
 from . import repeats
 from .ranking import with_rank
 
@@ -32,17 +33,18 @@ def _keyed(lines: DataFrame, seed: int) -> DataFrame:
     return lines.withColumns({"f": F.xxhash64(F.lit(seed), "path_key"), "t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
 
 
-def numbered_files(lines: DataFrame) -> DataFrame:
+def numbered_files(lines: DataFrame, *unread: str) -> DataFrame:
     """Staged lines with ``f``, a number of the file (their order does not matter), and ``t1, t2``, the key of the text.
 
-    Two files never have one number: paths are hashed with another seed until their numbers differ.
+    Two files never have one number: paths are hashed with another seed until their numbers differ. Columns that nobody
+    reads later are not staged.
     """
     if "t1" in lines.columns:
         return lines
-    staged, seed = stage(_keyed(lines, 0), "lines"), 0
+    staged, seed = stage(_keyed(lines, 0).drop(*unread), "lines"), 0
     while not staged.groupBy("f").agg(F.min("path_key").alias("low"), F.max("path_key").alias("high")).where("low <> high").isEmpty():
         seed += 1
-        staged = stage(_keyed(staged.drop("f", "t1", "t2"), seed), "lines")
+        staged = stage(staged.withColumn("f", F.xxhash64(F.lit(seed), "path_key")), "lines")
     return staged
 
 
@@ -84,6 +86,23 @@ def runs(lines: DataFrame) -> DataFrame:
     return found.where("seed = 1 and not (fa = fb and last - first + 1 > d)").select(*_SPOT, "first", "last")
 
 
+def run_lengths(lines: DataFrame) -> DataFrame:
+    """(size, n): how many :func:`runs` of each length there are, counted without a row for each.
+
+    Files of equal lines and extension are one class, with its number of members as weight; two stand for all.
+    """
+    given, lines = lines, numbered_files(lines, "text", "line_number")
+    held = F.array_sort(F.collect_list(F.struct("idx", "t1", "t2")))
+    same = F.struct("extension", "all")
+    files = lines.groupBy("f").agg(F.first("extension").alias("extension"), held.alias("all")).select("f", F.xxhash64(same).alias("c1"), F.xxhash64(F.lit(1), same).alias("c2"))
+    classes = stage(files.groupBy("c1", "c2").agg(F.min("f").alias("f"), F.max("f").alias("other"), F.count("*").alias("w")), "classes")
+    two = classes.select(F.explode(F.array_distinct(F.array("f", "other"))).alias("f"))
+    own = stage(lines.join(two, "f", "left_semi").select("f", "idx", "t1", "t2", "is_comparison"), "own")
+    out = repeats.run_lengths(own, classes.select("f", "w"))
+    unstage(*([] if lines is given else [lines]), classes, own)
+    return out
+
+
 class Found(NamedTuple):
     """What detection leaves: files with their lines, and the places of blocks by the key of their text."""
 

@@ -4,6 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from strandloom import queries
 from strandloom.operators import duplicates, lines, repeats
 
 
@@ -158,3 +159,31 @@ def test_work_follows_the_places_of_a_hot_line(spark, monkeypatch):
     monkeypatch.setattr(repeats, "stage", counted)
     found, _ = blocks(spark, files)
     assert [len(v) for v in found.values()] == [600] and max(sizes) <= 600
+
+
+def lengths_of_pairs(found):
+    return {r["n"]: r["count"] for r in duplicates.runs(found).selectExpr("last - first + 1 AS n").groupBy("n").count().collect()}
+
+
+@pytest.mark.parametrize("files", [
+    {"a": "\n".join([X] * 37), "b": "\n".join([P] + [X] * 20 + [Q] + [X] * 9), "c": "\n".join([X] * 5 + [P])},
+    {f"c{k}": "\n".join([X, P, X, P, X, "}", P][: 7 - (k > 6)]) for k in range(9)} | {"part": f"{Z}\n{X}\n}}\n{P}", "own": f"{Q}\n{R}\n{Q}\n{R}"},
+    {f"{k}.json": ("json", f"}}\n{{\n{P}\n}}") for k in range(3)} | {f"{k}.ts": f"}}\n{{\n{(P, S)[k % 2]}\n}}" for k in range(4)},
+    {"a": P, "b": Q, "c": "}", "d": "}"},
+], ids=["one line", "copies", "status", "none"])
+def test_run_lengths_are_those_of_the_pairs(spark, files):
+    found = table(spark, files)
+    assert {r["size"]: r["n"] for r in duplicates.run_lengths(found).collect()} == lengths_of_pairs(found)
+
+
+def test_run_lengths_leave_the_callers_lines(spark):
+    found = duplicates.numbered_files(table(spark, {"a": f"{P}\n{Q}", "b": f"{P}\n{Q}"}))
+    assert duplicates.run_lengths(found).collect() == [(2, 1)] and found.count() == 4
+
+
+def test_duplicate_runs_of_a_hot_line_without_its_pairs(spark, monkeypatch, tmp_path):
+    texts = [(k, "web", f"let a{k} = 1;\n{P}\nlet b{k} = 2;") for k in range(600)]
+    spark.createDataFrame(texts, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("seed_pairs", "runs"):
+        monkeypatch.setattr(duplicates, name, lambda *_: pytest.fail("a row for each pair"))
+    assert [tuple(r) for r in queries.duplicate_runs(spark, str(tmp_path)).collect()] == [(1, 600 * 599 // 2)]
