@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from strandloom.operators import changes
 
 
@@ -10,6 +12,14 @@ def test_ranges_that_adjoin_become_one(spark):
     assert sorted(map(tuple, got.collect())) == [("a", 1, 3), ("a", 7, 7), ("b", 1, 11)]
 
 
+def test_equal_ranges_open_one_island_in_any_order(spark):
+    rows = [(f"f{k}", s, s + n) for k in range(3) for s, n in ((5, 0), (5, 0), (5, 4), (9, 1), (9, 1), (20, 0), (20, 0), (21, k), (40, 2))] * 50
+    expected = [(f"f{k}", s, e) for k in range(3) for s, e in ((5, 10), (20, 21 + k), (40, 42))]
+    for seed in range(3):
+        got = changes.coalesce_ranges(ranges(spark, rows).orderBy(F.rand(seed)).repartition(7))
+        assert sorted(map(tuple, got.collect())) == expected
+
+
 def test_touching(spark):
     spans = spark.createDataFrame([("a", 1, 9), ("b", 1, 9)], "path_key string, start_line int, end_line int")
     assert changes.touching_lines(spans, ranges(spark, [("a", 10, 10)])).count() == 0
